@@ -101,7 +101,8 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, lea
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
     rows = rows.withColumn("sha", F.sha2("html", 256)).withColumn("n_bytes", F.octet_length("html"))
     first = rows.where(F.col("n_bytes") >= least).groupBy("sha", "n_bytes")
-    first = first.agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = first.agg(F.min(named).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     first = common.materialize(first.select("sha", "n_bytes", "first"), "warc-first")
     rows = rows.join(common.small(first), ["sha", "n_bytes"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
@@ -194,7 +195,7 @@ def warc_round_trip(pages: DataFrame, **options) -> DataFrame:
 
     Null html is an empty payload; null urls are empty; equal payloads (empty ones too, from
     ``least`` bytes) are one response and revisits to it. Rows that repeat a page_id and payload
-    are all responses. An empty table gives archives without records and an empty result.
+    are all responses; a row without an id revisits the first that has one. An empty table gives archives without records and an empty result.
     """
     spark = pages.sparkSession
     path = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
