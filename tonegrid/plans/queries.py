@@ -1,25 +1,8 @@
-"""Signal queries over the driver's tables, and their SQL."""
+"""Queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import event_queries, spectral_queries  # noqa: F401  (register their queries)
+from .registry import ORACLES, QUERIES
 
-
-def signal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("value").cast("double").alias("x"))
-    rms = F.sqrt(F.avg(F.col("x") * F.col("x")))
-    peak = F.max(F.abs("x"))
-    out = rows.groupBy(F.col("user_id").alias("signal_id")).agg(F.count("*").alias("n"), peak.alias("peak"), rms.alias("rms"))
-    level = F.when((F.col("peak") > 0) & (F.col("rms") > 0), 20 * F.log10(F.col("peak") / F.col("rms"))).otherwise(F.lit(0.0))
-    return out.select("signal_id", "n", F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"), F.round(level, 6).alias("dynamic_range_db"))
-
-
-QUERIES = {"signal_summary": signal_summary}
-ORACLES = {
-    "signal_summary": """
-        SELECT user_id AS signal_id, count(*) AS n, round(max(abs(value)), 6) AS peak, round(sqrt(avg(value * value)), 6) AS rms,
-            round(CASE WHEN max(abs(value)) > 0 AND avg(value * value) > 0
-                THEN 20 * log10(max(abs(value)) / sqrt(avg(value * value))) ELSE 0 END, 6) AS dynamic_range_db
-        FROM events GROUP BY user_id""",
-}
+__all__ = ["ORACLES", "QUERIES"]
