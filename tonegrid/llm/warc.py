@@ -123,7 +123,11 @@ def write_archives(
     sample_bytes: int = 8 << 20,
     level: int = 3,
 ) -> str:
-    """Write ``path``/part-*: archives of about ``archive_bytes`` of payload each; returns the path.
+    """Write ``path``/part-*: archives of about ``archive_bytes`` of payload at most; returns the path.
+
+    Every task writes the pages that it reads, so no payload is shuffled (unless equal payloads are
+    too many groups to broadcast); after as many records as an archive holds on average the next
+    one begins, with the dictionary again.
 
     Every archive starts with a skippable frame that holds the dictionary, and each record is a
     frame of its own. Spark's text sink writes the bytes (its line separator is an empty skippable
@@ -135,7 +139,8 @@ def write_archives(
     common.python_batches(spark)
     rows = plan_records(pages, id_col, url_col, html_col, least)
     payload = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    total = payload.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    count, total = payload.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    records = max(1, archive_bytes * count // max(1, total))
     picks = payload.where((F.octet_length("html") > 0) & (F.octet_length("html") <= sample_bytes // 50))
     picks = picks.orderBy(F.xxhash64(F.col("id")), "id", F.xxhash64("html")).limit(sample_rows).collect()
     bodies, room = [], sample_bytes
@@ -151,19 +156,21 @@ def write_archives(
 
         data = dictionary.value
         cctx = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(data) if data else None)
-        started = False
+        n = 0
         for batch in batches:
-            out = [] if started else [head(data)]
-            started = True
+            out = []
             for page_id, url, html, refers_to, refers_url in batch.itertuples(index=False):
+                if n % records == 0:
+                    out.append(head(data))
+                n += 1
                 body = (html or "").encode("utf-8", "surrogatepass")
                 ids = [None if pd.isna(x) else int(x) for x in (page_id, refers_to)]
                 out.append(cctx.compress(record(ids[0], url, body, base32_sha1(body), ids[1], refers_url)))
             yield pd.DataFrame({"value": out})
 
-    parts = max(1, -(-total // archive_bytes))
-    chunks = rows.repartition(parts).mapInPandas(compress, "value binary")
-    chunks.select(F.col("value").cast("string").alias("value")).write.option("lineSep", GAP.decode("latin1")).option("compression", "none").text(path)
+    chunks = rows.mapInPandas(compress, "value binary").select(F.col("value").cast("string").alias("value"))
+    # a file ends after the head and its records, so the next one begins with a head
+    chunks.write.option("maxRecordsPerFile", records + 1).option("lineSep", GAP.decode("latin1")).option("compression", "none").text(path)
     return path
 
 
