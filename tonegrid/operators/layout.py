@@ -79,8 +79,9 @@ def assign(samples: DataFrame, size: int, hop: int, name: str, pos: str = "pos",
     adds the window's number and the sample's ``offset`` in it."""
     size, hop = max(1, size), max(1, hop)
     p = F.col(pos)
-    first = F.greatest(F.floor((p - size) / hop) + 1, F.lit(0))
-    out = samples.withColumn(name, F.explode(F.sequence(first, F.floor(p / hop))))
+    last = F.floor(p / hop)
+    first = F.least(F.greatest(F.floor((p - size) / hop) + 1, F.lit(0)), last)
+    out = samples.withColumn(name, F.explode(F.sequence(first, last)))
     return out.withColumn(offset, p - F.col(name) * hop).where(F.col(offset) < size)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import arrays, scalar
 from . import classify, layout, quality, spectral
 
 SEG = ("signal_id", "segment")
-BY_SEGMENT = Window.partitionBy("signal_id").orderBy("segment")
+
+
+def by_segment() -> WindowSpec:
+    return Window.partitionBy("signal_id").orderBy("segment")
 
 
 def segment_samples(crossed: DataFrame, rate: float, seconds: float = 1.0, overlap: float = 0.5, shortest: float = 0.25) -> DataFrame:
@@ -22,7 +25,7 @@ def segment_samples(crossed: DataFrame, rate: float, seconds: float = 1.0, overl
     hop = max(1, int((1.0 - min(max(overlap, 0.0), 0.9)) * size))
     dealt = layout.assign(crossed, size, hop, "segment")
     sizes = dealt.groupBy(*SEG).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.lag("n").over(BY_SEGMENT), F.lit(size))
+    before = F.coalesce(F.lag("n").over(by_segment()), F.lit(size))
     tail = (F.col("n") < size) & (before == size) & ((F.col("segment") == 0) | (F.col("n") > int(shortest * rate)))
     kept = sizes.withColumn("keep", (F.col("n") == size) | tail).where("keep").select(*SEG)
     return dealt.join(kept, list(SEG))
@@ -82,7 +85,7 @@ def segments(crossed: DataFrame, rate: float, size: int = 2048, hop: int = 512)
 
 
 def _previous(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.withColumns({f"{c}_before": F.lag(c).over(BY_SEGMENT) for c in columns})
+    return rows.withColumns({f"{c}_before": F.lag(c).over(by_segment()) for c in columns})
 
 
 def sections(rows: DataFrame) -> DataFrame:
@@ -92,7 +95,7 @@ def sections(rows: DataFrame) -> DataFrame:
     c = F.col
     marked = (c("label") != c("label_before")) | (F.abs(c("energy") - c("energy_before")) > 0.3)
     marked = marked | (F.abs(c("spectral_centroid") - c("spectral_centroid_before")) > 1000) | (c("content_type") != c("content_type_before"))
-    runs = pairs.withColumn("run", F.sum(F.when(marked, 1).otherwise(0)).over(BY_SEGMENT))
+    runs = pairs.withColumn("run", F.sum(F.when(marked, 1).otherwise(0)).over(by_segment()))
     out = runs.groupBy("signal_id", "run").agg(
         F.min("label").alias("label"), F.min("start_time").alias("start_time"), F.max(F.struct("segment", (c("start_time") + c("duration")).alias("t")))["t"].alias("end_time"),
         F.min("segment").alias("first_segment"), F.count("*").alias("n_segments"), F.avg("energy").alias("avg_energy"),
@@ -128,14 +131,14 @@ def tension(rows: DataFrame) -> DataFrame:
 def energy_extremes(rows: DataFrame) -> DataFrame:
     """(signal_id, segment, time, energy, kind): strict inner peaks and valleys of the energy."""
     e = F.col("energy")
-    around = rows.withColumns({"a": F.lag("energy").over(BY_SEGMENT), "b": F.lead("energy").over(BY_SEGMENT)})
+    around = rows.withColumns({"a": F.lag("energy").over(by_segment()), "b": F.lead("energy").over(by_segment())})
     kind = F.when((e > F.col("a")) & (e > F.col("b")), "peak").when((e < F.col("a")) & (e < F.col("b")), "valley")
     return around.select("signal_id", "segment", F.col("start_time").alias("time"), "energy", kind.alias("kind")).where("kind is not null")
 
 
 def energy_profile(rows: DataFrame) -> DataFrame:
     """(signal_id, n_segments, average, variance, shape)."""
-    numbered = rows.select("signal_id", "energy", (F.row_number().over(BY_SEGMENT) - 1).alias("i"), F.count("*").over(Window.partitionBy("signal_id")).alias("n"))
+    numbered = rows.select("signal_id", "energy", (F.row_number().over(by_segment()) - 1).alias("i"), F.count("*").over(Window.partitionBy("signal_id")).alias("n"))
     first, last = F.col("i") < F.floor(F.col("n") / 3), F.col("i") >= F.floor(F.col("n") * 2 / 3)
     out = numbered.groupBy("signal_id").agg(
         F.max("n").alias("n_segments"), F.avg("energy").alias("average"), F.var_pop("energy").alias("variance"),
@@ -201,6 +204,6 @@ def complexity(rows: DataFrame, profile: DataFrame, repeats: DataFrame) -> DataF
 
 def run_length(rows: DataFrame, value: Column) -> DataFrame:
     """(signal_id, run, first_segment, n, value): runs of equal values, the general form of ``sections``."""
-    marked = rows.withColumn("v", value).withColumn("new", F.coalesce((F.col("v") != F.lag("v").over(BY_SEGMENT)).cast("int"), F.lit(0)))
-    runs = marked.withColumn("run", F.sum("new").over(BY_SEGMENT))
+    marked = rows.withColumn("v", value).withColumn("new", F.coalesce((F.col("v") != F.lag("v").over(by_segment())).cast("int"), F.lit(0)))
+    runs = marked.withColumn("run", F.sum("new").over(by_segment()))
     return runs.groupBy("signal_id", "run").agg(F.min("segment").alias("first_segment"), F.count("*").alias("n"), F.min("v").alias("value"))
