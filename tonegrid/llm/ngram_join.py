@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 
 from . import common
 from .graph import connected_components
-from .text_stats import WORDS
-
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Odd multipliers of the five places of a shingle, and of the final mixing.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -36,10 +33,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct k-word shingles; fewer words are one shingle."""
-    if not text:
-        return np.empty(0, dtype=np.uint64)
-    low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").translate(LOWER).decode("utf-8", "surrogatepass")
-    words = WORDS.findall(low)
+    # bytes are lower-cased and split by the ASCII rules that words are defined by
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
         return np.empty(0, dtype=np.uint64)
@@ -47,18 +42,25 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     k = min(k, n)
     total = np.full(n - k + 1, np.uint64(k))
     for i in range(k):
-        total = mix(total + h[i : n - k + 1 + i] * PLACES[i % 5] + np.uint64(i))
-    return np.unique(total)
+        total += h[i : n - k + 1 + i] * (PLACES[i % 5] + np.uint64(2 * (i // 5)))
+    total = mix(total)
+    total.sort()
+    new = np.append(True, total[1:] != total[:-1])
+    return total if new.all() else total[new]
 
 
 @dataclass(frozen=True)
 class Plan:
-    """percent: the threshold. frequent: cell count from which a token is of the frequent class."""
+    """percent: the threshold. frequent: cell count from which a token is of the frequent class.
+
+    Pairs are first told apart by the tokens that ``seen`` divides.
+    """
 
     percent: int = 80
     frequent: int = 24
     cell_bits: int = 20
     buckets: int = 64
+    seen: int = 6
 
     def errors(self, n: int) -> int:
         """Most tokens of a set of n that a partner may lack: n - ceil(t n)."""
@@ -110,16 +112,18 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
-def set_keys(rows: DataFrame, k: int) -> DataFrame:
-    """(id, n, set_key): the size of each set and a digest that equal sets share."""
+def set_keys(rows: DataFrame, k: int, seen: int) -> DataFrame:
+    """(id, n, set_key, part): the size of each set, a digest that equal sets share, and the tokens
+    that ``seen`` divides."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t, k) for t in batch["text"]]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "n": [len(s) for s in sets], "set_key": keys})
+            parts = [s[s % np.uint64(seen) == 0].tobytes() for s in sets]
+            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "n": [len(s) for s in sets], "set_key": keys, "part": parts})
 
-    return rows.mapInPandas(run, "id long, n long, set_key binary")
+    return rows.mapInPandas(run, "id long, n long, set_key binary, part binary")
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -134,14 +138,14 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
 
 
-def cell_classes(rows: DataFrame, k: int, plan: Plan, hold: int = 2_000_000) -> tuple[bytes, bytes]:
-    """(bitmap of cells that two or more token occurrences have, sorted frequent cells).
+def cell_classes(rows: DataFrame, k: int, plan: Plan, hold: int = 2_000_000) -> tuple[bytearray, bytearray]:
+    """Two bitmaps of cells: those that two or more token occurrences have, and the frequent ones.
 
     Tokens fall into ``2**cell_bits`` cells by their high bits. Tasks send sorted, delta-coded cell
-    lists to each bucket of cells, which counts them; a bit a cell and the few frequent cells come
-    back. The bitmap's size is fixed by ``cell_bits``; the frequent cells are at most occurrences
-    divided by ``frequent``, and never more than the cells. Cells only steer: a shared cell may make
-    a token count as more frequent than it is, which changes the plan of work and no result.
+    lists to each bucket of cells, which counts them; two bits a cell come back, so what the driver
+    gets and sends has the size that ``cell_bits`` fixes (64 MB at most). Cells only steer: a
+    shared cell may make a token count as more frequent than it is, which changes the plan of work
+    and no result.
     """
     bits, per = plan.cell_bits, (1 << plan.cell_bits) // plan.buckets
 
@@ -169,15 +173,15 @@ def cell_classes(rows: DataFrame, k: int, plan: Plan, hold: int = 2_000_000) ->
         for data in group["cells"]:
             at, n = np.unique(np.cumsum(_unpack(data, "<u4"), dtype=np.uint32) - np.uint32(low), return_counts=True)
             counts[at] += n.astype(np.uint32)
-        often = (np.flatnonzero(counts >= plan.frequent) + low).astype("<u4")
-        return pd.DataFrame({"bucket": [key[0]], "many": [np.packbits(counts > 1).tobytes()], "often": [often.tobytes()]})
+        return pd.DataFrame({"bucket": [key[0]], "many": [np.packbits(counts > 1).tobytes()], "often": [np.packbits(counts >= plan.frequent).tobytes()]})
 
     sent = rows.select("text").mapInPandas(count, "bucket int, cells binary")
-    found = sent.groupBy("bucket").applyInPandas(classes, "bucket int, many binary, often binary").collect()
-    many = bytearray((1 << bits) // 8)
-    for r in found:
-        many[r["bucket"] * per // 8 : (r["bucket"] + 1) * per // 8] = r["many"]
-    return bytes(many), b"".join(bytes(r["often"]) for r in sorted(found, key=lambda r: r["bucket"]))
+    found = sent.groupBy("bucket").applyInPandas(classes, "bucket int, many binary, often binary")
+    maps = bytearray((1 << bits) // 8), bytearray((1 << bits) // 8)
+    for bucket, *parts in found.toLocalIterator():
+        for bitmap, part in zip(maps, parts, strict=True):
+            bitmap[bucket * per // 8 : (bucket + 1) * per // 8] = part
+    return maps
 
 
 def postings(rows: DataFrame, k: int, plan: Plan, hold: int = 400_000) -> DataFrame:
@@ -187,7 +191,7 @@ def postings(rows: DataFrame, k: int, plan: Plan, hold: int = 400_000) -> DataFr
     shared = spark.sparkContext.broadcast(cell_classes(rows, k, plan))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        many, often = (np.frombuffer(x, dtype=t) for x, t in zip(shared.value, (np.uint8, "<u4"), strict=True))
+        many, often = (np.frombuffer(x, dtype=np.uint8) for x in shared.value)
         sigs, ids, sizes, size = [], [], [], 0
 
         def send():
@@ -207,11 +211,8 @@ def postings(rows: DataFrame, k: int, plan: Plan, hold: int = 400_000) -> DataFr
                 if not len(tokens):
                     continue
                 cell = (tokens >> np.uint64(64 - plan.cell_bits)).astype(np.uint32)
-                lone = (many[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 0
-                frequent = np.zeros(len(tokens), dtype=bool)
-                if len(often):
-                    at = np.searchsorted(often, cell[~lone])
-                    frequent[~lone] = often[np.minimum(at, len(often) - 1)] == cell[~lone]
+                bit = (7 - (cell & 7)).astype(np.uint8)
+                lone, frequent = (many[cell >> 3] >> bit) & 1 == 0, (often[cell >> 3] >> bit) & 1 == 1
                 found = plan.signatures(tokens, lone, frequent)
                 if len(found):
                     sigs.append(found)
@@ -236,22 +237,46 @@ def postings(rows: DataFrame, k: int, plan: Plan, hold: int = 400_000) -> DataFr
     return sent.groupBy("bucket").applyInPandas(meet, "sig long, id long, n long")
 
 
+def _sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with the columns of both sides; the sets are filtered to those asked for before they move."""
+    asked = common.materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-asked")
+    sets = sets.join(common.small(asked), "id", "left_semi").dropDuplicates(["id"])
+    side = lambda s: sets.select(*[F.col(c).alias(s if c == "id" else f"{c}_{s}") for c in sets.columns])
+    return pairs.join(side("b"), "b").join(side("a"), "a")
+
+
+def possible(pairs: DataFrame, parts: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs that reach the threshold if all their tokens outside the parts are common.
+
+    ``parts`` has a fixed share of each set's tokens; what is missing there can't be made up for, so
+    most pairs are ruled out by proof at a fraction of the sets' volume.
+    """
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = []
+            for x, y, nx, ny in zip(batch["part_a"], batch["part_b"], batch["n_a"], batch["n_b"], strict=True):
+                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+                most = len(np.intersect1d(x, y, assume_unique=True)) + min(nx - len(x), ny - len(y))
+                good.append(100 * most >= plan.percent * (nx + ny - most))
+            yield batch.loc[good, ["a", "b"]]
+
+    return _sides(pairs, parts).mapInPandas(check, "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of similarity ``percent`` or more, by their whole sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             good = []
-            for x, y in zip(batch["ta"], batch["tb"], strict=True):
+            for x, y in zip(batch["tokens_a"], batch["tokens_b"], strict=True):
                 x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.loc[good, ["a", "b"]]
 
-    return both.mapInPandas(check, "a long, b long")
+    return _sides(pairs, sets).mapInPandas(check, "a long, b long")
 
 
 def _star_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -297,7 +322,7 @@ def ngram_join(
     spark = docs.sparkSession
     common.python_batches(spark)
     texts = _texts(docs, id_col, text_col)
-    base = common.materialize(set_keys(texts, k), "jaccard-base")
+    base = common.materialize(set_keys(texts, k, Plan.seen), "jaccard-base")
     nodes = base.where("n > 0").groupBy("set_key").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     nodes = common.materialize(nodes, "jaccard-nodes")
     extra = base.where("n > 0").join(nodes.where("copies > 1"), "set_key").where("id is null or id <> node").select("id").distinct()
@@ -305,21 +330,23 @@ def ngram_join(
     rows = texts.where("id is not null").join(common.small(extra), "id", "left_anti")
 
     total = base.agg(F.sum("n")).first()[0] or 1
-    bits = int(min(29, max(20, math.ceil(math.log2(4 * total)))))
+    bits = int(min(28, max(20, math.ceil(math.log2(total)))))
     parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     while parts * 4_000_000 < total or parts & (parts - 1):
         parts += 1
-    plan = Plan(percent, frequent, bits, parts)
+    # beyond the count that chance alone gives a cell
+    plan = Plan(percent, frequent + 3 * (total >> bits), bits, parts)
     lists = common.materialize(postings(rows, k, plan).distinct(), "jaccard-postings")
 
-    wanted = common.materialize(lists.select("id").distinct(), "jaccard-wanted")
-
-    def pack_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "tokens": [shingles(t, k).tobytes() for t in batch["text"]]})
 
-    kept = rows.join(common.small(wanted), "id", "left_semi").dropDuplicates(["id"])
-    sets = common.materialize(kept.mapInPandas(pack_sets, "id long, tokens binary"), "jaccard-sets")
+    def linked(pairs: DataFrame) -> DataFrame:
+        close = common.materialize(possible(pairs, base.select("id", "n", "part"), plan), "jaccard-close")
+        asked = common.materialize(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "jaccard-asked")
+        sets = rows.join(common.small(asked), "id", "left_semi").mapInPandas(whole, "id long, tokens binary")
+        return verify(close, sets, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     links = None
     member = lists.withColumn("component", F.col("id"))
@@ -333,14 +360,13 @@ def ngram_join(
         pairs = common.materialize(pairs, "jaccard-pairs")
         if pairs.isEmpty():
             break
-        found = verify(pairs, sets, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = common.materialize(found, "jaccard-links")
+        found = common.materialize(linked(pairs), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             components = common.materialize(connected_components(links), "jaccard-components")
             member = lists.join(components.withColumnRenamed("node", "id"), "id", "left")
             member = common.materialize(_open(member.withColumn("component", F.coalesce("component", "id"))), "jaccard-open")
-    out = base.join(nodes, "set_key", "left")
+    out = base.drop("part").join(nodes, "set_key", "left")
     if links is not None and not links.isEmpty():
         out = out.join(components, "node", "left")
     else:
