@@ -9,6 +9,7 @@ its clauses' weights. The insult transducer has a seed lexicon and stems learned
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,9 +29,10 @@ NEGATIONS = ("not", "never", "isn't", "aren't", "wasn't", "don't", "nicht", "kei
 REPORTED = ("said", "says", "wrote", "writes", "called", "calls", "quoted", "quote", "according", "alleged", "sagte", "dit", "dijo")
 
 CLAUSE = re.compile(r"[.!?;\n]+")
+WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 EDGE = "\"'()[]{}<>*_~#$%&|,:.!?;…«»„“”‘’–—-/\\"
 INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
-N_FEATURES = 6
+N_FEATURES = 7
 
 
 @dataclass
@@ -99,13 +101,14 @@ class Grammar:
             else:
                 plain += weight
                 aimed += weight * targeted
-        return [1.0, min(best, 8.0), np.log1p(total), np.log1p(plain), np.log1p(aimed), np.log1p(soft)]
+        length = np.log1p(len(text or "")) / 10
+        return [1.0, min(best, 8.0), np.log1p(total), np.log1p(plain), np.log1p(aimed), np.log1p(soft), length]
 
     def score(self, text: str | None) -> float:
         return float(logistic.sigmoid(np.dot(self.features(text), self.weights)))
 
 
-MIN_STEM, MAX_STEM = 4, 8
+MIN_STEM, MAX_STEM = 3, 8
 
 
 def seed_grammar() -> Grammar:
@@ -142,32 +145,54 @@ def without_copies(sample: DataFrame, passes: int = 2) -> DataFrame:
     return sample
 
 
+def stem_counts(sample: DataFrame) -> DataFrame:
+    """(stem, hot, cold, hot2, cold2): rows labelled 1 and 0 that have a word with the stem, and those
+    that have two or more; counted per batch before anything moves."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: dict[str, list[int]] = {}
+            for label, text in zip(batch["label"], batch["text"], strict=True):
+                own = Counter(w[:k] for w in WORD.findall((text or "").lower()) for k in range(MIN_STEM, min(MAX_STEM, len(w)) + 1))
+                for stem, n in own.items():
+                    row = found.setdefault(stem, [0, 0, 0, 0])
+                    row[0 if label else 1] += 1
+                    row[2 if label else 3] += n > 1
+            yield pd.DataFrame([(k, *v) for k, v in found.items()], columns=["stem", "hot", "cold", "hot2", "cold2"])
+
+    rows = sample.select("label", "text").mapInPandas(count, "stem string, hot long, cold long, hot2 long, cold2 long")
+    return rows.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("hot", "cold", "hot2", "cold2")])
+
+
 def learn_stems(sample: DataFrame, purity: float = 0.97, risk: float = 0.01, most: int = 4000) -> dict[str, float]:
-    """Stems of words that occur (nearly) only in rows labelled 1, with their log odds.
+    """Stems whose words occur (nearly) only in rows labelled 1, or that only those rows repeat, with
+    their log odds: a stem that clean rows have by chance once counts less, and adds up where it recurs.
 
     Counts are documents, over all of the sample. A stem must be so one-sided that among all stems
     tried, less than ``risk`` would be by chance. Of a chain of prefixes the longest that keeps nine
-    tenths of the documents of the shorter one stays.
+    tenths of the documents of the shorter one stays, and no longer one beside it.
     """
     totals = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return {}
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}']{%d,})" % MIN_STEM), F.lit(1)))
-    stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(MIN_STEM), F.least(F.lit(MAX_STEM), F.length(w))), lambda k: F.substring(w, F.lit(1), k)))))
-    counts = sample.select("label", F.explode(stems).alias("stem")).groupBy("stem")
-    counts = common.materialize(counts.agg(F.sum("label").alias("hot"), F.sum(1 - F.col("label")).alias("cold")), "toxic-stems")
-    tried = max(2, counts.where("hot > 1").count())
+    counts = common.materialize(stem_counts(sample).where("hot > 1"), "toxic-stems")
+    tried = max(2, counts.count())
+    share, rows = float(np.log(n1 / (n0 + n1))), float(np.log(tried))
     # log of C(hot + cold, cold) * share ** hot, bounded by (hot + cold) ** cold
-    surprise = F.col("cold") * F.log(F.col("hot") + F.col("cold")) + F.col("hot") * float(np.log(n1 / (n0 + n1))) + float(np.log(tried))
-    pure = F.col("hot") >= purity * (F.col("hot") + F.col("cold"))
-    found = counts.where(pure & (surprise < float(np.log(risk)))).orderBy(F.desc("hot"), "stem").limit(most).collect()
-    found = {r["stem"]: (int(r["hot"]), int(r["cold"])) for r in found}
+    chance = lambda h, c: F.col(c) * F.log(F.greatest(F.col(h) + F.col(c), F.lit(1))) + F.col(h) * share + rows < float(np.log(risk))
+    pure = (F.col("hot") >= purity * (F.col("hot") + F.col("cold"))) & chance("hot", "cold")
+    one_sided = F.col("hot2") / n1 >= (F.col("hot2") / n1 + F.col("cold2") / n0) * (purity - 0.03)
+    kept = counts.where(pure | (one_sided & chance("hot2", "cold2"))).orderBy(F.desc("hot"), "stem").limit(most).collect()
+    found = {r["stem"]: (int(r["hot"]), int(r["cold"])) for r in kept}
     best: dict[str, int] = {}
     for stem, (hot, _) in found.items():
         best[stem[:-1]] = max(best.get(stem[:-1], 0), hot)
     odds = lambda k, n: np.log((k + 0.5) / (n - k + 0.5))
-    return {s: float(np.clip(odds(h, n1) - odds(c, n0), 1.0, 8.0)) for s, (h, c) in found.items() if best.get(s, 0) < 0.9 * h}
+    ends = {s for s, (h, _) in found.items() if best.get(s, 0) < 0.9 * h}
+    # an inflection of a stem that stays says no more than the stem
+    ends = {s for s in ends if not any(s[:k] in ends for k in range(MIN_STEM, len(s)))}
+    return {s: float(np.clip(odds(found[s][0], n1) - odds(found[s][1], n0), 1.0, 8.0)) for s in ends}
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Grammar:
@@ -185,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Grammar:
         x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], dtype=float)
         grammar.weights = logistic.fit(x, y, l2=1e-4, weights=np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())))
     else:
-        grammar.weights = np.array([-3.0, 1.0, 0.0, 1.0, 0.0, 0.0])
+        grammar.weights = np.array([-3.0, 1.0, 0.0, 1.0, 0.0, 0.0, 0.0])
     grammar.memo = {}
     return grammar
 
