@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +46,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram, lo, hi): every window start lies in one [lo, hi] whose windows share the anchor."""
+    """(gram, lo, hi, place): every window start lies in one [lo, hi] whose windows share the anchor at ``place``."""
     out = []
     for at in range(0, len(data) - length + 1, CHUNK):
         part = data[at : at + CHUNK + length - 1]
@@ -54,9 +55,9 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         best = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
         place = (best & low).astype(np.int64)
         lo = np.append(0, np.flatnonzero(np.diff(place)) + 1)
-        out.append((h[place[lo]], lo + at, np.append(lo[1:] - 1, len(place) - 1) + at))
+        out.append((h[place[lo]], lo + at, np.append(lo[1:] - 1, len(place) - 1) + at, place[lo] + at))
     if not out:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.uint64), *(np.empty(0, dtype=np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -98,7 +99,14 @@ def repeated_cells(rows: DataFrame, length: int, bits: int, buckets: int, hold:
 
 
 def segments(rows: DataFrame, length: int, bits: int, many: bytes) -> DataFrame:
-    """(gram, key, node, lo, size, segment) of anchors whose gram may occur again."""
+    """(gram, key, left, right, node, lo, size) of anchors whose gram may occur again.
+
+    ``key`` digests the segment's bytes. A window reaches over at least half of what it holds besides
+    the gram on one side of it, so two segments have an equal window only if those bytes agree to
+    the left or to the right: ``left`` and ``right`` are their checksums, null where no window of
+    the segment reaches so far.
+    """
+    half = (length - GRAM) // 2
     shared = rows.sparkSession.sparkContext.broadcast(many)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,15 +115,32 @@ def segments(rows: DataFrame, length: int, bits: int, many: bytes) -> DataFrame:
             out = []
             for node, text in zip(batch["node"], batch["text"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                gram, lo, hi = anchors(np.frombuffer(raw, dtype=np.uint8), length)
+                gram, lo, hi, place = anchors(np.frombuffer(raw, dtype=np.uint8), length)
                 cell = (gram >> np.uint64(64 - bits)).astype(np.uint32)
                 hit = np.flatnonzero((bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
-                for g, a, b in zip(gram[hit].view(np.int64).tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
-                    piece = raw[a : b + length]
-                    out.append((g, hashlib.blake2b(piece, digest_size=16).digest(), node, a, b - a + 1, piece))
-            yield pd.DataFrame(out, columns=["gram", "key", "node", "lo", "size", "segment"])
+                for g, a, b, at in zip(gram[hit].view(np.int64).tolist(), *(x[hit].tolist() for x in (lo, hi, place)), strict=True):
+                    left = zlib.crc32(raw[at - half : at]) if at - half >= a else None
+                    right = zlib.crc32(raw[at + GRAM : at + GRAM + half]) | 1 << 32 if at + GRAM + half <= b + length else None
+                    out.append((g, hashlib.blake2b(raw[a : b + length], digest_size=16).digest(), left, right, node, a, b - a + 1))
+            yield pd.DataFrame(out, columns=["gram", "key", "left", "right", "node", "lo", "size"]).astype({"left": "Int64", "right": "Int64"})
+
+    return rows.mapInPandas(run, "gram long, key binary, left long, right long, node long, lo long, size int")
+
+
+def cut_segments(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(gram, key, size, segment): the bytes of the segments named by (gram, key, node, lo, size)."""
+    named = wanted.groupBy("node").agg(F.collect_list(F.struct("gram", "key", "lo", "size")).alias("cuts"))
+    named = common.materialize(named, "substring-cuts")
+    texts = rows.join(common.small(named.select("node")), "node", "left_semi").dropDuplicates(["node"]).join(named, "node")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text, cuts in zip(batch["text"], batch["cuts"], strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                out = [(c["gram"], c["key"], c["size"], raw[c["lo"] : c["lo"] + c["size"] - 1 + length]) for c in cuts]
+                yield pd.DataFrame(out, columns=["gram", "key", "size", "segment"])
 
-    return rows.mapInPandas(run, "gram long, key binary, node long, lo long, size int, segment binary")
+    return texts.select("text", "cuts").mapInPandas(run, "gram long, key binary, size int, segment binary")
 
 
 def sort_shards(distinct: DataFrame, length: int, shards: int, budget: int) -> DataFrame:
@@ -213,17 +238,22 @@ def dedup_substrings(
     many = repeated_cells(single, length, bits, buckets)
     found = common.materialize(segments(single, length, bits, many), "substring-segments")
 
-    distinct = found.groupBy("gram", "key").agg(F.first("segment").alias("segment"), F.first("size").alias("size"), F.count("*").alias("n"))
-    distinct = common.materialize(distinct, "substring-distinct")
-    grams = distinct.groupBy("gram").agg(F.count("*").alias("variants"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("sure"))
-    open_ = common.materialize(grams.where("variants > 1").select("gram", "variants"), "substring-open")
-    work = distinct.join(common.small(open_), "gram")
-    volume = work.agg(F.sum(F.length("segment"))).first()[0] or 0
+    # bytes are fetched for one of each kind of segment, and only where a gram has several kinds
+    # that agree on a side
+    one = F.min(F.struct("node", "lo", "size", "left", "right")).alias("one")
+    distinct = common.materialize(found.groupBy("gram", "key").agg(one, F.count("*").alias("n")), "substring-distinct")
+    distinct = distinct.select("gram", "key", "n", "one.*")
+    sides = distinct.select("gram", "key", F.explode(F.array("left", "right")).alias("side")).where("side is not null")
+    agreed = sides.groupBy("gram", "side").agg(F.count("*").alias("c")).where("c > 1").select("gram", "side")
+    agreed = common.materialize(sides.join(agreed, ["gram", "side"]).select("gram", "key").distinct(), "substring-agreed")
+    open_ = common.materialize(agreed.groupBy("gram").agg(F.count("*").alias("variants")), "substring-open")
+    wanted = distinct.join(agreed, ["gram", "key"], "left_semi").join(common.small(open_), "gram")
+    work = cut_segments(single, wanted, length).join(common.small(open_), "gram")
+    volume = wanted.agg(F.sum(F.col("size") + length)).first()[0] or 0
     shards = max(1, -(-volume // shard_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     flagged = sort_shards(work.where(F.col("variants") <= largest_group), length, shards, budget)
-    hot = work.where(F.col("variants") > largest_group)
     if not open_.where(F.col("variants") > largest_group).isEmpty():
-        flagged = flagged.unionByName(hash_windows(hot, length))
+        flagged = flagged.unionByName(hash_windows(work.where(F.col("variants") > largest_group), length))
     sure = distinct.where("n > 1").select("gram", "key", F.array(F.array(F.lit(0), F.col("size") - 1)).alias("runs"))
     # two equal windows never share a segment: they have different anchors
     flagged = common.materialize(flagged.unionByName(sure), "substring-flagged")
