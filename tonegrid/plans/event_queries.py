@@ -120,7 +120,7 @@ def beat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TEMPO}, p AS (SELECT signal_id, 60 / tempo AS period FROM tp), l AS (SELECT signal_id, max(t) AS last, min(t) AS first FROM tm GROUP BY 1)
-    SELECT signal_id, CASE WHEN first + 2 * period <= last THEN 1.0 ELSE NULL END AS regular FROM p JOIN l USING (signal_id)""")
+    SELECT signal_id, CASE WHEN first + 2 * period <= last THEN CAST(1 AS DOUBLE) ELSE NULL END AS regular FROM p JOIN l USING (signal_id)""")
 def beat_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beats lie on an exact grid, so wherever there are three the stability is 1 (to six decimals)."""
     times = tables.event_times(spark, sf_dir)
@@ -202,7 +202,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {o.SEGMENTS}, {o.SEG_LAG}, d AS (SELECT *, abs(energy - e0) AS de, abs(spectral_centroid - c0) / 5000 AS ds, content_type <> k0 AS dk FROM lagged WHERE e0 IS NOT NULL)
     SELECT signal_id, CAST(segment AS BIGINT) AS to_segment, round(start_time, 6) AS "time", CASE WHEN dk THEN 'Abrupt' WHEN de > 0.5 AND energy > e0 THEN 'BuildUp' WHEN de > 0.5 THEN 'DropOut' ELSE 'Smooth' END AS transition_type,
-        round(least(de + ds, 1), 6) AS strength, 0.1 AS duration FROM d WHERE de > 0.3 OR ds > 0.3 OR dk""")
+        round(least(de + ds, 1), 6) AS strength, CAST(0.1 AS DOUBLE) AS duration FROM d WHERE de > 0.3 OR ds > 0.3 OR dk""")
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(segments.transitions(segment_rows(spark, sf_dir)))
 
@@ -234,7 +234,7 @@ def energy_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {o.SEGMENTS}, {EXTREMES}, g AS (SELECT signal_id, "time", "time" - lag("time") OVER (PARTITION BY signal_id ORDER BY "time") AS gap FROM ex WHERE kind = 'peak'),
     p AS (SELECT signal_id, min("time") AS first, count(*) AS c FROM g GROUP BY 1 HAVING count(*) > 2), m AS (SELECT signal_id, {o.percentile("gap", 50)} AS period FROM g WHERE gap IS NOT NULL GROUP BY 1)
-    SELECT signal_id, round(period, 6) AS period, round(first % period, 6) AS phase, 0.7 AS strength FROM p JOIN m USING (signal_id)""")
+    SELECT signal_id, round(period, 6) AS period, round(first % period, 6) AS phase, CAST(0.7 AS DOUBLE) AS strength FROM p JOIN m USING (signal_id)""")
 def periodic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(segments.periodic_events(segment_rows(spark, sf_dir)))
 

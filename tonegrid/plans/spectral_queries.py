@@ -315,7 +315,7 @@ def yin_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     cn AS (SELECT fs.signal_id, CAST(floor({PITCH} / (CASE WHEN abs((y2 - 2 * y + y0) / 2) < 1.1920929e-07 THEN dp.tau ELSE greatest(dp.tau - (y2 - y0) / 2 / (y2 - 2 * y + y0), 1) END) / 5 + 0.5) AS BIGINT) AS b, power(greatest(least(1 - y, 1), 0), 9) * exp(-10 * abs(t - 0.15)) AS w FROM fs JOIN dp USING (signal_id, tau)),
     cb AS (SELECT signal_id, b, sum(w) AS w FROM cn GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY w DESC, b) AS r FROM cb),
     ag AS (SELECT signal_id, max(CASE WHEN r = 1 THEN b * 5.0 END) AS f, max(CASE WHEN r = 1 THEN w END) AS w1, max(CASE WHEN r = 2 THEN w END) AS w2, sum(w) AS ws FROM rk WHERE r <= 10 GROUP BY 1)
-    SELECT e.signal_id, round(coalesce(f, 0), 6) AS frequency, round(coalesce(w1 / ws, 0), 6) AS confidence, round(CASE WHEN f IS NULL THEN 0 WHEN w2 IS NULL THEN 1 ELSE (w1 / greatest(w2, 1.1920929e-07) - 1) / (w1 / greatest(w2, 1.1920929e-07) + 1) END, 6) AS clarity FROM (SELECT DISTINCT signal_id FROM ev) e LEFT JOIN ag USING (signal_id)""")
+    SELECT e.signal_id, CAST(round(coalesce(f, 0), 6) AS DOUBLE) AS frequency, round(coalesce(w1 / ws, 0), 6) AS confidence, round(CASE WHEN f IS NULL THEN 0 WHEN w2 IS NULL THEN 1 ELSE (w1 / greatest(w2, 1.1920929e-07) - 1) / (w1 / greatest(w2, 1.1920929e-07) + 1) END, 6) AS clarity FROM (SELECT DISTINCT signal_id FROM ev) e LEFT JOIN ag USING (signal_id)""")
 def pyin_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vectors(spark, sf_dir).select("signal_id", pitch.detect("samples", PITCH, pitch.pyin()).alias("p"))
     return rounded(out.select("signal_id", "p.frequency", "p.confidence", "p.clarity"))
