@@ -141,14 +141,16 @@ def write_archives(
     payload = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     count, total = payload.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
     records = max(1, archive_bytes * count // max(1, total))
-    picks = payload.where((F.octet_length("html") > 0) & (F.octet_length("html") <= sample_bytes // 50))
-    picks = picks.orderBy(F.xxhash64(F.col("id")), "id", F.xxhash64("html")).limit(sample_rows).collect()
-    bodies, room = [], sample_bytes
+    fit = payload.where((F.octet_length("html") > 0) & (F.octet_length("html") <= sample_bytes // 50) & F.col("id").isNotNull())
+    # ids and sizes alone are ordered; the texts of those chosen are fetched afterwards
+    picks = fit.select("id", F.octet_length("html").alias("n")).orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
+    chosen, room = [], sample_bytes
     for r in picks:
-        body = r["html"].encode()
-        if len(body) <= room:
-            bodies.append(body)
-            room -= len(body)
+        if r["n"] <= room:
+            chosen.append((r["id"],))
+            room -= r["n"]
+    wanted = F.broadcast(spark.createDataFrame(chosen, "id long"))
+    bodies = [r["html"].encode() for r in fit.join(wanted, "id", "left_semi").dropDuplicates(["id"]).orderBy("id").collect()]
     dictionary = spark.sparkContext.broadcast(train_dictionary(bodies))
 
     def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
