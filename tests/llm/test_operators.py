@@ -179,6 +179,13 @@ def test_ngram_join_repeated_and_null_ids(docs):
     assert {r["doc_id"]: r["component_id"] for r in got.where("doc_id is not null").collect()} == want
 
 
+def test_ngram_join_goes_on_after_leaders_of_other_sizes(spark):
+    """The one shared signature is led by a set too small for both others, which link."""
+    rows = [(1, "c d e f g"), (2, "a b c d e f g h i"), (3, "a b c d e f g h")]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute_components(rows) == [(1, 1, 1), (2, 5, 2), (3, 4, 2)]
+
+
 def test_signatures_lose_no_pair():
     rng = np.random.default_rng(0)
     plan = ngram_join.Plan(frequent=1)

@@ -359,7 +359,8 @@ def ngram_join(
             pairs = cross.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
         pairs = common.materialize(pairs, "jaccard-pairs")
         if pairs.isEmpty():
-            break
+            # leaders of other sizes give no pairs though others of their signature may: only the last turn is exact
+            continue
         found = common.materialize(linked(pairs), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
