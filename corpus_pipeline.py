@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from tonegrid.llm import common, exact_dedup, ngram_join, packing, quality_rules, source_mixing
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``, and those without one, which nothing can name."""
+def _named(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``."""
     ids = common.small(common.materialize(ids.select(F.col("doc_id").alias("__id")).distinct(), "pipeline-keep"))
-    named = docs.join(ids, docs["doc_id"] == F.col("__id"), "left_semi")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    return docs.join(ids, docs["doc_id"] == F.col("__id"), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,29 +23,49 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id; of rows repeated with one doc_id, one."""
-    kept = exact_dedup.exact_dedup(docs, keep="min").where("kept and doc_id is not null")
-    kept = common.materialize(kept.groupBy("doc_id").agg(F.count("*").alias("n")), "pipeline-exact")
-    again = kept.where("n > 1")
+    """Of equal texts the row with the smallest doc_id; of rows repeated with one doc_id, one.
+
+    A row without a doc_id stays only where no row of its text has one: one row a text.
+    """
+    sha = F.when(F.col("doc_id").isNull(), F.col("text_sha256")).alias("sha")
+    kept = exact_dedup.exact_dedup(docs, keep="min").where("kept").groupBy("doc_id", sha).agg(F.count("*").alias("n"))
+    kept = common.materialize(kept, "pipeline-exact")
+    ids, loose = kept.where("doc_id is not null"), kept.where("doc_id is null").select(F.col("sha").alias("__sha"))
+    again = ids.where("n > 1")
     if again.isEmpty():
-        return _keep(docs, kept)
-    once = _keep(docs, kept.where("n = 1"))
-    several = docs.join(common.small(again.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(several.select(docs.columns))
+        out = _named(docs, ids)
+    else:
+        several = docs.join(common.small(again.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = _named(docs, ids.where("n = 1")).unionByName(several.select(docs.columns))
+    if loose.isEmpty():
+        return out
+    unnamed = docs.where("doc_id is null").withColumn("__sha", F.sha2(common.lower_az(F.col("text")), 256))
+    unnamed = unnamed.join(common.small(loose), "__sha", "left_semi").dropDuplicates(["__sha"])
+    return out.unionByName(unnamed.select(docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group linked by near-equal shingle sets."""
-    return _keep(docs, ngram_join.ngram_join(docs).where("doc_id = component_id"))
+    """One document, that with the smallest doc_id, of each group linked by near-equal shingle sets.
+
+    Rows without a doc_id stay, as the join's result can't name them.
+    """
+    kept = _named(docs, ngram_join.ngram_join(docs).where("doc_id = component_id"))
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    taken = source_mixing.mix_sources(docs).where("size > 0 and taken > 0 and doc_id is not null")
-    times = taken.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    times = common.small(common.materialize(times, "pipeline-mix"))
-    rows = docs.join(times, docs["doc_id"] == F.col("__id"))
-    return rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    """Every document as many times as the mix takes it; one without a doc_id is known by its text and source."""
+    key = F.when(F.col("doc_id").isNull(), F.sha2(F.to_json(F.struct("text", "source")), 256))
+    keyed = docs.withColumn("__key", key)
+    taken = source_mixing.mix_sources(keyed, carry=("__key",)).where("size > 0 and taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias("__id"), "__key").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    times = common.materialize(times, "pipeline-mix")
+    ids, loose = times.where("__id is not null").drop("__key"), times.where("__id is null").drop("__id")
+    rows = docs.join(common.small(ids), docs["doc_id"] == F.col("__id")).drop("__id")
+    if not loose.isEmpty():
+        unnamed = keyed.where("doc_id is null").join(common.small(loose), "__key").drop("__key")
+        rows = rows.unionByName(unnamed)
+    return rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import collections
 import pytest
 
 import corpus_pipeline
-from tonegrid.llm import quality_rules
+from tonegrid.llm import quality_rules, source_mixing
 
 from .test_operators import SCHEMA, WORD, brute_components, lower, texts
 
@@ -68,6 +68,22 @@ def test_mix_stage(stages):
     assert words(after) == pytest.approx(1.5 * words(before), rel=0.35)
 
 
+def test_rows_without_an_id(spark):
+    """Exact keeps one of a text, none where an id has it; the mix repeats each as often as it takes it."""
+    word = lambda i: " ".join(f"w{i}x{j}" for j in range(10))
+    rows = [(i, word(i), "ab"[i % 2]) for i in range(6)] + [(None, word(i).upper() if i % 3 else word(i), "ab"[i % 2]) for i in (4, 5, 6, 6, 6, 7, 8, 8, 9)]
+    docs = spark.createDataFrame(rows + [(None, word(7), "b")], "doc_id long, text string, source string")
+    kept = corpus_pipeline.exact(spark, docs, "")
+    got = [(r["doc_id"], lower(r["text"])) for r in kept.collect()]
+    assert collections.Counter(got) == collections.Counter([(i, word(i)) for i in range(6)] + [(None, word(i)) for i in range(6, 10)])
+    kept = spark.createDataFrame(kept.collect(), kept.schema)
+    taken = source_mixing.mix_sources(kept).collect()
+    mixed = corpus_pipeline.mix(spark, kept, "").collect()
+    for named in (True, False):
+        words = sum(len(WORD.findall(r["text"])) for r in mixed if (r["doc_id"] is not None) == named)
+        assert words == sum(r["taken"] for r in taken if (r["doc_id"] is not None) == named) > 0
+
+
 def test_pack_stage(stages):
     before, after, *_ = stages[0]["best_fit_packing"]
     assert collections.Counter(r[0] for r in before) == collections.Counter(r[0] for r in after if r[1] == 0)

@@ -65,8 +65,9 @@ def mix_sources(
     most: float = 2.0,
     seed: int = 17,
     cells: int = 4096,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken.
+    """One row per input row: id, size, source_size, target, taken, and the columns of ``carry``.
 
     Every document has the key ``-ln(u) / quality_weight``; within its source it is taken in key
     order until the words reach the source's budget. Complete epochs of the source come first
@@ -81,7 +82,7 @@ def mix_sources(
     repeated with the same id share a key and are ordered by size. Empty table: empty result.
     """
     size = word_count(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.col(text_col).alias("text"), *carry)
     base = base.withColumn("key", -F.log(uniform(F.col("id"), seed)) / quality_weight(F.col("text"), F.col("size")))
     base = base.withColumn("cell", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * cells).cast("int")).drop("text")
     base = common.materialize(base, "mix-keys")
@@ -101,7 +102,7 @@ def mix_sources(
     plan = common.small(plan)
     rows = base.alias("b").join(plan.alias("p"), same("b", "p")).select("b.*", "source_size", "target", "full", "rest")
     rows = rows.alias("r").join(cut.alias("c"), same("r", "c"), "left").select("r.*", "cut", "before")
-    inside = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source").orderBy("key", "id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     edge = rows.where("cell = cut").withColumn("upto", F.col("before") + F.sum("size").over(inside))
     near = F.col("upto") - F.col("size") / 2 <= F.col("rest")
     edge = edge.withColumn("extra", F.when(near, 1).otherwise(0)).drop("upto")
@@ -110,5 +111,5 @@ def mix_sources(
     other = other.withColumn("extra", F.when(F.coalesce(F.col("cell") < F.col("cut"), F.lit(False)), 1).otherwise(0))
     out = other.unionByName(edge)
     return out.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", ((F.col("full") + F.col("extra")) * F.col("size")).alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", ((F.col("full") + F.col("extra")) * F.col("size")).alias("taken"), *carry
     )
