@@ -398,6 +398,15 @@ def test_toxicity(labelled):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
 
 
+def test_toxicity_reads_joined_words():
+    grammar = toxicity.seed_grammar()
+    clause = lambda t: list(grammar.clauses(t))
+    assert clause("All is fine.Idiot") == [(4.0, False, False, False)]
+    assert clause("a total-idiot") == clause("an idiot2") == [(4.0, False, False, False)]
+    assert clause("you/idiot") == [(4.0, True, False, False)]
+    assert clause("it isn't_stupid") == [(4.0, False, True, False)]
+
+
 def test_toxicity_grammar_composes():
     grammar = toxicity.seed_grammar()
     clause = lambda t: list(grammar.clauses(t))

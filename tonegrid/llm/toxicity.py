@@ -65,12 +65,12 @@ class Grammar:
         """(weight, targeted, negated, reported) of each clause with an insult or a threat."""
         arc = self.arc
         lowered = text.lower()
-        hot = {t for t in set(lowered.split()) if (a := arc(t)) is not None and a[0] <= THREAT}
+        hot = {t for t in set(WORD.findall(lowered)) if (a := arc(t)) is not None and a[0] <= THREAT}
         if not hot:
             return
         for clause in CLAUSE.split(lowered):
             weight, targeted, negated, reported, near = 0.0, False, False, False, 0
-            tokens = clause.split()
+            tokens = WORD.findall(clause)
             if not any(t in hot or arc(t) is not None for t in tokens):
                 continue
             for token in tokens:
