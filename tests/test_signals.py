@@ -97,7 +97,7 @@ def test_windows_are_symmetric():
         assert np.allclose(w, w[::-1]) and max(w) == pytest.approx(1.0, abs=1e-5)
 
 
-@pytest.mark.parametrize("filters_,rate,size", [(10, 16000, 512), (20, 22050, 1024), (40, 44100, 2048), (80, 48000, 4096)])
+@pytest.mark.parametrize("filters_,rate,size", [(6, 8000, 128), (26, 11025, 512), (64, 32000, 1024)])
 def test_mel(spark, filters_, rate, size):
     ones = arrays_of(spark, s=np.ones(size // 2 + 1)).select("signal_id", F.lit(0).alias("frame_idx"), F.col("samples").alias("mag"))
     got = spectral.mel_energies(ones, filters_, rate, size).first()["mel"]
@@ -141,7 +141,7 @@ def test_peaks_against_brute_force(spark, seed):
     assert got == brute_peaks(x.tolist())
 
 
-@pytest.mark.parametrize("step,n,want,most", [(0.5, 9, 120, 5), (1.0, 6, 60, 5), (0.333, 10, 180, 10)])
+@pytest.mark.parametrize("step,n,want,most", [(0.6, 12, 100, 4), (0.8, 7, 75, 4), (0.4, 15, 150, 7)])
 def test_tempo_and_beats(spark, step, n, want, most):
     times = spark.createDataFrame([("s", 0.25 + i * step) for i in range(n)], "signal_id string, t double")
     found = temporal.tempo(times)
@@ -242,6 +242,8 @@ def test_quality(spark):
     got = {r["signal_id"]: r for r in quality.assess(rows, RATE).collect()}
     kinds = {k: {i["issue_type"] for i in r["issues"]} for k, r in got.items()}
     assert got["clean"]["clipping_ratio"] < 0.001 and got["clean"]["snr_db"] > 30
+    assert [i["time_ranges"] for i in got["clipped"]["issues"] if i["issue_type"] == "Clipping"][0][0]["start"] >= 0
+    assert all(not i["time_ranges"] for i in got["shifted"]["issues"] if i["issue_type"] != "Clipping")
     assert "Clipping" in kinds["clipped"] and "DCOffset" in kinds["shifted"] and abs(got["shifted"]["dc_offset"] - 0.1) < 0.01
     assert got["silent"]["frequency_response_score"] is None and got["silent"]["overall_score"] is None
 
@@ -336,8 +338,10 @@ def test_full_report(spark, tone):
     got = record.first()
     assert got["summary"]["duration"] == 2.0 and abs(got["summary"]["peak_amplitude"] - 0.5) < 0.01
     assert abs(np.mean(got["spectral"]["spectral_centroid"]) - 440) < 60
-    assert abs(got["pitch"]["mean_pitch"] - 440) < 10 and "Weak or ambiguous tonality" in got["insights"]
-    assert any("sample rate" in i["description"] for i in got["quality"]["issues"])
+    assert abs(got["pitch"]["mean_pitch"] - 440) < 10 and "tonality.vague" in {n["code"] for n in got["insights"]}
+    assert [(i["measured"], i["limit"]) for i in got["quality"]["issues"] if i["issue_type"] == "LowSampleRate"] == [(8000.0, 44100.0)]
+    lines = [r[0] for r in record.select(F.explode(F.transform("insights", report.note_text))).collect()]
+    assert any(x.startswith("pitch.mean 4") for x in lines) and "raise_rate" in got["recommendations"]
     assert report.enhanced_summary(record).first()["fingerprint"]["unique_id"].startswith("audio_")
     assert report.ranked_insights(record).first()["info"] and report.short_summary(record).first()["energy"] == "medium"
 

@@ -50,14 +50,8 @@ def encode(samples: np.ndarray, rate: int, channels: int = 1) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(head) + 8 + len(data)) + b"WAVE" + head + b"data" + struct.pack("<I", len(data)) + data
 
 
-def read_audio(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, format, sample_rate, channels, samples, duration, modificationTime, length, error): one row a file.
-
-    Files that can't be decoded (other formats have no decoder here) keep their row, with an error and
-    null samples. A file is one row, as the format holds at most 4 GB; files are read where Spark reads.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    files = files.withColumn("format", scalar.audio_format("path"))
+def decode_rows(files: DataFrame) -> DataFrame:
+    """(path, sample_rate, channels, samples, error) from (path, format, content), a row a file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -71,10 +65,18 @@ def read_audio(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
                     out.append((path_, None, None, None, str(e)))
             yield pd.DataFrame(out, columns=["path", "sample_rate", "channels", "samples", "error"]).astype({"sample_rate": "Int32", "channels": "Int32"})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    decoded = files.select("path", "format", "content").mapInPandas(run, SCHEMA)
-    meta = files.select("path", "format", "modificationTime", "length")
-    out = decoded.join(meta, "path")
+    return files.select("path", "format", "content").mapInPandas(run, SCHEMA)
+
+
+def read_audio(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, format, sample_rate, channels, samples, duration, modificationTime, length, error): one row a file.
+
+    Files that can't be decoded (other formats have no decoder here) keep their row, with an error and
+    null samples. A file is one row, as the format holds at most 4 GB; files are read where Spark reads.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    files = files.withColumn("format", scalar.audio_format("path"))
+    out = decode_rows(files).join(files.select("path", "format", "modificationTime", "length"), "path")
     duration = F.size("samples") / (F.col("sample_rate") * F.col("channels"))
     return out.withColumn("duration", F.when(F.col("error").isNull(), duration))
 
@@ -93,11 +95,11 @@ def channel(audio: DataFrame, index: int) -> DataFrame:
     return audio.where(F.col("channels") > index).select(F.col("path").alias("signal_id"), "sample_rate", picked.alias("samples"))
 
 
-def to_wav(signals: DataFrame, rate: int) -> DataFrame:
-    """(signal_id, content): each row's samples as a file of 32-bit floats."""
+def to_wav(signals: DataFrame, rate: int, channels: int = 1) -> DataFrame:
+    """(signal_id, content): each row's samples (of several channels in turn) as a file of 32-bit floats."""
 
     @F.pandas_udf("binary")
     def write(samples: pd.Series) -> pd.Series:
-        return samples.map(lambda s: encode(np.asarray(s), rate))
+        return samples.map(lambda s: encode(np.asarray(s), rate, channels))
 
     return signals.select("signal_id", write("samples").alias("content"))
