@@ -8,7 +8,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,26 +123,21 @@ def write_archives(
     sample_bytes: int = 8 << 20,
     level: int = 3,
 ) -> str:
-    """Write ``path``/part-*: archives of about ``archive_bytes`` of payload at most; returns the path.
+    """Write ``path``/part-*: archives of at most ``archive_bytes`` or one record; returns the path.
 
     Every task writes the pages that it reads, so no payload is shuffled (unless equal payloads are
-    too many groups to broadcast); after as many records as an archive holds on average the next
-    one begins, with the dictionary again.
-
-    Every archive starts with a skippable frame that holds the dictionary, and each record is a
-    frame of its own. Spark's text sink writes the bytes (its line separator is an empty skippable
-    frame, which every Zstandard reader passes over), so archives go to any store that Spark can
-    write and are committed task by task. The dictionary is trained on whole payloads: at most
-    ``sample_rows`` of them, the ones whose id hashes lowest, up to ``sample_bytes``.
+    too many groups to broadcast). Every archive starts with a skippable frame that holds the
+    dictionary, and each record is a frame of its own. An archive is one row to Spark's text sink, a
+    file each (its line separator is an empty skippable frame, which every Zstandard reader passes
+    over), so archives go to any store that Spark can write and are committed task by task. The
+    dictionary is trained on whole records: at most ``sample_rows`` of them, the pages whose id
+    hashes lowest, as far as their payloads fit into ``sample_bytes``.
     """
     spark = pages.sparkSession
-    common.python_batches(spark)
     rows = plan_records(pages, id_col, url_col, html_col, least)
-    payload = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    count, total = payload.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
-    records = max(1, archive_bytes * count // max(1, total))
-    fit = payload.where((F.octet_length("html") > 0) & (F.octet_length("html") <= sample_bytes // 50) & F.col("id").isNotNull())
+    payload = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     # ids and sizes alone are ordered; the texts of those chosen are fetched afterwards
+    fit = payload.where(F.col("id").isNotNull())
     picks = fit.select("id", F.octet_length("html").alias("n")).orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
     chosen, room = [], sample_bytes
     for r in picks:
@@ -150,61 +145,61 @@ def write_archives(
             chosen.append((r["id"],))
             room -= r["n"]
     wanted = F.broadcast(spark.createDataFrame(chosen, "id long"))
-    bodies = [r["html"].encode() for r in fit.join(wanted, "id", "left_semi").dropDuplicates(["id"]).orderBy("id").collect()]
-    dictionary = spark.sparkContext.broadcast(train_dictionary(bodies))
+    sample = [(r["id"], r["url"], r["html"].encode()) for r in fit.join(wanted, "id", "left_semi").dropDuplicates(["id"]).orderBy("id").collect()]
+    records = [record(i, url, body, base32_sha1(body), None, None) for i, url, body in sample]
+    dictionary = spark.sparkContext.broadcast(train_dictionary(records))
 
-    def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        data = dictionary.value
-        cctx = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(data) if data else None)
-        n = 0
+        start = head(dictionary.value)
+        cctx = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary.value) if dictionary.value else None)
+        held, size = [start], 0
         for batch in batches:
-            out = []
-            for page_id, url, html, refers_to, refers_url in batch.itertuples(index=False):
-                if n % records == 0:
-                    out.append(head(data))
-                n += 1
-                body = (html or "").encode("utf-8", "surrogatepass")
-                ids = [None if pd.isna(x) else int(x) for x in (page_id, refers_to)]
-                out.append(cctx.compress(record(ids[0], url, body, base32_sha1(body), ids[1], refers_url)))
-            yield pd.DataFrame({"value": out})
-
-    chunks = rows.mapInPandas(compress, "value binary").select(F.col("value").cast("string").alias("value"))
-    # a file ends after the head and its records, so the next one begins with a head
-    chunks.write.option("maxRecordsPerFile", records + 1).option("lineSep", GAP.decode("latin1")).option("compression", "none").text(path)
+            for page_id, url, html, refers_to, refers_url in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to", "refers_url")), strict=True):
+                body = (html.as_py() or "").encode("utf-8", "surrogatepass")
+                one = cctx.compress(record(page_id.as_py(), url.as_py(), body, base32_sha1(body), refers_to.as_py(), refers_url.as_py()))
+                if size and size + len(one) > archive_bytes:
+                    yield pa.RecordBatch.from_pydict({"value": [b"".join(held)]})
+                    held, size = [start], 0
+                held.append(one)
+                size += len(one)
+        if size:
+            yield pa.RecordBatch.from_pydict({"value": [b"".join(held)]})
+
+    archives = rows.mapInArrow(compress, "value binary").select(F.col("value").cast("string").alias("value"))
+    archives.write.option("maxRecordsPerFile", 1).option("lineSep", GAP.decode("latin1")).option("compression", "none").text(path)
     return path
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """Records of every archive under ``path``: RECORDS and the payload's own digest check."""
-    files = spark.read.format("binaryFile").load(path)
+    """Records of every archive under ``path``: RECORDS, each response checked against its digest."""
+    files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(path)
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(part: pa.RecordBatch) -> dict:
         number = lambda s: None if s is None or s == "<urn:page:null>" else int(s.rpartition(":")[2].rstrip(">"))
-        for batch in batches:
-            for content in batch["content"]:
-                rows = []
-                for raw in frames(content):
-                    fields, http, payload = parse(raw)
-                    kind, digest = fields["warc-type"], fields["warc-payload-digest"].partition(":")[2]
-                    n = int(http.decode().lower().partition("content-length: ")[2].split("\r\n")[0])
-                    if kind == "response" and (len(payload) != n or base32_sha1(payload) != digest):
-                        raise ValueError(f"damaged record {fields['warc-record-id']}")
-                    rows.append((number(fields["warc-record-id"]), n, digest, kind, number(fields.get("warc-refers-to"))))
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    return files.select("content").mapInPandas(expand, RECORDS)
+        rows = []
+        for content in common.bytes_of(part, "content"):
+            for raw in frames(content):
+                fields, http, payload = parse(raw)
+                kind, digest = fields["warc-type"], fields["warc-payload-digest"].partition(":")[2]
+                n = int(http.decode().lower().partition("content-length: ")[2].split("\r\n")[0])
+                if kind == "response" and (len(payload) != n or base32_sha1(payload) != digest):
+                    raise ValueError(f"damaged record {fields['warc-record-id']}")
+                rows.append((number(fields["warc-record-id"]), n, digest, kind, number(fields.get("warc-refers-to"))))
+        names = [c.split()[0] for c in RECORDS.split(", ")]
+        return dict(zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True))
+
+    return common.map_parts(files.select("content"), lambda: work, RECORDS, most=1)
 
 
 def warc_round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back: one row per page.
 
-    Null html is an empty payload; null urls are empty; equal payloads (empty ones too, from
-    ``least`` bytes) are one response and revisits to it. Rows that repeat a page_id and payload
-    are all responses; a row without an id revisits the first that has one. An empty table gives archives without records and an empty result.
+    Null html is an empty payload; null urls are empty; whole payloads are written, however long;
+    equal payloads (empty ones too, from ``least`` bytes) are one response and revisits to it. Rows
+    that repeat a page_id and payload are all responses; a row without an id revisits the first
+    that has one. Other columns are ignored. An empty table gives no archive and an empty result.
     """
     spark = pages.sparkSession
     path = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
