@@ -62,7 +62,34 @@ QUERIES = {
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"[^\x20\x09-\x0D]+"
 
+HOST = r"translate(regexp_extract(coalesce({0}, ''), '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^\s"''>]+)"""
+
 ORACLES = {
+    "op2_url_filter": rf"""
+        WITH RECURSIVE u AS MATERIALIZED (SELECT page_id, {HOST.format("url")} AS host,
+                regexp_extract(coalesce(url, ''), '^[\s\S]*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages),
+        rules AS (SELECT * FROM (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+            ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) AS t(rule, domain, rule_path, v)),
+        m AS MATERIALIZED (SELECT host, path, arg_max(rule, len(rule)) AS rule, arg_max(v, len(rule)) AS v FROM (SELECT DISTINCT host, path FROM u)
+            JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, rule_path) GROUP BY 1, 2),
+        l AS (SELECT host AS src, {HOST.format("t")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{LINK}', 1)) AS t FROM u)),
+        e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+        k AS (SELECT 't' AS kind, src AS host, dst AS goal, n FROM e UNION ALL SELECT 'd', dst, src, n FROM e),
+        flow AS MATERIALIZED (SELECT kind, host, goal, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM k),
+        c AS (SELECT CASE v WHEN 'allow' THEN 't' ELSE 'd' END AS kind, host, count(*) AS n FROM m GROUP BY 1, 2),
+        seeds AS MATERIALIZED (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS seed FROM c),
+        p AS (SELECT 0 AS i, kind, host, seed AS score FROM seeds
+            UNION ALL (
+                WITH moved AS (SELECT p.i + 1 AS i, f.kind, f.goal AS host, sum(score * share) * 0.85 AS score
+                        FROM p JOIN flow f ON f.kind = p.kind AND f.host = p.host WHERE p.i < 120 GROUP BY 1, 2, 3),
+                held AS (SELECT kind, sum(score) AS moved FROM moved GROUP BY 1),
+                nxt AS (SELECT i, kind, host, score FROM moved
+                    UNION ALL SELECT t.i, s.kind, s.host, s.seed * (1 - coalesce(h.moved, 0)) FROM seeds s LEFT JOIN held h ON h.kind = s.kind, (SELECT max(i) + 1 AS i FROM p) t WHERE t.i <= 120)
+                SELECT i, kind, host, sum(score) FROM nxt GROUP BY 1, 2, 3)),
+        r AS (SELECT host, coalesce(sum(score) FILTER (kind = 't'), 0) AS t, coalesce(sum(score) FILTER (kind = 'd'), 0) AS d FROM p WHERE i = 120 GROUP BY 1)
+        SELECT page_id, u.host, u.path, m.rule, coalesce(m.v, CASE WHEN u.host <> '' AND r.d - 0.5 * (r.t + r.d) > 0.001 * (r.t + r.d) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM u LEFT JOIN m ON m.host = u.host AND m.path = u.path LEFT JOIN r ON r.host = u.host""",
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {LOWER} AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)

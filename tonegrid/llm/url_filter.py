@@ -24,62 +24,78 @@ def path_of(url: Column) -> Column:
 
 def rule_table(spark: SparkSession, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     rows = [(r, r[: r.index("/")], r[r.index("/") :], v) for v, r in rules]
-    return spark.createDataFrame(rows, "rule string, domain string, rule_path string, rule_verdict string")
+    names = ("rule", "domain", "rule_path", "rule_verdict")
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows])))
 
 
-def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(urls: DataFrame, rules: DataFrame, most_labels: int) -> DataFrame:
     """(host, path) -> the longest rule that fits; of equally long ones the least by code point.
 
-    A host fits the rules of its own name and of every parent domain, so its suffixes are joined
-    by equality with the rules' domains; no host meets a rule of another domain.
+    A host fits the rules of its own name and of every parent domain, so its suffixes of up to
+    ``most_labels`` labels (no rule's domain has more) are joined by equality with the rules'
+    domains; no host meets a rule of another domain.
     """
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -i) for i in range(1, most_labels + 1)]))
     distinct = urls.select("host", "path").distinct()
-    fits = distinct.withColumn("domain", F.explode(suffixes)).join(rules, "domain").where(F.startswith("path", "rule_path"))
+    fits = distinct.withColumn("domain", F.explode(suffixes)).join(F.broadcast(rules), "domain").where(F.startswith("path", "rule_path"))
     ranked = fits.groupBy("host", "path", F.length("rule").alias("n")).agg(F.min(F.struct("rule", "rule_verdict")).alias("r"))
     ranked = ranked.groupBy("host", "path").agg(F.max_by("r", "n").alias("r"))
     return ranked.select("host", "path", "r.rule", "r.rule_verdict")
 
 
 def host_edges(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
-    """(src, dst, share): every absolute link of a host's pages; a host's shares sum to 1."""
+    """(src, dst, n): how many absolute links each host's pages have to each other host."""
     links = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK), F.lit(1))).alias("to"))
     links = links.select("src", host_of(F.col("to")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(hosts: DataFrame, edges: DataFrame, rounds: int = 12, damping: float = 0.85, every: int = 4) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, scratch: common.Scratch, damping: float = 0.85, tolerance: float = 1e-4, every: int = 8, most: int = 400) -> DataFrame:
     """Two personalised PageRanks at once: (host, trust, distrust).
 
     Trust starts at hosts with ``seed_trust`` > 0 and follows links; distrust starts at hosts with
     ``seed_block`` > 0 and goes against them, since a host that links to a blocked one is suspect.
-    Each round is one join on the host; lineage is cut by ``checkpoint()`` every few rounds.
+    What a host without links holds goes back to the seeds, so each rank's sum stays 1. Each round
+    is one join on the host; every few rounds the ranks are written, and the work ends when a round
+    moves less than ``tolerance`` of either rank. More than ``most`` rounds raise an error.
     """
-    spark = hosts.sparkSession
-    common.shared_dir(spark)
     flow = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n")
     flow = flow.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n"))
     out = flow.groupBy("kind", "host").agg(F.sum("n").alias("all"))
-    flow = common.materialize(flow.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("share")), "link-flow")
+    flow = scratch.write(flow.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("share")), "flow")
 
-    total = hosts.agg(F.sum("seed_trust").alias("trust"), F.sum("seed_block").alias("distrust")).first()
+    sums = hosts.agg(F.sum("seed_trust").alias("trust"), F.sum("seed_block").alias("distrust")).first()
     seeds = None
     for kind, column in (("trust", "seed_trust"), ("distrust", "seed_block")):
-        if total and total[kind]:
-            part = hosts.where(F.col(column) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(column) / float(total[kind])).alias("seed"))
+        if sums and sums[kind]:
+            part = hosts.where(F.col(column) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(column) / float(sums[kind])).alias("seed"))
             seeds = part if seeds is None else seeds.unionByName(part)
     if seeds is None:
         return hosts.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
-    seeds = common.materialize(seeds, "link-seeds")
-    score = seeds.withColumnRenamed("seed", "score")
-    if not flow.isEmpty():
-        for i in range(rounds):
-            moved = score.join(flow, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
-            back = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-            score = moved.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            if (i + 1) % every == 0:
-                score = score.checkpoint()
+    seeds = scratch.write(seeds, "seeds")
+
+    def step(score: DataFrame) -> DataFrame:
+        moved = score.join(flow, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
+        # one row a kind: what is left for the seeds
+        held = moved.groupBy("kind").agg(F.sum("score").alias("moved"))
+        back = seeds.join(F.broadcast(held), "kind", "left")
+        back = back.select("kind", "host", (F.col("seed") * (F.lit(1.0) - F.coalesce("moved", F.lit(0.0)))).alias("score"))
+        return moved.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+
+    score, change, rounds = seeds.withColumnRenamed("seed", "score"), 1.0, 0
+    if flow.isEmpty():
+        change = 0.0
+    while change > tolerance:
+        if rounds >= most:
+            raise RuntimeError(f"ranks still move by {change} after {rounds} rounds")
+        for _ in range(every - 1):
+            score = step(score)
+        before = scratch.write(score, "score")
+        score = scratch.write(step(before), "score")
+        rounds += every
+        both = before.withColumnRenamed("score", "old").join(score, ["kind", "host"], "full")
+        moved = both.groupBy("kind").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d"))
+        change = moved.agg(F.max("d")).first()[0] or 0.0
     by_host = score.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias("distrust"),
@@ -93,32 +109,37 @@ def filter_urls(
     url_col: str = "url",
     html_col: str = "html",
     rules: tuple[tuple[str, str], ...] = RULES,
-    rounds: int = 12,
     damping: float = 0.85,
     threshold: float = 0.5,
+    margin: float = 1e-3,
 ) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, trust, distrust.
 
     The rule's verdict holds where a rule fits the page; elsewhere the host's propagated scores
-    decide: a host is blocked when distrust makes up more than ``threshold`` of both. Seeds are
-    the hosts of rule-matched pages, in proportion to their number of distinct paths. A host that
-    nothing reaches is allowed, and so are an empty host and a null url. Links are counted over
-    the whole html of every page; null html has none. Repeated rows count as repeated links and
-    are judged alike. Empty table: empty result.
+    decide: a host is blocked when distrust makes up more than ``threshold`` of both, beyond a
+    share ``margin`` that the ranks' last changes may make. Seeds are the hosts of rule-matched
+    pages, in proportion to their number of distinct paths. A host that nothing reaches is allowed,
+    and so are an empty host and a null url. Links are counted over the whole html of every page,
+    however long; null html has none. Repeated rows count as repeated links and are judged alike.
+    Other columns are ignored. Empty table: empty result.
     """
     spark = pages.sparkSession
     host = host_of(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path_of(F.col(url_col)).alias("path"))
-    matched = common.materialize(match_rules(urls, rule_table(spark, rules)), "url-rules")
-    hosts = urls.select("host").union(edges_hosts(edges := common.materialize(host_edges(pages, host, html_col), "link-edges"))).distinct()
-    seeds = matched.groupBy("host").agg(
-        F.sum((F.col("rule_verdict") == "allow").cast("int")).alias("seed_trust"),
-        F.sum((F.col("rule_verdict") == "block").cast("int")).alias("seed_block"),
-    )
-    hosts = common.materialize(hosts.join(seeds, "host", "left").na.fill(0, ["seed_trust", "seed_block"]), "link-hosts")
-    scores = common.materialize(propagate(hosts, edges, rounds, damping), "link-scores")
-    out = urls.join(common.small(matched), ["host", "path"], "left").join(common.small(scores), "host", "left")
-    bad = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
+    with common.Scratch(spark, "links") as scratch:
+        labels = max(r.split("/")[0].count(".") + 1 for _, r in rules)
+        matched = common.materialize(match_rules(urls, rule_table(spark, rules), labels), "url-rules")
+        edges = scratch.write(host_edges(pages, host, html_col), "edges")
+        hosts = urls.select("host").union(edges_hosts(edges)).distinct()
+        seeds = matched.groupBy("host").agg(
+            F.sum((F.col("rule_verdict") == "allow").cast("int")).alias("seed_trust"),
+            F.sum((F.col("rule_verdict") == "block").cast("int")).alias("seed_block"),
+        )
+        hosts = scratch.write(hosts.join(seeds, "host", "left").na.fill(0, ["seed_trust", "seed_block"]), "hosts")
+        scores = common.materialize(propagate(hosts, edges, scratch, damping), "url-scores")
+    out = urls.join(common.small(matched, common.BROADCAST_ROWS // 10), ["host", "path"], "left").join(common.small(scores, common.BROADCAST_ROWS // 10), "host", "left")
+    both = F.col("trust") + F.col("distrust")
+    bad = F.col("distrust") - threshold * both > margin * both
     verdict = F.coalesce("rule_verdict", F.when(bad & (F.col("host") != ""), "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
 
