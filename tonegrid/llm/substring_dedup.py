@@ -1,25 +1,26 @@
 """Removal of byte strings that occur again anywhere in the corpus, by suffix sorting of shards.
 
 Each window of ``length`` bytes has an anchor, the 32-byte gram in it whose hash is least: equal
-windows have equal anchors at the same place. Anchors deal the corpus to shards such that all equal
-windows meet; only text around grams that occur again is dealt. Shards are suffix-sorted.
+windows have equal anchors at the same place. Anchors cut texts into segments, and segments are
+dealt to shards such that equal windows of two of them meet. Shards are suffix-sorted by induction
+in external memory; what goes is read off the common prefixes of neighbours.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+import tempfile
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .induced_sort import repeated_starts
-from .ngram_join import _pack, _unpack, mix
+from .ngram_join import mix
 
 GRAM = 32
 CHUNK = 4 << 20
@@ -45,11 +46,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(gram, lo, hi, place): every window start lies in one [lo, hi] whose windows share the anchor at ``place``."""
     out = []
-    for at in range(0, len(data) - length + 1, CHUNK):
-        part = data[at : at + CHUNK + length - 1]
+    for at in range(0, len(data) - length + 1, chunk):
+        part = data[at : at + chunk + length - 1]
         h = gram_hashes(part)
         low = np.uint64((1 << 24) - 1)
         best = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1)
@@ -61,131 +62,106 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def repeated_cells(rows: DataFrame, length: int, bits: int, buckets: int, hold: int = 1_000_000) -> bytes:
-    """Bitmap of ``2**bits`` cells of gram hashes: those that two or more anchors fall into."""
-    per = (1 << bits) // buckets
+def segments(rows: DataFrame, length: int) -> DataFrame:
+    """(gram, key, left, right, node, lo, size) of every anchor of every text.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-
-        def send():
-            cells = np.sort(np.concatenate(held))
-            for b in np.unique(cells // per):
-                part = cells[np.searchsorted(cells, b * per) : np.searchsorted(cells, (b + 1) * per)]
-                yield int(b), _pack(np.diff(part, prepend=np.uint32(0)).astype("<u4"))
-
-        for batch in batches:
-            for text in batch["text"]:
-                held.append((anchors(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), length)[0] >> np.uint64(64 - bits)).astype(np.uint32))
-                size += len(held[-1])
-            if size >= hold:
-                yield pd.DataFrame(send(), columns=["bucket", "cells"])
-                held, size = [], 0
-        if size:
-            yield pd.DataFrame(send(), columns=["bucket", "cells"])
-
-    def several(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        low, counts = np.uint32(key[0] * per), np.zeros(per, dtype=np.uint32)
-        for data in group["cells"]:
-            at, n = np.unique(np.cumsum(_unpack(data, "<u4"), dtype=np.uint32) - low, return_counts=True)
-            counts[at] += n.astype(np.uint32)
-        return pd.DataFrame({"bucket": [key[0]], "many": [np.packbits(counts > 1).tobytes()]})
-
-    sent = rows.select("text").mapInPandas(count, "bucket int, cells binary")
-    many = bytearray((1 << bits) // 8)
-    for r in sent.groupBy("bucket").applyInPandas(several, "bucket int, many binary").collect():
-        many[r["bucket"] * per // 8 : (r["bucket"] + 1) * per // 8] = r["many"]
-    return bytes(many)
-
-
-def segments(rows: DataFrame, length: int, bits: int, many: bytes) -> DataFrame:
-    """(gram, key, left, right, node, lo, size) of anchors whose gram may occur again.
-
-    ``key`` digests the segment's bytes. A window reaches over at least half of what it holds besides
-    the gram on one side of it, so two segments have an equal window only if those bytes agree to
-    the left or to the right: ``left`` and ``right`` are their checksums, null where no window of
-    the segment reaches so far.
+    A segment is the window starts ``lo`` to ``lo + size - 1`` that share the anchor, and ``key``
+    digests its bytes. A window reaches over at least half of what it holds besides the gram on one
+    side of it, so two segments have an equal window only if those bytes agree to the left or to
+    the right: ``left`` and ``right`` are their checksums, null where no window of the segment
+    reaches so far.
     """
     half = (length - GRAM) // 2
-    shared = rows.sparkSession.sparkContext.broadcast(many)
+    names = ("gram", "key", "left", "right", "node", "lo", "size")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap = np.frombuffer(shared.value, dtype=np.uint8)
-        for batch in batches:
-            out = []
-            for node, text in zip(batch["node"], batch["text"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                gram, lo, hi, place = anchors(np.frombuffer(raw, dtype=np.uint8), length)
-                cell = (gram >> np.uint64(64 - bits)).astype(np.uint32)
-                hit = np.flatnonzero((bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
-                for g, a, b, at in zip(gram[hit].view(np.int64).tolist(), *(x[hit].tolist() for x in (lo, hi, place)), strict=True):
-                    left = zlib.crc32(raw[at - half : at]) if at - half >= a else None
-                    right = zlib.crc32(raw[at + GRAM : at + GRAM + half]) | 1 << 32 if at + GRAM + half <= b + length else None
-                    out.append((g, hashlib.blake2b(raw[a : b + length], digest_size=16).digest(), left, right, node, a, b - a + 1))
-            yield pd.DataFrame(out, columns=["gram", "key", "left", "right", "node", "lo", "size"]).astype({"left": "Int64", "right": "Int64"})
-
-    return rows.mapInPandas(run, "gram long, key binary, left long, right long, node long, lo long, size int")
-
-
-def cut_segments(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(gram, key, size, segment): the bytes of the segments named by (gram, key, node, lo, size)."""
-    named = wanted.groupBy("node").agg(F.collect_list(F.struct("gram", "key", "lo", "size")).alias("cuts"))
-    named = common.materialize(named, "substring-cuts")
+    def work(part: pa.RecordBatch) -> dict:
+        out = []
+        for node, text in zip(common.longs_of(part, "node").tolist(), common.texts_of(part), strict=True):
+            raw = text.encode("utf-8", "surrogatepass")
+            gram, *places = anchors(np.frombuffer(raw, dtype=np.uint8), length)
+            for g, a, b, at in zip(gram.view(np.int64).tolist(), *(x.tolist() for x in places), strict=True):
+                left = zlib.crc32(raw[at - half : at]) if at - half >= a else None
+                right = zlib.crc32(raw[at + GRAM : at + GRAM + half]) | 1 << 32 if at + GRAM + half <= b + length else None
+                out.append((g, hashlib.blake2b(raw[a : b + length], digest_size=16).digest(), left, right, node, a, b - a + 1))
+        return dict(zip(names, zip(*out, strict=True) if out else [[]] * len(names), strict=True))
+
+    return common.map_parts(rows, lambda: work, "gram long, key binary, left long, right long, node long, lo long, size int")
+
+
+def cut_segments(rows: DataFrame, wanted: DataFrame, length: int, scratch: common.Scratch) -> DataFrame:
+    """(gram, key, size, sides, segment): the bytes of the segments named by (gram, key, sides, node, lo, size)."""
+    named = wanted.groupBy("node").agg(F.collect_list(F.struct("gram", "key", "sides", "lo", "size")).alias("cuts"))
+    named = scratch.write(named, "cuts")
     texts = rows.join(common.small(named.select("node")), "node", "left_semi").dropDuplicates(["node"]).join(named, "node")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text, cuts in zip(batch["text"], batch["cuts"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                out = [(c["gram"], c["key"], c["size"], raw[c["lo"] : c["lo"] + c["size"] - 1 + length]) for c in cuts]
-                yield pd.DataFrame(out, columns=["gram", "key", "size", "segment"])
-
-    return texts.select("text", "cuts").mapInPandas(run, "gram long, key binary, size int, segment binary")
-
-
-def sort_shards(distinct: DataFrame, length: int, shards: int, budget: int) -> DataFrame:
-    """(gram, key, runs) of segments with a window that another segment of the gram or itself has:
-    runs of window starts, as pairs of first and last."""
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        gap = b"\x00"
-        pieces = group["segment"].tolist()
-        data = np.frombuffer(gap.join(pieces), dtype=np.uint8)
-        sizes, lengths = group["size"].to_numpy(), np.array([len(p) for p in pieces])
-        base = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        starts = np.concatenate([np.arange(b, b + s) for b, s in zip(base, sizes, strict=True)])
-        owner = np.repeat(np.arange(len(pieces)), sizes)
-        hit = np.flatnonzero(repeated_starts(data, starts, length, budget))
-        out = []
+    def work(part: pa.RecordBatch) -> dict:
+        out = {name: [] for name in ("gram", "key", "size", "sides", "segment")}
+        for text, cuts in zip(common.texts_of(part), part.column("cuts"), strict=True):
+            raw = text.encode("utf-8", "surrogatepass")
+            for c in cuts.as_py():
+                for name in ("gram", "key", "size", "sides"):
+                    out[name].append(c[name])
+                out["segment"].append(raw[c["lo"] : c["lo"] + c["size"] - 1 + length])
+        return out
+
+    return common.map_parts(texts.select("text", "cuts"), lambda: work, "gram long, key binary, size int, sides array<long>, segment binary")
+
+
+class Shard:
+    """The segments of a shard in unnamed files of the task: their bytes, one apart, and marks of the window starts."""
+
+    def __init__(self):
+        self.bytes, self.marks, self.grams, self.keys, self.bases, self.n = tempfile.TemporaryFile(), tempfile.TemporaryFile(), [], [], [], 0
+
+    def add(self, gram: int, key: bytes, size: int, segment: bytes) -> None:
+        if self.grams and (self.grams[-1], self.keys[-1]) == (gram, key):
+            return  # it is there for its other side
+        self.grams.append(gram)
+        self.keys.append(key)
+        self.bases.append(self.n)
+        self.bytes.write(segment + b"\0")
+        self.marks.write(b"\1" * size + b"\0" * (len(segment) + 1 - size))
+        self.n += len(segment) + 1
+
+    def runs(self, length: int, budget: int) -> dict:
+        """The segments with a window that occurs again, and the runs of such window starts, as first and last."""
+        self.bytes.flush()
+        self.marks.flush()
+        data, marks = np.memmap(self.bytes, dtype=np.uint8, mode="r"), np.memmap(self.marks, dtype=bool, mode="r")
+        hit = repeated_starts(data, marks, length, budget)
+        bases = np.array(self.bases, dtype=np.int64)
+        owner = np.searchsorted(bases, hit, "right") - 1
+        at = hit - bases[owner]
+        new = np.flatnonzero((np.diff(owner) != 0) | (np.diff(at) != 1)) + 1
+        by: dict[int, list[list[int]]] = {}
         if len(hit):
-            own, at = owner[hit], starts[hit] - base[owner[hit]]
-            new = np.flatnonzero((np.diff(own) != 0) | (np.diff(at) != 1)) + 1
-            first, last = np.append(0, new), np.append(new - 1, len(hit) - 1)
-            by = {}
-            for i, j in zip(first, last, strict=True):
-                by.setdefault(int(own[i]), []).append([int(at[i]), int(at[j])])
-            grams, keys = group["gram"].tolist(), group["key"].tolist()
-            out = [(grams[o], keys[o], runs) for o, runs in by.items()]
-        return pd.DataFrame(out, columns=["gram", "key", "runs"])
+            for i, j in zip(np.append(0, new), np.append(new - 1, len(hit) - 1), strict=True):
+                by.setdefault(int(owner[i]), []).append([int(at[i]), int(at[j])])
+        return {"gram": [self.grams[o] for o in by], "key": [self.keys[o] for o in by], "runs": list(by.values())}
 
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(run, "gram long, key binary, runs array<array<int>>")
 
+def sort_shards(dealt: DataFrame, length: int, shards: int, budget: int) -> DataFrame:
+    """(gram, key, runs) of the segments with a window that another segment has, from (shard, gram, key, size, segment).
 
-def hash_windows(distinct: DataFrame, length: int) -> DataFrame:
-    """The same as ``sort_shards`` for grams with too many different segments for one task: every
-    window is counted by its SHA-256, combined on the map side."""
+    A shard's segments stream into the task's files and are sorted there, so a shard may be far
+    larger than a task's memory. A segment may come out of two shards.
+    """
+    ddl = "gram long, key binary, runs array<array<int>>"
+    schema = common.arrow_schema(ddl)
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard = None, None
         for batch in batches:
-            for g, k, size, piece in zip(batch["gram"], batch["key"], batch["size"], batch["segment"], strict=True):
-                yield pd.DataFrame({"gram": g, "key": [k] * size, "at": range(size), "window": [hashlib.sha256(piece[i : i + length]).digest() for i in range(size)]})
+            for i, number in enumerate(common.longs_of(batch, "shard").tolist()):
+                if number != now:
+                    if shard is not None:
+                        yield pa.RecordBatch.from_pydict(shard.runs(length, budget), schema=schema)
+                    now, shard = number, Shard()
+                shard.add(*(batch.column(c)[i].as_py() for c in ("gram", "key", "size", "segment")))
+        if shard is not None:
+            yield pa.RecordBatch.from_pydict(shard.runs(length, budget), schema=schema)
 
-    windows = distinct.select("gram", "key", "size", "segment").mapInPandas(explode, "gram long, key binary, at int, window binary")
-    windows = common.materialize(windows, "substring-windows")
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hits = windows.join(again, "window", "left_semi")
-    return hits.groupBy("gram", "key").agg(F.sort_array(F.collect_list(F.array("at", "at"))).alias("runs"))
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "gram", "key").mapInArrow(run, ddl)
 
 
 def merge(spans: list, n: int) -> list[tuple[int, int]]:
@@ -204,82 +180,83 @@ def dedup_substrings(
     text_col: str = "text",
     length: int = 400,
     shard_bytes: int = 8 << 20,
-    largest_group: int = 8000,
-    budget: int = 128 << 20,
+    budget: int = 96 << 20,
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Every byte covered by a ``length``-byte string of the input that also starts elsewhere, in the
     same text or another, is removed; strings are judged on the input and do not cross texts.
     Texts of ``length`` bytes or more that occur twice go whole. Null and empty texts have no
-    bytes. Repeated rows are copies of each other; a null id is a document as any other. Ids are
-    taken as unique but for repeated rows. Empty table: empty result. The kept bytes may split a
-    code point where a repeated string does.
+    bytes; whole texts are read, however long. Repeated rows are copies of each other; a null id is
+    a document as any other. Ids are taken as unique but for repeated rows. Other columns are
+    ignored. Empty table: empty result. The kept bytes may split a code point where a repeated
+    string does.
+
+    Texts are known as copies by SHA-256, and segments by 128-bit digests; all other strings are
+    compared byte by byte in the sorter.
     """
+    with common.Scratch(docs.sparkSession, "substring") as scratch:
+        return common.materialize(_dedup(docs, scratch, id_col, text_col, length, shard_bytes, budget), "substring-result")
+
+
+def _dedup(docs: DataFrame, scratch: common.Scratch, id_col: str, text_col: str, length: int, shard_bytes: int, budget: int) -> DataFrame:
     spark = docs.sparkSession
-    common.python_batches(spark, 100)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     base = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    base = common.materialize(base, "substring-base")
+    base = scratch.write(base, "base")
     groups = base.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"))
-    groups = groups.withColumn("node", F.coalesce("first", F.xxhash64("sha")))
-    groups = common.materialize(groups, "substring-groups")
-    copied = common.small(common.materialize(groups.where("copies > 1").select("sha", "first", "node"), "substring-copied"))
+    groups = scratch.write(groups.withColumn("node", F.coalesce("first", F.xxhash64("sha"))), "groups")
+    copied = common.small(scratch.write(groups.where("copies > 1").select("sha", "first", "node"), "copied"))
 
     # one row of every text: of a group of copies the first, and any one where ids repeat
     single = rows.where(F.octet_length("text") >= length).withColumn("sha", F.sha2("text", 256))
     single = single.join(copied, "sha", "left").where("first is null or id <=> first")
     single = single.select(F.coalesce("node", "id", F.xxhash64("sha")).alias("node"), "text")
 
-    total = base.agg(F.sum("n_bytes")).first()[0] or 1
-    bits = int(min(30, max(16, math.ceil(math.log2(16 * 2 * total / (length - GRAM + 2) + 1)))))
-    buckets = 1 << min(10, max(4, math.ceil(math.log2(int(spark.conf.get("spark.sql.shuffle.partitions"))))))
-    many = repeated_cells(single, length, bits, buckets)
-    found = common.materialize(segments(single, length, bits, many), "substring-segments")
-
-    # bytes are fetched for one of each kind of segment, and only where a gram has several kinds
-    # that agree on a side
+    found = scratch.write(segments(single, length), "segments")
+    # bytes are fetched for one of each kind of segment, and only where others of its gram agree on a side
     one = F.min(F.struct("node", "lo", "size", "left", "right")).alias("one")
-    distinct = common.materialize(found.groupBy("gram", "key").agg(one, F.count("*").alias("n")), "substring-distinct")
+    distinct = scratch.write(found.groupBy("gram", "key").agg(one, F.count("*").alias("n")), "distinct")
     distinct = distinct.select("gram", "key", "n", "one.*")
     sides = distinct.select("gram", "key", F.explode(F.array("left", "right")).alias("side")).where("side is not null")
-    agreed = sides.groupBy("gram", "side").agg(F.count("*").alias("c")).where("c > 1").select("gram", "side")
-    agreed = common.materialize(sides.join(agreed, ["gram", "side"]).select("gram", "key").distinct(), "substring-agreed")
-    open_ = common.materialize(agreed.groupBy("gram").agg(F.count("*").alias("variants")), "substring-open")
-    wanted = distinct.join(agreed, ["gram", "key"], "left_semi").join(common.small(open_), "gram")
-    work = cut_segments(single, wanted, length).join(common.small(open_), "gram")
-    volume = wanted.agg(F.sum(F.col("size") + length)).first()[0] or 0
+    agreed = scratch.write(sides.groupBy("gram", "side").agg(F.count("*").alias("c")).where("c > 1").select("gram", "side"), "agreed")
+    asked = sides.join(agreed, ["gram", "side"]).groupBy("gram", "key").agg(F.collect_list("side").alias("sides"))
+    wanted = scratch.write(distinct.join(asked, ["gram", "key"]).select("gram", "key", "sides", "node", "lo", "size"), "wanted")
+
+    volume = wanted.agg(F.sum((F.col("size") + length) * F.size("sides"))).first()[0] or 0
     shards = max(1, -(-volume // shard_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    flagged = sort_shards(work.where(F.col("variants") <= largest_group), length, shards, budget)
-    if not open_.where(F.col("variants") > largest_group).isEmpty():
-        flagged = flagged.unionByName(hash_windows(work.where(F.col("variants") > largest_group), length))
+    dealt = cut_segments(single, wanted, length, scratch).withColumn("side", F.explode("sides"))
+    # segments with an equal window agree on a side, so a gram of very many segments is split by their sides
+    dealt = dealt.select(F.pmod(F.xxhash64("gram", "side"), F.lit(shards)).alias("shard"), "gram", "key", "size", "segment")
+    flagged = sort_shards(dealt, length, shards, budget)
     sure = distinct.where("n > 1").select("gram", "key", F.array(F.array(F.lit(0), F.col("size") - 1)).alias("runs"))
     # two equal windows never share a segment: they have different anchors
-    flagged = common.materialize(flagged.unionByName(sure), "substring-flagged")
+    flagged = scratch.write(flagged.unionByName(sure), "flagged")
 
     spans = found.select("gram", "key", "node", "lo").join(flagged, ["gram", "key"]).select("node", "lo", F.explode("runs").alias("run"))
     spans = spans.select("node", F.array(F.col("lo") + F.col("run")[0], F.col("lo") + F.col("run")[1] + length).alias("span"))
-    spans = common.materialize(spans.groupBy("node").agg(F.collect_list("span").alias("spans")), "substring-spans")
-
-    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for node, text_, spans_ in zip(batch["node"], batch["text"], batch["spans"], strict=True):
-                raw = text_.encode("utf-8", "surrogatepass")
-                runs = merge([tuple(s) for s in spans_], len(raw))
-                kept, at = hashlib.sha256(), 0
-                for a, b in runs:
-                    kept.update(raw[at:a])
-                    at = b
-                kept.update(raw[at:])
-                out.append((node, sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
-            yield pd.DataFrame(out, columns=["node", "removed", "runs", "kept"])
+    spans = scratch.write(spans.groupBy("node").agg(F.collect_list("span").alias("spans")), "spans")
+
+    def strip(part: pa.RecordBatch) -> dict:
+        removed, runs_, kept_ = [], [], []
+        for text_, spans_ in zip(common.texts_of(part), part.column("spans"), strict=True):
+            raw = text_.encode("utf-8", "surrogatepass")
+            runs = merge([tuple(s) for s in spans_.as_py()], len(raw))
+            kept, at = hashlib.sha256(), 0
+            for a, b in runs:
+                kept.update(raw[at:a])
+                at = b
+            kept.update(raw[at:])
+            removed.append(sum(b - a for a, b in runs))
+            runs_.append(len(runs))
+            kept_.append(kept.hexdigest())
+        return {"node": part.column("node"), "removed": removed, "runs": runs_, "kept": kept_}
 
     hit = common.small(spans.select("node"))
     cut = single.join(hit, "node", "left_semi").join(spans, "node")
-    cut = cut.mapInPandas(strip, "node long, removed long, runs long, kept string").dropDuplicates(["node"])
-    cut = common.materialize(cut, "substring-cut")
+    cut = common.map_parts(cut, lambda: strip, "node long, removed long, runs long, kept string").dropDuplicates(["node"])
+    cut = scratch.write(cut, "cut")
     out = base.join(groups.select("sha", "copies", "node"), "sha").join(cut, "node", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return out.select(
