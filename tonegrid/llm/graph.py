@@ -25,20 +25,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: common.Scratch, most: int = 50) -> DataFrame:
     """(node, component) of every node with an edge (a < b); a component is its least node.
 
     Each pass is two aggregations that combine on the map side and two joins whose hot side AQE
     splits; the number of passes grows with the logarithm of the longest path. Every pass is
     written to the shared folder, so a lost executor repeats a pass and not the whole loop.
     """
-    edges = common.materialize(edges.select("a", "b").where("a < b").distinct(), "cc")
+    edges = scratch.write(edges.select("a", "b").where("a < b").distinct(), "cc")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(edges)
     for _ in range(most):
         if not before[0]:
             break
-        edges = common.materialize(_small_star(_large_star(edges)), "cc")
+        edges = scratch.write(_small_star(_large_star(edges)), "cc")
         now = mark(edges)
         if now == before:
             break

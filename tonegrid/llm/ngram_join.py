@@ -2,27 +2,34 @@
 
 A document is the set of its distinct word shingles. Sets of Jaccard similarity t or more differ in
 few tokens, so two of them share a signature from short prefixes of their token orders: a single
-token of the rare class, or a pair of tokens of the same group of the frequent class.
+token of the rare class, or a combination of k tokens of one group of a frequent class. The more
+sets have a token, the greater its k.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .graph import connected_components
+
 #: Odd multipliers of the five places of a shingle, and of the final mixing.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Longs of a set's sketch, and the set size from which a wider one is kept beside it.
+SKETCH, WIDE_FROM = 8, 600
+MOST_COMBINED = 4
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,7 +39,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, k: int = 5) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct k-word shingles; fewer words are one shingle."""
+    """Sorted 64-bit hashes of the distinct k-word shingles; fewer words are one shingle.
+
+    Shingles are known by their hashes. Two of one pair of documents fall together by chance with
+    probability n^2 / 2^64, which no size of the corpus raises.
+    """
     # bytes are lower-cased and split by the ASCII rules that words are defined by
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
@@ -49,18 +60,22 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     return total if new.all() else total[new]
 
 
+@functools.lru_cache(maxsize=256)
+def choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n), k)), dtype=np.int64).reshape(-1, k)
+
+
 @dataclass(frozen=True)
 class Plan:
-    """percent: the threshold. frequent: cell count from which a token is of the frequent class.
+    """percent: the threshold. frequent: number of sets from which a token is of a frequent class.
 
-    Pairs are first told apart by the tokens that ``seen`` divides.
+    bits: tokens are known by so many high bits, their cell. Cells fall into ``buckets`` ranges.
     """
 
     percent: int = 80
     frequent: int = 24
-    cell_bits: int = 20
+    bits: int = 32
     buckets: int = 64
-    seen: int = 6
 
     def errors(self, n: int) -> int:
         """Most tokens of a set of n that a partner may lack: n - ceil(t n)."""
@@ -71,212 +86,249 @@ class Plan:
         return int(math.log(n) / math.log(100 / self.percent) + 1e-9)
 
     def groups(self, band: int) -> int:
-        """Groups of the frequent class in a band; 0: single tokens, as the sets are too small for pairs."""
+        """Groups of a frequent class in a band; 0: single tokens, as the sets are too small for combinations."""
         n = int((100 / self.percent) ** band)
-        return 0 if n < 24 else max(1, n // 26)
-
-    def signatures(self, tokens: np.ndarray, lone: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        """Signatures of a set. ``lone`` tokens, which no other set has, take their place in the
-        prefix and are left out of the result."""
-        n = len(tokens)
-        need = self.errors(n) + 1
-        rare = tokens[~frequent]
-        first = rare[:need]
-        out = [first[~lone[~frequent][:need]]]
-        need -= len(first)
+        return 0 if n < 24 else max(1, n // 13)
+
+    def classes(self, counts: np.ndarray) -> np.ndarray:
+        """0: no other set has the token. 1: rare, indexed singly. k: indexed in combinations of k tokens."""
+        out = np.minimum(counts, 2).astype(np.uint8) - 1
+        limit = self.frequent
+        for k in range(2, MOST_COMBINED + 1):
+            out[counts >= limit] = k
+            limit *= max(2, self.frequent)
+        return out
+
+    def signatures(self, cells: np.ndarray, classes: np.ndarray, lone: int, n: int) -> np.ndarray:
+        """Signatures of a set of ``n`` tokens, of which ``lone`` are in no other set.
+
+        ``cells`` are the others, ``classes`` theirs. Tokens stand in the order of class and cell,
+        the lone ones first. A prefix covers as many errors as it has single tokens, and of each
+        group of a class k all its tokens but k - 1; it ends where it covers one more than the set
+        may have. Of two partners, the shorter prefix lies in the longer one, and one of its groups
+        has k common tokens: both index that combination.
+        """
+        need = self.errors(n) + 1 - lone
+        if need <= 0 or not len(cells):
+            return np.empty(0, dtype=np.uint64)
+        single = cells[classes == 1][:need]
+        out, need = [mix(single)], need - len(single)
         if need > 0:
-            often = tokens[frequent]
+            often = classes > 1
+            rest, k = cells[often], classes[often].astype(np.int64)
+            order = np.lexsort((rest, k))
+            rest, k = rest[order], k[order]
             top = self.band(n)
             for band in {top, top - 1} if top else {0}:
                 g = self.groups(band)
-                if not g:
-                    out.append(often[:need])
+                if not g or not len(rest):
+                    out.append(mix(rest[:need]))
                     continue
-                group = (often % np.uint64(g)).astype(np.int64)
-                # a group of x tokens covers x - 1 errors: count all tokens but the first of each group
-                _, at = np.unique(group, return_index=True)
-                covers = np.ones(len(often), dtype=np.int64)
-                covers[at] = 0
-                upto = int(np.searchsorted(np.cumsum(covers), need)) + 1
-                chosen, group = often[:upto], group[:upto]
-                order = np.argsort(group, kind="stable")
-                chosen, group = chosen[order], group[order]
-                for part in np.split(chosen, np.flatnonzero(np.diff(group)) + 1):
-                    if len(part) > 1:
-                        i, j = np.triu_indices(len(part), 1)
-                        out.append(mix(part[i] * PLACES[0] + mix(part[j] + np.uint64(band))))
+                group = k * g + (rest % np.uint64(g)).astype(np.int64)
+                by = np.argsort(group, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(group[by]) != 0))
+                place = np.empty(len(rest), dtype=np.int64)
+                place[by] = np.arange(len(rest)) - np.repeat(first, np.diff(np.append(first, len(rest))))
+                upto = int(np.searchsorted(np.cumsum(place >= k - 1), need)) + 1
+                by = by[by < upto]
+                for a, b in _runs(group[by]):
+                    part, size = rest[by[a:b]], int(k[by[a]])
+                    if b - a >= size:
+                        picked = part[choices(b - a, size)]
+                        sig = np.full(len(picked), np.uint64(band * 8 + size))
+                        for i in range(size):
+                            sig = mix(sig + picked[:, i] * PLACES[i])
+                        out.append(sig)
         return np.unique(np.concatenate(out))
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
+def sketch(cells: np.ndarray, longs: int) -> np.ndarray:
+    """Parities of the cells in ``64 * longs`` bits. The bits in which two sketches differ are at
+    most as many as the cells that one set has and the other lacks."""
+    at = (mix(cells + PLACES[4]) % np.uint64(64 * longs)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * longs) & 1).astype(np.uint8)).view("<i8")
 
-def set_keys(rows: DataFrame, k: int, seen: int) -> DataFrame:
-    """(id, n, set_key, part): the size of each set, a digest that equal sets share, and the tokens
-    that ``seen`` divides."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t, k) for t in batch["text"]]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            parts = [s[s % np.uint64(seen) == 0].tobytes() for s in sets]
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "n": [len(s) for s in sets], "set_key": keys, "part": parts})
+def _pack(values: np.ndarray) -> bytes:
+    import zstandard
 
-    return rows.mapInPandas(run, "id long, n long, set_key binary, part binary")
+    return values.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(values.tobytes())
 
 
-def _pack(values: np.ndarray) -> bytes:
+def _unpack(data: bytes) -> np.ndarray:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=chr(data[0]))
 
 
-def _unpack(data: bytes, kind: str) -> np.ndarray:
-    import zstandard
+def _least_width(values: np.ndarray) -> np.ndarray:
+    top = int(values.max(initial=0))
+    return values.astype("B" if top < 1 << 8 else "H" if top < 1 << 16 else "I" if top < 1 << 32 else "Q")
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of each run of equal neighbours."""
+    edges = (np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()
+    return list(itertools.pairwise([0, *edges, len(keys)])) if len(keys) else []
+
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+def _deltas(values: np.ndarray) -> bytes:
+    return _pack(_least_width(np.diff(values, prepend=np.uint64(0))))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
-def cell_classes(rows: DataFrame, k: int, plan: Plan, hold: int = 2_000_000) -> tuple[bytearray, bytearray]:
-    """Two bitmaps of cells: those that two or more token occurrences have, and the frequent ones.
+def set_keys(rows: DataFrame, k: int) -> DataFrame:
+    """(id, n, set_key): the size of each set, and a digest that equal sets share."""
 
-    Tokens fall into ``2**cell_bits`` cells by their high bits. Tasks send sorted, delta-coded cell
-    lists to each bucket of cells, which counts them; two bits a cell come back, so what the driver
-    gets and sends has the size that ``cell_bits`` fixes (64 MB at most). Cells only steer: a
-    shared cell may make a token count as more frequent than it is, which changes the plan of work
-    and no result.
+    def work(part: pa.RecordBatch) -> dict:
+        ns, keys = [], []
+        for text in common.texts_of(part):
+            tokens = shingles(text, k)
+            ns.append(len(tokens))
+            keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+        return {"id": part.column("id"), "n": ns, "set_key": keys}
+
+    return common.map_parts(rows, lambda: work, "id long, n long, set_key binary")
+
+
+def token_slices(rows: DataFrame, k: int, plan: Plan) -> DataFrame:
+    """(slice, bucket, cells, counts, slots): the tokens of a slice of documents, by ranges of cells.
+
+    A slice is what a task reads at once. ``cells`` has the distinct cells of a bucket in order,
+    ``counts`` how many documents of the slice have each, ``slots`` which. Bucket -1 has the
+    documents: ids and set sizes. A slice's number is its task's and its place there, so that a
+    task which runs again makes the same slices.
     """
-    bits, per = plan.cell_bits, (1 << plan.cell_bits) // plan.buckets
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-
-        def send():
-            cells = np.sort(np.concatenate(held))
-            for b in np.unique(cells // per):
-                part = cells[np.searchsorted(cells, b * per) : np.searchsorted(cells, (b + 1) * per)]
-                yield int(b), _pack(np.diff(part, prepend=np.uint32(0)).astype("<u4"))
-
-        for batch in batches:
-            for t in batch["text"]:
-                held.append((shingles(t, k) >> np.uint64(64 - bits)).astype(np.uint32))
-                size += len(held[-1])
-            if size >= hold:
-                yield pd.DataFrame(send(), columns=["bucket", "cells"])
-                held, size = [], 0
-        if size:
-            yield pd.DataFrame(send(), columns=["bucket", "cells"])
-
-    def classes(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        low, counts = key[0] * per, np.zeros(per, dtype=np.uint32)
-        for data in group["cells"]:
-            at, n = np.unique(np.cumsum(_unpack(data, "<u4"), dtype=np.uint32) - np.uint32(low), return_counts=True)
-            counts[at] += n.astype(np.uint32)
-        return pd.DataFrame({"bucket": [key[0]], "many": [np.packbits(counts > 1).tobytes()], "often": [np.packbits(counts >= plan.frequent).tobytes()]})
-
-    sent = rows.select("text").mapInPandas(count, "bucket int, cells binary")
-    found = sent.groupBy("bucket").applyInPandas(classes, "bucket int, many binary, often binary")
-    maps = bytearray((1 << bits) // 8), bytearray((1 << bits) // 8)
-    for bucket, *parts in found.toLocalIterator():
-        for bitmap, part in zip(maps, parts, strict=True):
-            bitmap[bucket * per // 8 : (bucket + 1) * per // 8] = part
-    return maps
-
-
-def postings(rows: DataFrame, k: int, plan: Plan, hold: int = 400_000) -> DataFrame:
-    """(sig, id, n) of every signature that two or more sets have."""
-    spark = rows.sparkSession
-    parts = plan.buckets
-    shared = spark.sparkContext.broadcast(cell_classes(rows, k, plan))
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        many, often = (np.frombuffer(x, dtype=np.uint8) for x in shared.value)
-        sigs, ids, sizes, size = [], [], [], 0
-
-        def send():
-            s, i, n = np.concatenate(sigs), np.array(ids, dtype="<i8"), np.array(sizes, dtype="<i8")
-            where = np.repeat(np.arange(len(i)), [len(x) for x in sigs])
-            bucket = (s % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            s, where, bucket = s[order], where[order], bucket[order]
-            for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(bucket)) + 1), len(s)]):
-                w = where[a:b]
-                yield int(bucket[a]), s[a:b].tobytes(), _pack(i[w]), _pack(n[w])
-
-        columns = ["bucket", "sigs", "ids", "ns"]
-        for batch in batches:
-            for id_, text in zip(batch["id"], batch["text"], strict=True):
-                tokens = shingles(text, k)
-                if not len(tokens):
-                    continue
-                cell = (tokens >> np.uint64(64 - plan.cell_bits)).astype(np.uint32)
-                bit = (7 - (cell & 7)).astype(np.uint8)
-                lone, frequent = (many[cell >> 3] >> bit) & 1 == 0, (often[cell >> 3] >> bit) & 1 == 1
-                found = plan.signatures(tokens, lone, frequent)
-                if len(found):
-                    sigs.append(found)
-                    ids.append(int(id_))
-                    sizes.append(len(tokens))
-                    size += len(found)
-            if size >= hold:
-                yield pd.DataFrame(send(), columns=columns)
-                sigs, ids, sizes, size = [], [], [], 0
-        if size:
-            yield pd.DataFrame(send(), columns=columns)
-
-    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        s = np.concatenate([np.frombuffer(x, dtype="<u8") for x in group["sigs"]])
-        i = np.concatenate([_unpack(x, "<i8") for x in group["ids"]])
-        n = np.concatenate([_unpack(x, "<i8") for x in group["ns"]])
-        _, back, counts = np.unique(s, return_inverse=True, return_counts=True)
-        several = counts[back] > 1
-        return pd.DataFrame({"sig": s[several].view("<i8"), "id": i[several], "n": n[several]})
-
-    sent = rows.mapInPandas(sign, "bucket int, sigs binary, ids binary, ns binary")
-    return sent.groupBy("bucket").applyInPandas(meet, "sig long, id long, n long")
-
-
-def _sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with the columns of both sides; the sets are filtered to those asked for before they move."""
-    asked = common.materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-asked")
-    sets = sets.join(common.small(asked), "id", "left_semi").dropDuplicates(["id"])
-    side = lambda s: sets.select(*[F.col(c).alias(s if c == "id" else f"{c}_{s}") for c in sets.columns])
-    return pairs.join(side("b"), "b").join(side("a"), "a")
-
-
-def possible(pairs: DataFrame, parts: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs that reach the threshold if all their tokens outside the parts are common.
-
-    ``parts`` has a fixed share of each set's tokens; what is missing there can't be made up for, so
-    most pairs are ruled out by proof at a fraction of the sets' volume.
+    per = np.uint64(plan.bits - int(math.log2(plan.buckets)))
+
+    def make():
+        numbers = itertools.count((TaskContext.get().partitionId() if TaskContext.get() else 0) << 24)
+
+        def work(part: pa.RecordBatch) -> dict:
+            number = next(numbers)
+            sets = [shingles(t, k) for t in common.texts_of(part)]
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            out = [(number, -1, _pack(common.longs_of(part, "id")), _pack(sizes), b"")]
+            tokens = np.concatenate(sets) >> np.uint64(64 - plan.bits)
+            slots = np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens, slots = tokens[order], _least_width(slots[order])
+            first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, dtype=np.int64)
+            cells, counts = tokens[first], _least_width(np.diff(np.append(first, len(tokens))))
+            bucket = (cells >> per).astype(np.int64)
+            for a, b in _runs(bucket):
+                ends = first[a], first[b] if b < len(cells) else len(tokens)
+                out.append((number, int(bucket[a]), _deltas(cells[a:b]), _pack(counts[a:b]), _pack(slots[ends[0] : ends[1]])))
+            return dict(zip(("slice", "bucket", "cells", "counts", "slots"), zip(*out, strict=True), strict=True))
+
+        return work
+
+    return common.map_parts(rows, make, "slice long, bucket int, cells binary, counts binary, slots binary")
+
+
+def token_classes(slices: DataFrame, plan: Plan) -> DataFrame:
+    """(slice, bucket, classes): the class of each distinct cell of a slice, counted over all slices.
+
+    A slice sends a cell once, with its count, so a token of very many documents costs a bucket
+    one entry a slice.
     """
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = []
-            for x, y, nx, ny in zip(batch["part_a"], batch["part_b"], batch["n_a"], batch["n_b"], strict=True):
-                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-                most = len(np.intersect1d(x, y, assume_unique=True)) + min(nx - len(x), ny - len(y))
-                good.append(100 * most >= plan.percent * (nx + ny - most))
-            yield batch.loc[good, ["a", "b"]]
-
-    return _sides(pairs, parts).mapInPandas(check, "a long, b long")
+    def work(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        cells = [np.cumsum(_unpack(x), dtype=np.uint64) for x in group["cells"]]
+        counts = np.concatenate([_unpack(x) for x in group["counts"]]).astype(np.int64)
+        _, back = np.unique(np.concatenate(cells), return_inverse=True)
+        classes = plan.classes(np.bincount(back, weights=counts).astype(np.int64))[back]
+        parts = np.split(classes, np.cumsum([len(c) for c in cells])[:-1])
+        return pd.DataFrame({"slice": group["slice"], "bucket": group["bucket"], "classes": [_pack(p) for p in parts]})
+
+    asked = slices.where("bucket >= 0").select("slice", "bucket", "cells", "counts")
+    return asked.groupBy("bucket").applyInPandas(work, "slice long, bucket int, classes binary")
+
+
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
+
+
+def signed_sets(slices: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+    """(id, n, lone, s0.., wide, sigs) of every set that has a signature."""
+    columns = ["id", "n", "lone", *SKETCHES, "wide", "sigs"]
+
+    def work(key: tuple, group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        answer = dict(zip(answers["bucket"], answers["classes"], strict=True))
+        ids, sizes, parts = None, None, []
+        for bucket, cells, counts, slots in zip(group["bucket"], group["cells"], group["counts"], group["slots"], strict=True):
+            if bucket < 0:
+                ids, sizes = _unpack(cells), _unpack(counts)
+                continue
+            counts = _unpack(counts)
+            each = (np.repeat(x, counts) for x in (np.cumsum(_unpack(cells), dtype=np.uint64), _unpack(answer[bucket])))
+            parts.append((*each, _unpack(slots).astype(np.int64)))
+        out = []
+        if parts:
+            cells, kinds, slots = (np.concatenate(x) for x in zip(*parts, strict=True))
+            lone = np.bincount(slots[kinds == 0], minlength=len(ids))
+            # a set whose lone tokens alone are more than a partner may lack has no partner
+            may = np.array([plan.errors(int(n)) for n in sizes]) >= lone
+            held = (kinds > 0) & may[slots]
+            cells, kinds, slots = cells[held], kinds[held], slots[held]
+            order = np.lexsort((cells, slots))
+            cells, kinds, slots = cells[order], kinds[order], slots[order]
+            new = np.append(True, (slots[1:] != slots[:-1]) | (cells[1:] != cells[:-1])) if len(cells) else np.empty(0, dtype=bool)
+            cells, kinds, slots = cells[new], kinds[new], slots[new]
+            for a, b in _runs(slots):
+                slot = slots[a]
+                n = int(sizes[slot])
+                sigs = plan.signatures(cells[a:b], kinds[a:b], int(lone[slot]), n)
+                if len(sigs):
+                    wide = sketch(cells[a:b], 1 << math.ceil(math.log2(n / 32))) if n > WIDE_FROM else None
+                    out.append((int(ids[slot]), n, int(lone[slot]), *sketch(cells[a:b], SKETCH).tolist(), wide, sigs.view("<i8")))
+        return pd.DataFrame(out, columns=columns)
+
+    ddl = f"id long, n long, lone long, {', '.join(f'{s} long' for s in SKETCHES)}, wide array<long>, sigs array<long>"
+    return slices.groupBy("slice").cogroup(classes.groupBy("slice")).applyInPandas(work, ddl)
+
+
+def may_link(percent: int, a: str, b: str) -> Column:
+    """Sizes and sketches allow the pair to reach the threshold; false only by proof.
+
+    Sets of similarity t differ in at most (n_a + n_b)(1 - t)/(1 + t) tokens. Lone tokens are
+    among those, and so are at least as many others as sketches have different bits.
+    """
+    c = lambda side, name: F.col(f"{name}_{side}")
+    sizes = F.lit(100) * F.least(c(a, "n"), c(b, "n")) >= F.lit(percent) * F.greatest(c(a, "n"), c(b, "n"))
+    differ = lambda bits: (c(a, "lone") + c(b, "lone") + bits) * (100 + percent) <= (c(a, "n") + c(b, "n")) * (100 - percent)
+    bits = functools.reduce(lambda x, y: x + y, [F.bit_count(c(a, s).bitwiseXOR(c(b, s))) for s in SKETCHES])
+    half = F.least(F.size(c(a, "wide")), F.size(c(b, "wide")))
+    fold = lambda w: F.when(F.size(w) > half, F.zip_with(F.slice(w, 1, half), F.slice(w, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(w)
+    wide = F.aggregate(F.zip_with(fold(c(a, "wide")), fold(c(b, "wide")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    either = c(a, "wide").isNull() | c(b, "wide").isNull()
+    return sizes & differ(bits) & F.when(either, F.lit(True)).otherwise(differ(wide))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of similarity ``percent`` or more, by their whole sets."""
+    """The pairs (a, b) of similarity ``percent`` or more, by their whole sets (id, tokens)."""
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("tokens").alias(f"tokens_{s}"))
+
+    def work(part: pa.RecordBatch) -> dict:
+        good = []
+        for x, y in zip(common.bytes_of(part, "tokens_a"), common.bytes_of(part, "tokens_b"), strict=True):
+            x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+            same = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(100 * same >= percent * (len(x) + len(y) - same))
+        kept = pa.array(good, pa.bool_())
+        return {"a": part.column("a").filter(kept), "b": part.column("b").filter(kept)}
+
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "tokens_a", "tokens_b")
+    return common.map_parts(both, lambda: work, "a long, b long")
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch["tokens_a"], batch["tokens_b"], strict=True):
-                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch.loc[good, ["a", "b"]]
 
-    return _sides(pairs, sets).mapInPandas(check, "a long, b long")
+STATE = ["id", "n", "lone", "component", *SKETCHES, "wide"]
+
+
+def _side(lists: DataFrame, s: str) -> DataFrame:
+    return lists.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in STATE])
 
 
 def _star_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -285,18 +337,12 @@ def _star_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
     A signature's leader is one of its sets, another one each turn. One candidate a set keeps the
     pairs linear in the sets whatever the size of a group of copies.
     """
-    lead = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")))
-    if turn == 0:
-        lead = F.min(F.struct(F.col("id").alias("h"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")))
-    leaders = lists.groupBy("sig").agg(lead.alias("l")).select("sig", "l.a", "l.na", "l.ca")
-    pairs = lists.join(leaders, "sig").where("component <> ca").where(_sizes(percent, "n", "na"))
-    counted = pairs.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
-    best = counted.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    return best.select("a", "b")
-
-
-def _sizes(percent: int, x: str, y: str):
-    return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
+    first = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+    leaders = lists.groupBy("sig").agg(F.min(F.struct(first.alias("h"), *STATE)).alias("l")).select("sig", "l.*")
+    pairs = _side(lists, "b").join(_side(leaders, "a"), "sig")
+    pairs = pairs.where("component_a <> component_b").where(may_link(percent, "a", "b"))
+    counted = pairs.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("shared"))
+    return counted.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
 
 
 def ngram_join(
@@ -314,61 +360,79 @@ def ngram_join(
     intersection of their shingle sets is at least ``percent`` times the union. Equal sets are one
     node of the graph. Candidates that share a signature are first checked against leaders (one
     each a turn), whose links make components; then every candidate pair that still joins
-    two components is checked, so no link between components is lost and no pair inside one is
-    made. Null, empty and wordless texts have n_shingles 0 and are their own component; repeated
-    rows share a component; rows with a null id take part as copies only when an id shares
-    their set. Ids are taken as unique but for repeated rows. Empty table: empty result.
+    two components is checked, so no link between components is lost. Links inside a component
+    are not enumerated. Null, empty and wordless texts have n_shingles 0 and are their own
+    component; whole texts count, however long; repeated rows share a component; rows with a null
+    id take part as copies only when an id shares their set. Ids are taken as unique but for
+    repeated rows. Other columns are ignored. Empty table: empty result.
     """
     spark = docs.sparkSession
-    common.python_batches(spark)
+    with common.Scratch(spark, "jaccard") as scratch:
+        return common.materialize(_join(docs, scratch, id_col, text_col, k, percent, frequent, turns), "jaccard-result")
+
+
+def _join(docs: DataFrame, scratch: common.Scratch, id_col: str, text_col: str, k: int, percent: int, frequent: int, turns: int) -> DataFrame:
+    spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
-    base = common.materialize(set_keys(texts, k, Plan.seen), "jaccard-base")
+    base = scratch.write(set_keys(texts, k), "base")
     nodes = base.where("n > 0").groupBy("set_key").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    nodes = common.materialize(nodes, "jaccard-nodes")
-    extra = base.where("n > 0").join(nodes.where("copies > 1"), "set_key").where("id is null or id <> node").select("id").distinct()
-    extra = common.materialize(extra, "jaccard-copies")
-    rows = texts.where("id is not null").join(common.small(extra), "id", "left_anti")
+    nodes = scratch.write(nodes, "nodes")
+    named = base.where("n > 0 and id is not null")
+    extra = scratch.write(named.join(nodes.where("copies > 1"), "set_key").where("id <> node").select("id").distinct(), "copies")
+    again = scratch.write(named.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "again")
+
+    rows = texts.where("id is not null")
+    few = extra.count() <= common.BROADCAST_ROWS
+    rows = rows.join(F.broadcast(extra) if few else extra, "id", "left_anti")
+    if not again.isEmpty():
+        again = common.small(again)
+        rows = rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").dropDuplicates(["id"]))
+        few = False
+    if not few:  # texts that had to move are written, so that they move once
+        rows = scratch.write(rows, "rows")
 
     total = base.agg(F.sum("n")).first()[0] or 1
-    bits = int(min(28, max(20, math.ceil(math.log2(total)))))
-    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    while parts * 4_000_000 < total or parts & (parts - 1):
-        parts += 1
-    # beyond the count that chance alone gives a cell
-    plan = Plan(percent, frequent + 3 * (total >> bits), bits, parts)
-    lists = common.materialize(postings(rows, k, plan).distinct(), "jaccard-postings")
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "tokens": [shingles(t, k).tobytes() for t in batch["text"]]})
+    buckets = 1 << max(6, math.ceil(math.log2(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total / 2_000_000))))
+    plan = Plan(percent, frequent, min(60, max(32, math.ceil(math.log2(total)) + 6)), buckets)
+    slices = scratch.write(token_slices(rows, k, plan), "slices")
+    classes = scratch.write(token_classes(slices, plan), "classes")
+    signed = scratch.write(signed_sets(slices, classes, plan), "signed")
+    sigs = signed.select("id", F.explode("sigs").alias("sig"))
+    several = sigs.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("sig")
+    lists = scratch.write(sigs.join(several, "sig", "left_semi"), "lists")
+    state = common.small(signed.drop("sigs"), common.BROADCAST_ROWS // 10)
+
+    def tokens(part: pa.RecordBatch) -> dict:
+        return {"id": part.column("id"), "tokens": [shingles(t, k).tobytes() for t in common.texts_of(part)]}
 
     def linked(pairs: DataFrame) -> DataFrame:
-        close = common.materialize(possible(pairs, base.select("id", "n", "part"), plan), "jaccard-close")
-        asked = common.materialize(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "jaccard-asked")
-        sets = rows.join(common.small(asked), "id", "left_semi").mapInPandas(whole, "id long, tokens binary")
-        return verify(close, sets, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        asked = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "asked")
+        sets = common.map_parts(rows.join(common.small(asked), "id", "left_semi"), lambda: tokens, "id long, tokens binary")
+        return verify(pairs, sets, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    links = None
-    member = lists.withColumn("component", F.col("id"))
+    links = components = None
+    open_ = lists.withColumn("component", F.col("id"))
     for turn in range(turns + 1):
+        member = open_.join(state, "id").select("sig", *STATE)
         if turn < turns:
             pairs = _star_pairs(member, percent, turn)
         else:
-            a, b = (member.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component")]) for s in "ab")
-            cross = a.join(b, "sig").where("id_a < id_b and component_a <> component_b").where(_sizes(percent, "n_a", "n_b"))
-            pairs = cross.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        pairs = common.materialize(pairs, "jaccard-pairs")
+            cross = _side(member, "a").join(_side(member, "b"), "sig").where("id_a < id_b and component_a <> component_b")
+            pairs = cross.where(may_link(percent, "a", "b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+        pairs = scratch.write(pairs, "pairs")
         if pairs.isEmpty():
             # leaders of other sizes give no pairs though others of their signature may: only the last turn is exact
             continue
-        found = common.materialize(linked(pairs), "jaccard-links")
+        found = scratch.write(linked(pairs), "links")
+        if found.isEmpty():
+            continue
         links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            components = common.materialize(connected_components(links), "jaccard-components")
-            member = lists.join(components.withColumnRenamed("node", "id"), "id", "left")
-            member = common.materialize(_open(member.withColumn("component", F.coalesce("component", "id"))), "jaccard-open")
-    out = base.drop("part").join(nodes, "set_key", "left")
-    if links is not None and not links.isEmpty():
+        components = scratch.write(connected_components(links, scratch), "components")
+        if turn < turns:
+            part = lists.join(components.withColumnRenamed("node", "id"), "id", "left")
+            open_ = scratch.write(_open(part.withColumn("component", F.coalesce("component", "id"))), "open")
+    out = base.join(nodes, "set_key", "left")
+    if components is not None:
         out = out.join(components, "node", "left")
     else:
         out = out.withColumn("component", F.lit(None).cast("long"))
