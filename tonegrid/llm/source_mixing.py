@@ -22,12 +22,26 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + symbols / F.greatest(size, F.lit(1)))
 
 
-def uniform(id_col: Column, seed: int) -> Column:
-    """A draw in (0, 1) that depends on the id and the seed only, so reruns agree."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")))), 1, 12), 16, 10)
+def name_of(id_col: Column, text: Column) -> Column:
+    """What a row's draw depends on: its id, or its text where it has none."""
+    return F.coalesce(id_col.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def uniform(name: Column, seed: int) -> Column:
+    """A draw in (0, 1) that depends on the name and the seed only, so reruns agree."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 12), 16, 10)
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**48))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, row: Column | None = None) -> DataFrame:
+    """(id, source, size, name, key) of every row, and ``row``: ``-ln(u) / quality_weight`` orders a source's rows."""
+    text, extra = F.col(text_col), [] if row is None else [row.alias("row")]
+    out = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), text.alias("text"), *extra)
+    out = out.withColumn("name", name_of(F.col("id"), F.col("text")))
+    key = -F.log(uniform(F.col("name"), seed)) / quality_weight(F.col("text"), F.col("size"))
+    return out.select("id", "source", "size", "name", key.alias("key"), *(["row"] if extra else []))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """(source, source_size, target, full, rest) from (source, source_size), one row a source.
 
@@ -55,6 +69,61 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     )
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+
+
+def cut_points(base: DataFrame, plan: DataFrame, scratch: common.Scratch, cells: int, most: int) -> DataFrame:
+    """(source, lo, cut): a source takes its rows with keys below ``lo`` once more, and the rows
+    from there up to ``cut`` = (key, name, size).
+
+    The range of keys in which a source's rest runs out is divided into ``cells``; sizes are summed
+    per cell, the cell that reaches the rest is the next range, by the least and greatest key in
+    it, until at most ``most`` rows are left or all have one key. Only these are ordered, so no
+    source is sorted whatever its share of the rows and however its keys lie.
+    """
+    ranges = plan.select("source", "rest", "lo", "hi", F.lit(0.0).alias("before"), F.lit(1 << 62).alias("rows"))
+    run = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    for _ in range(64):
+        inside = base.alias("b").join(common.small(ranges).alias("r"), _same("b", "r") & F.col("key").between(F.col("lo"), F.col("hi")))
+        place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells)).otherwise(0)
+        inside = inside.select("b.source", "size", "key", "rest", "before", F.least(place, F.lit(cells - 1)).alias("cell"))
+        sums = inside.groupBy("source", "rest", "before", "cell").agg(
+            F.sum("size").alias("words"), F.count("*").alias("rows"), F.min("key").alias("lo"), F.max("key").alias("hi")
+        )
+        sums = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("words").over(run), F.lit(0)))
+        over = sums.where("before + words > rest").groupBy("source").agg(F.min_by(F.struct("rest", "lo", "hi", "before", "rows"), "cell").alias("r"))
+        ranges = scratch.write(over.select("source", "r.*"), "mix-ranges")
+        if ranges.where((F.col("rows") > most) & (F.col("hi") > F.col("lo"))).isEmpty():
+            break
+    edge = base.alias("b").join(common.small(ranges).alias("r"), _same("b", "r") & F.col("key").between(F.col("lo"), F.col("hi")))
+    # rows that are alike are one step: they are taken together
+    edge = edge.select("b.source", "key", "name", "size", "rest", "before").groupBy("source", "key", "name", "size", "rest", "before").agg(F.sum("size").alias("words"))
+    upto = Window.partitionBy("source").orderBy("key", "name", "size").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("middle", F.col("before") + F.sum("words").over(upto) - F.col("words") / 2).where("middle <= rest")
+    cut = edge.groupBy("source").agg(F.max(F.struct("key", "name", "size")).alias("cut"))
+    return ranges.alias("r").join(cut.alias("c"), _same("r", "c"), "left").select("r.source", "lo", "cut")
+
+
+def plan_mix(base: DataFrame, scratch: common.Scratch, weights: tuple[float, ...], share: float, most: float, cells: int = 1024, sorted_rows: int = 20_000) -> DataFrame:
+    """One row a source: source, source_size, target, full, lo, cut. ``base`` is ``keyed`` rows that were written."""
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    sizes = scratch.write(sizes, "mix-sizes")
+    plan = targets(sizes.select("source", "source_size"), weights, share, most)
+    plan = scratch.write(plan.alias("p").join(sizes.alias("s"), _same("p", "s")).select("p.*", "lo", "hi"), "mix-targets")
+    cuts = cut_points(base, plan, scratch, cells, sorted_rows)
+    out = plan.alias("p").join(cuts.alias("c"), _same("p", "c"), "left").select("p.source", "source_size", "target", "full", "c.lo", "cut")
+    return common.materialize(out, "mix-plan")
+
+
+def times_taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds source_size, target and ``times`` to ``keyed`` rows, each decided by its own source's line of the plan."""
+    out = rows.alias("b").join(common.small(plan).alias("p"), _same("b", "p")).select("b.*", "source_size", "target", "full", "lo", "cut")
+    at, cut = F.struct("key", "name", "size"), F.col("cut")
+    within = F.coalesce(F.col("key") < F.col("lo"), F.lit(True)) | F.coalesce(at <= cut, F.lit(False))
+    return out.withColumn("times", F.col("full") + within.cast("long")).drop("full", "lo", "cut")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -64,52 +133,43 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 17,
-    cells: int = 4096,
-    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken, and the columns of ``carry``.
+    """One row per input row: id, size, source_size, target, taken.
 
     Every document has the key ``-ln(u) / quality_weight``; within its source it is taken in key
     order until the words reach the source's budget. Complete epochs of the source come first
     (every document that many times), the rest of the target is the fractional selection. The
     document that crosses the budget is taken when that brings the sum nearer to it.
 
-    Keys are dealt to ``cells`` cells of a monotone map of the key; sizes are summed per cell
-    before anything is ordered, and only the cell in which a source's budget runs out is sorted,
-    so a source that holds a third of all rows is never brought into one task.
-
-    A null or empty text has size 0 and is taken 0 words; null sources form one source; rows
-    repeated with the same id share a key and are ordered by size. Empty table: empty result.
+    A null or empty text has size 0 and is taken 0 words; whole texts count, however long; null
+    sources form one source; rows without an id draw by their text; repeated rows share a key and
+    are taken together. Other columns are ignored. Empty table: empty result.
     """
-    size = word_count(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.col(text_col).alias("text"), *carry)
-    base = base.withColumn("key", -F.log(uniform(F.col("id"), seed)) / quality_weight(F.col("text"), F.col("size")))
-    base = base.withColumn("cell", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * cells).cast("int")).drop("text")
-    base = common.materialize(base, "mix-keys")
+    with common.Scratch(docs.sparkSession, "mix") as scratch:
+        base = scratch.write(keyed(docs, id_col, text_col, source_col, seed), "mix-keys")
+        out = times_taken(base, plan_mix(base, scratch, weights, share, most))
+        out = out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+        return common.materialize(out, "mix-result")
 
-    by_cell = common.materialize(base.groupBy("source", "cell").agg(F.sum("size").alias("cell_size")), "mix-cells")
-    plan = targets(by_cell.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share, most)
-    plan = common.materialize(plan, "mix-targets")
 
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    run = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    edges = by_cell.withColumn("before", F.coalesce(F.sum("cell_size").over(run), F.lit(0)))
-    edges = edges.alias("e").join(common.small(plan).alias("p"), same("e", "p")).select("e.*", "source_size", "target", "full", "rest")
-    over = edges.where("before + cell_size > rest").groupBy("source")
-    cut = over.agg(F.min("cell").alias("cut"), F.min("before").alias("before"))
-    cut = common.small(common.materialize(cut, "mix-cut"))
-
-    plan = common.small(plan)
-    rows = base.alias("b").join(plan.alias("p"), same("b", "p")).select("b.*", "source_size", "target", "full", "rest")
-    rows = rows.alias("r").join(cut.alias("c"), same("r", "c"), "left").select("r.*", "cut", "before")
-    inside = Window.partitionBy("source").orderBy("key", "id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.where("cell = cut").withColumn("upto", F.col("before") + F.sum("size").over(inside))
-    near = F.col("upto") - F.col("size") / 2 <= F.col("rest")
-    edge = edge.withColumn("extra", F.when(near, 1).otherwise(0)).drop("upto")
-    # no cut: the source has no words
-    other = rows.where("cut is null or cell <> cut")
-    other = other.withColumn("extra", F.when(F.coalesce(F.col("cell") < F.col("cut"), F.lit(False)), 1).otherwise(0))
-    out = other.unionByName(edge)
-    return out.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", ((F.col("full") + F.col("extra")) * F.col("size")).alias("taken"), *carry
-    )
+def mixed_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 17,
+) -> DataFrame:
+    """The mix itself: every input row as many times as it is taken, with all its columns.
+
+    The same choice as ``mix_sources``. A row decides by its own key and its source's line of the
+    plan, so no text moves. Documents without words are taken no times.
+    """
+    with common.Scratch(docs.sparkSession, "mix") as scratch:
+        base = scratch.write(keyed(docs, id_col, text_col, source_col, seed), "mix-keys")
+        plan = plan_mix(base, scratch, weights, share, most)
+    rows = times_taken(keyed(docs, id_col, text_col, source_col, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns])), plan)
+    rows = rows.where("size > 0 and times > 0").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return rows.select("row.*")
