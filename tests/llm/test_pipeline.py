@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import collections
+import zlib
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tonegrid.llm import quality_rules, source_mixing
+from tonegrid.llm import packing, quality_rules, source_mixing
 
-from .test_operators import SCHEMA, WORD, brute_components, lower, texts
+from .test_operators import SCHEMA, WORD, brute_components, brute_times, lower, texts
 
 
 @pytest.fixture(scope="module")
@@ -62,10 +65,12 @@ def test_near_stage(stages):
 
 
 def test_mix_stage(stages):
+    """Every row as often as brute force takes it."""
     before, after, *_ = stages[0]["mix_sources"]
-    words = lambda rows: sum(len(WORD.findall(r[1])) for r in rows)
-    assert max(collections.Counter(r[0] for r in after).values()) <= 2
-    assert words(after) == pytest.approx(1.5 * words(before), rel=0.35)
+    want = collections.Counter()
+    for d, t, source, times in brute_times([r[:3] for r in before]):
+        want[d, t, source] += times
+    assert collections.Counter(r[:3] for r in after) == +want
 
 
 def test_rows_without_an_id(spark):
@@ -85,8 +90,22 @@ def test_rows_without_an_id(spark):
 
 
 def test_pack_stage(stages):
+    """The pieces of every row by the tokenizer itself, in sequences without gaps."""
     before, after, *_ = stages[0]["best_fit_packing"]
-    assert collections.Counter(r[0] for r in before) == collections.Counter(r[0] for r in after if r[1] == 0)
+    model = Tokenizer.from_file(packing.public_files()[0])
+    want = collections.Counter()
+    for r in before:
+        ids = np.array([*model.encode(r[1] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        edges = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        for piece, (a, b) in enumerate(zip(edges, edges[1:])):
+            want[r[0], piece, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert collections.Counter(r[:5] for r in after) == want
+    used = collections.defaultdict(list)
+    for *_, n, _, sequence, offset in after:
+        used[sequence].append((offset, n))
+    for items in used.values():
+        items.sort()
+        assert [o for o, _ in items] == [sum(n for _, n in items[:i]) for i in range(len(items))] and sum(n for _, n in items) <= 2048
 
 
 def test_run_equals_the_stages(spark, stages):
