@@ -1,4 +1,9 @@
-"""Corpus preparation: quality rules, exact and near duplicates, source mixing, packing."""
+"""Corpus preparation: quality rules, exact and near duplicates, source mixing, packing.
+
+Every stage takes ``documents`` rows with any further columns, reads whole texts, and gives an empty
+table for an empty one. Texts stay where they are read: a stage finds the ids that go, or a small
+plan, and rows are filtered by it.
+"""
 
 from __future__ import annotations
 
@@ -10,65 +15,66 @@ from pyspark.sql import functions as F
 from tonegrid.llm import common, exact_dedup, ngram_join, packing, quality_rules, source_mixing
 
 
-def _named(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``."""
-    ids = common.small(common.materialize(ids.select(F.col("doc_id").alias("__id")).distinct(), "pipeline-keep"))
-    return docs.join(ids, docs["doc_id"] == F.col("__id"), "left_semi")
+def _rows(docs: DataFrame, **more) -> DataFrame:
+    """The rows as one struct ``row`` beside ``id`` and other columns, so that no name of theirs clashes."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), F.col("doc_id").alias("id"), *[c.alias(name) for name, c in more.items()])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; rejected ones go. Row by row, no shuffle."""
-    common.python_batches(spark)
+    """Documents that the quality rules keep; rejected ones go. Row by row, no shuffle.
+
+    Null and empty texts fail the base rule. Equal texts are judged alike, with an id or without.
+    """
     return docs.where(quality_rules.kept_column(F.col("text")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id; of rows repeated with one doc_id, one.
 
-    A row without a doc_id stays only where no row of its text has one: one row a text.
+    A row without a doc_id stays only where no row of its text has one: one row a text. Null and
+    empty texts are equal.
     """
     sha = F.when(F.col("doc_id").isNull(), F.col("text_sha256")).alias("sha")
-    kept = exact_dedup.exact_dedup(docs, keep="min").where("kept").groupBy("doc_id", sha).agg(F.count("*").alias("n"))
-    kept = common.materialize(kept, "pipeline-exact")
-    ids, loose = kept.where("doc_id is not null"), kept.where("doc_id is null").select(F.col("sha").alias("__sha"))
-    again = ids.where("n > 1")
-    if again.isEmpty():
-        out = _named(docs, ids)
-    else:
-        several = docs.join(common.small(again.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = _named(docs, ids.where("n = 1")).unionByName(several.select(docs.columns))
-    if loose.isEmpty():
-        return out
-    unnamed = docs.where("doc_id is null").withColumn("__sha", F.sha2(common.lower_az(F.col("text")), 256))
-    unnamed = unnamed.join(common.small(loose), "__sha", "left_semi").dropDuplicates(["__sha"])
-    return out.unionByName(unnamed.select(docs.columns))
+    found = exact_dedup.exact_dedup(docs, keep="min")
+    found = common.materialize(found.groupBy("doc_id", sha).agg(F.min("kept").alias("kept"), F.count("*").alias("n")), "pipeline-exact")
+    gone = common.small(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("id")))
+    again = found.where("doc_id is not null and kept and n > 1").select(F.col("doc_id").alias("id"))
+    rows = _rows(docs).where("id is not null").join(gone, "id", "left_anti")
+    if not again.isEmpty():
+        again = common.small(again)
+        rows = rows.join(again, "id", "left_anti").unionByName(rows.join(again, "id", "left_semi").dropDuplicates(["id"]))
+    loose = found.where("doc_id is null and kept").select("sha")
+    if not loose.isEmpty():
+        unnamed = _rows(docs.where("doc_id is null"), sha=F.sha2(common.lower_az(F.col("text")), 256))
+        rows = rows.unionByName(unnamed.join(common.small(loose), "sha", "left_semi").dropDuplicates(["sha"]).drop("sha"))
+    return rows.select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group linked by near-equal shingle sets.
 
-    Rows without a doc_id stay, as the join's result can't name them.
+    Texts without words stay. Rows without a doc_id stay, as the join's result can't name them;
+    rows repeated with one doc_id stay or go together.
     """
-    kept = _named(docs, ngram_join.ngram_join(docs).where("doc_id = component_id"))
-    return kept.unionByName(docs.where("doc_id is null"))
+    gone = ngram_join.ngram_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    gone = common.small(common.materialize(gone, "pipeline-near"))
+    return _rows(docs).join(gone, "id", "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it; one without a doc_id is known by its text and source."""
-    key = F.when(F.col("doc_id").isNull(), F.sha2(F.to_json(F.struct("text", "source")), 256))
-    keyed = docs.withColumn("__key", key)
-    taken = source_mixing.mix_sources(keyed, carry=("__key",)).where("size > 0 and taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias("__id"), "__key").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    times = common.materialize(times, "pipeline-mix")
-    ids, loose = times.where("__id is not null").drop("__key"), times.where("__id is null").drop("__id")
-    rows = docs.join(common.small(ids), docs["doc_id"] == F.col("__id")).drop("__id")
-    if not loose.isEmpty():
-        unnamed = keyed.where("doc_id is null").join(common.small(loose), "__key").drop("__key")
-        rows = rows.unionByName(unnamed)
-    return rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(docs.columns)
+    """Every document as many times as the mix takes it; one without a doc_id is drawn by its text.
+
+    Documents without words go; repeated rows are taken together.
+    """
+    return source_mixing.mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2,048 tokens; repeated rows are packed as often as they occur.
+
+    A null or empty text is the end token alone; a null doc_id stays null in its pieces.
+    """
     return packing.best_fit_pack(docs)
 
 
@@ -85,6 +91,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over ``documents``; each one's rows are written and read again."""
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
