@@ -336,7 +336,7 @@ def brute_substrings(rows, length):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"budget": 1000, "shard_bytes": 10_000}])
+@pytest.mark.parametrize("options", [{}, {"budget": 1000, "shard_bytes": 10_000, "split_from": 1}])
 def test_substring_dedup(plain, options):
     short = plain.where("length(text) < 20000 or text is null")
     got = substring_dedup.dedup_substrings(short, length=200, **options)

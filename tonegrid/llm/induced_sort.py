@@ -66,18 +66,33 @@ class Queues:
     def blocks(self, key: int, block: int, reverse: bool = False) -> Iterator[np.ndarray]:
         """A queue's items so far, in order of arrival or against it, at most ``block`` at once; the queue is emptied."""
         parts = self.parts.pop(key, [])
-        size = self.dtype.itemsize
+        size, held, n_held = self.dtype.itemsize, [], 0
+
+        def together() -> np.ndarray:
+            whole = held[0] if len(held) == 1 else np.concatenate(held[::-1] if reverse else held)
+            held.clear()
+            return whole[::-1] if reverse else whole
+
         for part in reversed(parts) if reverse else parts:
             if isinstance(part, np.ndarray):
                 self.held -= part.nbytes
-                yield part[::-1] if reverse else part
+                held.append(part)
+                n_held += len(part)
+                if n_held >= block:
+                    n_held = 0
+                    yield together()
                 continue
+            if held:
+                n_held = 0
+                yield together()
             offset, n = part
             firsts = range(0, n, block)
             for first in reversed(firsts) if reverse else firsts:
                 self.file.seek(offset + first * size)
                 got = np.frombuffer(self.file.read(min(block, n - first) * size), dtype=self.dtype)
                 yield got[::-1] if reverse else got
+        if held:
+            yield together()
 
     def pop(self, key: int) -> np.ndarray:
         found = list(self.blocks(key, 1 << 40))
@@ -98,7 +113,9 @@ class Carried:
     def over(self, lcp: np.ndarray, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
         """``lcp``: of each scanned suffix and the one before. ``keys``, ``at``: the queue and the place
         in the scan of each push. The common prefix of each push and the last one to its queue."""
-        out = np.empty(len(at), dtype=np.uint16)
+        out = np.zeros(len(at), dtype=np.uint16)
+        if self.limit == 0:
+            return out
         rest = np.minimum(self.since, lcp.min()) if len(lcp) else self.since
         if len(at):
             order = np.argsort(keys, kind="stable")
@@ -118,6 +135,11 @@ class Carried:
         return out
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 class ByteText:
     """Suffix order of bytes. Characters are 1 to 256; 0 is the end, which is less than all."""
 
@@ -154,16 +176,21 @@ class ByteText:
     def neighbours(self, pos: np.ndarray) -> np.ndarray:
         """Common prefixes of the suffixes at ``pos`` with the one before each, 16 characters at a time."""
         out, at = np.zeros(len(pos), dtype=np.uint16), np.arange(1, len(pos))
+        late = np.maximum(pos[1:], pos[:-1]) + self.limit + 16 > self.n
+        for i in (np.flatnonzero(late) + 1).tolist():  # near the end: one by one
+            out[i] = self.common(int(pos[i - 1]), int(pos[i]))
+        at = at[~late]
         for depth in range(0, self.limit, 16):
             if not len(at):
                 break
-            rows = lambda i: self.data[np.minimum(pos[i, None] + depth + np.arange(16), self.n - 1)]
-            ends = np.minimum(self.n - np.maximum(pos[at], pos[at - 1]) - depth, min(16, self.limit - depth))
-            same = (rows(at) == rows(at - 1)) & (np.arange(16) < ends[:, None])
-            length = np.where(same.all(1), 16, same.argmin(1))
-            out[at] += length.astype(np.uint16)
-            at = at[length == 16]
-        return out
+            rows = np.lib.stride_tricks.sliding_window_view(self.data, 16)
+            same = rows[pos[at] + depth] == rows[pos[at - 1] + depth]
+            all_ = same.all(1)
+            short = ~all_
+            out[at[short]] += same[short].argmin(1).astype(np.uint16)
+            at = at[all_]
+            out[at] += np.uint16(16)
+        return np.minimum(out, self.limit).astype(np.uint16)
 
     def lms(self) -> np.ndarray:
         """Positions of LMS suffixes in text order, the end included, found from the end in blocks."""
@@ -177,17 +204,17 @@ class ByteText:
             if first + len(step) < self.n and is_s and not s[-2]:
                 found.append(np.array([first + len(step)]))
             after, is_s = int(chars[0]), bool(s[0])
-        return np.unique(np.concatenate(found))
+        return _distinct(np.concatenate(found))
 
-    def induce(self, seeds: Iterator[np.ndarray], sink: Callable[[np.ndarray, bool], None]) -> None:
+    def induce(self, seeds: Iterator[np.ndarray], sink: Callable[[np.ndarray, bool], None], limit: int) -> None:
         """All suffixes in falling order to ``sink(tuples, is_s)``, from the LMS tuples in ``seeds``.
 
-        A tuple's ``lcp`` there is the common prefix with the suffix given out before it.
+        A tuple's ``lcp`` there is the common prefix with the suffix given out before it, up to ``limit``.
         """
         sources, larger, lower = Queues(self.budget // 3), Queues(self.budget // 3), Queues(self.budget // 3)
         for part in seeds:
             sources.push(self.char(part["pos"]), part)
-        carried = Carried(257, self.limit)
+        carried = Carried(257, limit)
 
         def scan(tuples: np.ndarray, char: int, least: int, most: int, target: Queues) -> None:
             """Push the predecessors whose character lies in [least, most]."""
@@ -209,13 +236,13 @@ class ByteText:
                     last = int(part["pos"][-1])
                     scan(part, c, c, 256, larger)
             for part in sources.blocks(c, self.block):
-                if last >= 0:
+                if last >= 0 and limit:
                     part = part.copy()
                     part["lcp"][0] = self.common(last, int(part["pos"][0]))
                     last = -1
                 scan(part, c, c + 1, 256, larger)
 
-        smaller, carried = Queues(self.budget // 3), Carried(257, self.limit)
+        smaller, carried = Queues(self.budget // 3), Carried(257, limit)
         for c in range(256, 0, -1):
             last = -1
             while c in smaller.parts:
@@ -244,7 +271,7 @@ class ByteText:
                 before = (part["before"] & np.uint64(0xFF)).astype(np.int64) + 1
                 order.append(part["pos"][(part["pos"] > 0) & (before > self.char(part["pos"]))])
 
-        self.induce((self.tuples(lms[a : a + self.block]) for a in range(0, len(lms), self.block)), lms_only)
+        self.induce((self.tuples(lms[a : a + self.block]) for a in range(0, len(lms), self.block)), lms_only, 0)
         ranked = np.append(np.concatenate(order or [np.empty(0, dtype=np.int64)]), self.n)[::-1]
         return name_runs(lambda i: self.char(i), np.append(lms, self.n), ranked, self.block)
 
@@ -280,13 +307,15 @@ def s_types(text: np.ndarray) -> np.ndarray:
     return np.append(np.append(step, 1)[nxt] > 0, True)
 
 
-def order_names(names: np.ndarray, budget: int, keys: int = 1 << 10) -> np.ndarray:
+def order_names(names: np.ndarray, budget: int, queues: int | None = None) -> np.ndarray:
     """Suffix array of a string of names, by the same induction and recursion.
 
     Names are too many for a queue each: a queue has a range of names, and a popped range is ordered
-    by name. Predecessors that fall into the range that is being popped take their turn by a heap.
+    by name. Predecessors that fall into the range that is being popped take their turn by a heap;
+    the number of queues balances theirs against the heaps' work.
     """
     n = len(names)
+    keys = queues or 1 + int((n / 50) ** 0.5)
     if n < 2:
         return np.arange(n)
     is_s = s_types(names)
@@ -299,7 +328,7 @@ def order_names(names: np.ndarray, budget: int, keys: int = 1 << 10) -> np.ndarr
         padded = np.append(names, -1)
         reduced = name_runs(lambda i: padded[np.minimum(i, n)], np.append(lms, n), first[is_lms[first]], 1 << 22)
         if int(reduced.max()) + 1 < len(lms):
-            lms = lms[order_names(reduced, budget, keys)]
+            lms = lms[order_names(reduced, budget, queues)]
         else:
             lms = lms[np.argsort(reduced)]
     return _induce_names(names, is_s, lms, budget, keys)
@@ -329,9 +358,11 @@ def _induce_names(names: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, budget
             if r == 1:
                 out.append(item)
             p = item - 1
-            if p >= 0 and wanted(np.array([item]))[0] and int(key_of(names[p])) == key:
-                heapq.heappush(heap, (sign * int(names[p]), 1, turn, p))
-                turn += 1
+            if p >= 0 and is_s.item(p) == (sign < 0):
+                name = names.item(p)
+                if name * keys // width == key:
+                    heapq.heappush(heap, (sign * name, 1, turn, p))
+                    turn += 1
         return np.array(out, dtype=np.int64)
 
     to_l = lambda x: ~is_s[x - 1]
@@ -394,7 +425,7 @@ def fall(data: np.ndarray, sink: Callable[[np.ndarray], None], limit: int, budge
             pos = order[max(a - 1, 0) : a + block]
             yield text.tuples(pos, text.neighbours(pos))[(1 if a else 0) :]
 
-    text.induce(seeds(), lambda part, _: sink(part))
+    text.induce(seeds(), lambda part, _: sink(part), limit)
 
 
 def suffix_array(data: np.ndarray, budget: int = 256 << 20, block: int = 1 << 20) -> np.ndarray:
@@ -426,5 +457,5 @@ def repeated_starts(data: np.ndarray, wanted: np.ndarray, length: int, budget: i
         state["least"] = int(lcp[at[-1] + 1 :].min(initial=length))
 
     fall(data, sink, length, budget, block)
-    out = np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
+    out = _distinct(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
     return out[out >= 0]

@@ -181,6 +181,7 @@ def dedup_substrings(
     length: int = 400,
     shard_bytes: int = 8 << 20,
     budget: int = 96 << 20,
+    split_from: int = 2000,
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -192,14 +193,15 @@ def dedup_substrings(
     ignored. Empty table: empty result. The kept bytes may split a code point where a repeated
     string does.
 
-    Texts are known as copies by SHA-256, and segments by 128-bit digests; all other strings are
+    Segments of one gram meet in one shard, or in one for each side of theirs where the gram has more
+    than ``split_from``. Texts are known as copies by SHA-256, and segments by 128-bit digests; all other strings are
     compared byte by byte in the sorter.
     """
     with common.Scratch(docs.sparkSession, "substring") as scratch:
-        return common.materialize(_dedup(docs, scratch, id_col, text_col, length, shard_bytes, budget), "substring-result")
+        return common.materialize(_dedup(docs, scratch, id_col, text_col, length, shard_bytes, budget, split_from), "substring-result")
 
 
-def _dedup(docs: DataFrame, scratch: common.Scratch, id_col: str, text_col: str, length: int, shard_bytes: int, budget: int) -> DataFrame:
+def _dedup(docs: DataFrame, scratch: common.Scratch, id_col: str, text_col: str, length: int, shard_bytes: int, budget: int, split_from: int) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
@@ -221,13 +223,15 @@ def _dedup(docs: DataFrame, scratch: common.Scratch, id_col: str, text_col: str,
     distinct = distinct.select("gram", "key", "n", "one.*")
     sides = distinct.select("gram", "key", F.explode(F.array("left", "right")).alias("side")).where("side is not null")
     agreed = scratch.write(sides.groupBy("gram", "side").agg(F.count("*").alias("c")).where("c > 1").select("gram", "side"), "agreed")
-    asked = sides.join(agreed, ["gram", "side"]).groupBy("gram", "key").agg(F.collect_list("side").alias("sides"))
+    asked = scratch.write(sides.join(agreed, ["gram", "side"]).groupBy("gram", "key").agg(F.collect_list("side").alias("sides")), "asked")
+    # segments with an equal window agree on a side, so a gram of very many segments is split by their sides
+    many = asked.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > split_from).select("gram", F.lit(True).alias("many"))
+    asked = asked.join(many, "gram", "left").select("gram", "key", F.when(F.col("many"), F.col("sides")).otherwise(F.array(F.lit(0).cast("long"))).alias("sides"))
     wanted = scratch.write(distinct.join(asked, ["gram", "key"]).select("gram", "key", "sides", "node", "lo", "size"), "wanted")
 
     volume = wanted.agg(F.sum((F.col("size") + length) * F.size("sides"))).first()[0] or 0
     shards = max(1, -(-volume // shard_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = cut_segments(single, wanted, length, scratch).withColumn("side", F.explode("sides"))
-    # segments with an equal window agree on a side, so a gram of very many segments is split by their sides
     dealt = dealt.select(F.pmod(F.xxhash64("gram", "side"), F.lit(shards)).alias("shard"), "gram", "key", "size", "segment")
     flagged = sort_shards(dealt, length, shards, budget)
     sure = distinct.where("n > 1").select("gram", "key", F.array(F.array(F.lit(0), F.col("size") - 1)).alias("runs"))
