@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import pandas as pd
@@ -151,16 +152,22 @@ def compare(pairs: DataFrame, prints: Fingerprints) -> DataFrame:
     return out.select(*PAIR, "similarity", "match_type", *WEIGHTS, "confidence", "time_offset", F.coalesce("n_segments", F.lit(0)).alias("n_segments"))
 
 
-def near_hashes(queries: DataFrame, meta: DataFrame, bits: int = 2) -> DataFrame:
+def near_hashes(queries: DataFrame, meta: DataFrame, bits: int = 2, pieces: int = 4) -> DataFrame:
     """(id_a, id_b): queries and rows whose perceptual hashes differ in at most ``bits`` bits.
 
-    Hashes within that distance agree in one of ``bits`` + 1 pieces, so pieces are joined by equality.
+    Of the hash's ``pieces`` one differs in at most ``bits // pieces`` bits. Pieces are joined by
+    equality: a query has all values that near its own, a row has its own alone, so that rows
+    aren't multiplied and few of them meet a query whatever their number.
     """
-    pieces, width = bits + 1, -(-64 // (bits + 1))
-    piece = lambda h: F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.struct(i.alias("i"), F.call_function("shiftrightunsigned", h, i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")))
-    a = queries.select(F.col("signal_id").alias("id_a"), F.col("perceptual_hash").alias("ha"), F.explode(piece(F.col("perceptual_hash"))).alias("p"))
-    b = meta.select(F.col("signal_id").alias("id_b"), F.col("perceptual_hash").alias("hb"), F.explode(piece(F.col("perceptual_hash"))).alias("p"))
-    return a.join(b, "p").where(F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= bits).select(*PAIR).distinct()
+    width = 64 // pieces
+    masks = [sum(1 << i for i in c) for n in range(bits // pieces + 1) for c in itertools.combinations(range(width), n)]
+    piece = lambda h, i: F.call_function("shiftrightunsigned", h, F.lit(i * width)).bitwiseAND(F.lit((1 << width) - 1))
+    places = lambda h, values: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), values(piece(h, i)).alias("v")) for i in range(pieces)]))
+    nearby = lambda v: F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: v.bitwiseXOR(m))
+    a = queries.select(F.col("signal_id").alias("id_a"), F.col("perceptual_hash").alias("ha"), places(F.col("perceptual_hash"), nearby).alias("p"))
+    a = a.select("id_a", "ha", "p.i", F.explode("p.v").alias("v"))
+    b = meta.select(F.col("signal_id").alias("id_b"), F.col("perceptual_hash").alias("hb"), places(F.col("perceptual_hash"), lambda v: v).alias("p")).select("id_b", "hb", "p.*")
+    return a.join(b, ["i", "v"]).where(F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= bits).select(*PAIR).distinct()
 
 
 def candidates(queries: DataFrame, prints: Fingerprints) -> DataFrame:

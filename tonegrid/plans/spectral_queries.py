@@ -285,9 +285,21 @@ def fp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(matching.search(queries, found, 0.6).select("id_a", "id_b", "similarity", "match_type"))
 
 
-@query()
+SIDES = "list_zip(x.profile, y.profile)"
+
+
+@query(f"""WITH RECURSIVE {o.EM}, {o.CR}, {o.N}, {SUBS}, {PAIRS},
+    cd AS (SELECT a, b, x.t AS ta, y.t AS tb, 1 - bit_count(xor(x.hash, y.hash)) / 64 AS h,
+            1 - least(list_sum(list_transform({SIDES}, lambda z: abs(z[1] - z[2]))) / list_sum(list_transform({SIDES}, lambda z: z[1] + z[2])), 1) AS e FROM prs JOIN sb x ON x.signal_id = a JOIN sb y ON y.signal_id = b),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY q DESC, ta, tb) AS r FROM (SELECT a, b, ta, tb, (h + e) / 2 AS q FROM cd WHERE h > 0.7 AND e > 0.6)),
+    kp AS (SELECT DISTINCT a, b, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS rs, CAST([] AS DOUBLE[]) AS tas, CAST([] AS DOUBLE[]) AS tbs FROM rk
+        UNION ALL SELECT k.a, k.b, n.r, CASE WHEN ok THEN list_append(rs, n.r) ELSE rs END, CASE WHEN ok THEN list_append(tas, n.ta) ELSE tas END, CASE WHEN ok THEN list_append(tbs, n.tb) ELSE tbs END
+        FROM (SELECT kp.*, rk.r AS nr, rk.ta, rk.tb, len(list_filter(tas, lambda z: z <= rk.ta AND rk.ta < z + {SUB})) = 0 AND len(list_filter(tbs, lambda z: z <= rk.tb AND rk.tb < z + {SUB})) = 0 AS ok
+            FROM kp JOIN rk ON rk.a = kp.a AND rk.b = kp.b AND rk.r = kp.r + 1) k JOIN rk n ON n.a = k.a AND n.b = k.b AND n.r = k.nr),
+    ls AS (SELECT a, b, arg_max(rs, r) AS rs FROM kp GROUP BY 1, 2)
+    SELECT rk.a AS id_a, rk.b AS id_b, round(ta, 6) AS time_a, round(tb, 6) AS time_b, {SUB}::DOUBLE AS duration, round(q, 6) AS quality FROM rk JOIN ls ON ls.a = rk.a AND ls.b = rk.b AND list_contains(rs, rk.r)""")
 def match_segments_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sub-fingerprints that match, best first without overlap; tests hold it against a direct computation."""
+    """Sub-fingerprints that match, best first without overlap."""
     out = matching.matched_segments(matching.segment_candidates(pairs(spark, sf_dir), prints(spark, sf_dir).subs))
     return rounded(out)
 
@@ -330,9 +342,24 @@ def note_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hz.select("event_id", note.alias("midi_note"), scalar.note_name(note).alias("note_name"), F.round(scalar.cents_offset("hz"), 4).alias("cents_offset"), F.round(scalar.hz_to_mel("hz"), 6).alias("mel"))
 
 
-@query()
+STEP = 512 / 44100
+
+
+@query(f"""WITH {o.EV}, c AS (SELECT signal_id, pos AS i, count(*) OVER w AS n, 1200 * log2((x * 10 + 440) / avg(x * 10 + 440) OVER w) AS cents FROM ev WINDOW w AS (PARTITION BY signal_id)),
+    g AS (SELECT signal_id, regr_slope(cents, i) AS slope, regr_intercept(cents, i) AS base FROM c GROUP BY 1),
+    f AS (SELECT signal_id, i, n, cents - slope * i - base AS flat FROM c JOIN g USING (signal_id) WHERE n >= 20),
+    s AS (SELECT signal_id, n, k, sqrt(power(sum(flat * cos(2 * pi() * k * i / n)), 2) + power(sum(flat * sin(2 * pi() * k * i / n)), 2)) / n AS strength FROM f, range(1, 400) AS r(k)
+        WHERE k >= greatest(CAST(floor(3.0 * {STEP!r} * n) AS BIGINT), 1) AND k <= least(CAST(floor(12.0 * {STEP!r} * n) AS BIGINT), n // 2) GROUP BY 1, 2, 3),
+    v AS (SELECT signal_id, n, k, strength, CAST(floor(n / k + 0.5) AS BIGINT) AS period FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY strength DESC, k DESC) AS o FROM s) WHERE o = 1 AND strength > 0.01),
+    d AS (SELECT signal_id, (max(flat) - min(flat)) / 2 AS depth FROM f GROUP BY 1),
+    rw AS (SELECT f.signal_id, i // period AS r, i % period AS q, flat - avg(flat) OVER (PARTITION BY f.signal_id, i // period) AS z FROM f JOIN v ON v.signal_id = f.signal_id WHERE i < v.n // period * period AND period < v.n),
+    co AS (SELECT a.signal_id, b.r, sum(a.z * b.z) AS dot, sqrt(sum(a.z * a.z)) * sqrt(sum(b.z * b.z)) AS size FROM rw a JOIN rw b ON b.signal_id = a.signal_id AND b.q = a.q AND a.r = 0 AND b.r > 0 GROUP BY 1, 2),
+    rg AS (SELECT signal_id, avg(CASE WHEN size > 0 THEN dot / size ELSE 0 END) AS regular FROM co GROUP BY 1)
+    SELECT e.signal_id, round(k / ({STEP!r} * n), 6) AS rate, CASE WHEN k IS NOT NULL THEN round(depth, 6) END AS depth_cents,
+        CASE WHEN k IS NOT NULL THEN round(least(least(depth / 100, 1) * 0.4 + least(strength * 10, 1) * 0.3 + least(greatest(coalesce(regular, 0), 0), 1) * 0.3, 1), 6) END AS presence
+    FROM (SELECT DISTINCT signal_id FROM ev) e LEFT JOIN v ON v.signal_id = e.signal_id LEFT JOIN d ON d.signal_id = e.signal_id LEFT JOIN rg ON rg.signal_id = e.signal_id""")
 def vibrato(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The users' event values taken as pitches: vibrato of each sequence (tests hold it against a direct computation)."""
+    """The users' event values taken as pitches: vibrato of each sequence."""
     rows = tables.event_samples(spark, sf_dir).select("signal_id", F.col("pos").alias("frame_idx"), (F.col("x") * 10 + 440).alias("frequency"))
     return pitch.vibrato(rows, 44100, 512).select("signal_id", F.round("vibrato.rate", 6).alias("rate"), F.round("vibrato.depth_cents", 6).alias("depth_cents"), F.round("vibrato.presence", 6).alias("presence"))
 
