@@ -63,6 +63,13 @@ class Scratch:
         self.made += 1
         return _written(df, f"{self.path}/{self.made:03d}-{name}")
 
+    def drop(self, name: str) -> None:
+        """Delete the tables written under a name that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/*-{name}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in files.globStatus(path):
+            files.delete(found.getPath(), True)
+
     def __enter__(self) -> Scratch:
         return self
 

@@ -3,8 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from . import common, exact_dedup, ngram_join, packing, quality_classifier, quality_rules, source_mixing, substring_dedup, toxicity, url_filter, warc
+from pyspark.sql import functions as F
+
+from . import (
+    bpe,
+    common,
+    exact_dedup,
+    filter_audit,
+    ngram_join,
+    packing,
+    quality_classifier,
+    quality_rules,
+    source_mixing,
+    substring_dedup,
+    toxicity,
+    url_filter,
+    vector_codes,
+    warc,
+)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +67,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("content_share")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compress_vectors(common.read(spark, sf_dir, "embeddings"))
+    low = [F.lower(F.hex(F.substring("code", 2 * i + 1, 1))) for i in range(len(books.parts))]
+    out = vector_codes.with_label_error(rows).withColumn("code", F.concat(*low))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decode(bpe.encode(common.read(spark, sf_dir, "documents")))
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_url_filter, op3_exact_dedup, op4_mix_sources, op5_warc, op6_ngram_join,
         op7_quality_classifier, op8_substring_dedup, op9_best_fit_packing, op10_quality_rules,
+        op11_filter_audit, op12_vector_codes, op13_bpe,
     )
 }
 
@@ -65,6 +99,17 @@ WORDS = r"[^\x20\x09-\x0D]+"
 HOST = r"translate(regexp_extract(coalesce({0}, ''), '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^\s"''>]+)"""
 
+# vector codes: floor(1024 x) by part, then rounds of "nearest entry" and "floor of the mean"
+NEAREST = """
+        a{0} AS MATERIALIZED (SELECT vec_id, part, min(dist) AS dist, arg_min(entry, (dist, entry)) AS entry FROM (
+                SELECT vec_id, x.part, entry, sum((x.v - c.v) * (x.v - c.v))::BIGINT AS dist FROM x JOIN c{0} c ON c.part = x.part AND c.pos = x.pos GROUP BY 1, 2, 3)
+            GROUP BY 1, 2)"""
+MOVED = """
+        c{1} AS MATERIALIZED (SELECT c.part, c.entry, c.pos, coalesce(m.v, c.v) AS v FROM c{0} c LEFT JOIN (
+                SELECT x.part, entry, pos, CAST(floor(sum(x.v) / count(*)) AS BIGINT) AS v FROM x JOIN a{0} a ON a.vec_id = x.vec_id AND a.part = x.part GROUP BY 1, 2, 3) m
+            ON m.part = c.part AND m.entry = c.entry AND m.pos = c.pos)"""
+ROUNDS = ",".join([NEAREST.format(i) + "," + MOVED.format(i, i + 1) for i in range(4)] + [NEAREST.format(4)])
+
 ORACLES = {
     "op2_url_filter": rf"""
         WITH RECURSIVE u AS MATERIALIZED (SELECT page_id, {HOST.format("url")} AS host,
@@ -141,4 +186,33 @@ ORACLES = {
         m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
         FROM documents d JOIN m ON m.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op11_filter_audit": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents),
+        g AS (SELECT doc_id AS id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+        f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * list_unique(ws) < 80 * len(ws) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+                || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+            FROM w LEFT JOIN g ON g.id = w.doc_id),
+        m AS MATERIALIZED (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+        p AS (SELECT '' AS o UNION ALL SELECT o || l FROM p, l WHERE NOT contains(o, l)),
+        s AS (SELECT o, i AS step, o[i:i] AS l, o[1:i - 1] AS before FROM p, range(1, 6) r(i) WHERE len(o) = 5),
+        r AS (SELECT part, o, step, l, translate(fails, before, '') = fails AS there, contains(fails, l) AS fail, fails, n, good, toxic FROM m, s),
+        q AS (SELECT part, o, step, l, coalesce(sum(n) FILTER (there AND NOT fail), 0) AS kept, coalesce(sum(n) FILTER (there AND fail), 0) AS removed,
+                coalesce(sum(n) FILTER (fail AND NOT there), 0) AS redundant, coalesce(sum(n) FILTER (fails = l), 0) AS unique_fails,
+                coalesce(sum(good) FILTER (there AND fail), 0) AS good_lost, coalesce(sum(toxic) FILTER (there AND fail), 0) AS toxic_lost
+            FROM r GROUP BY 1, 2, 3, 4)
+        SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+            good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley FROM q""",
+    "op12_vector_codes": f"""
+        WITH k AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+        x AS MATERIALIZED (SELECT vec_id, (i - 1) // (len(e) // 4) AS part, (i - 1) % (len(e) // 4) AS pos, CAST(floor(1024 * e[i]::DOUBLE) AS BIGINT) AS v
+            FROM (SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM k)),
+        c0 AS MATERIALIZED (SELECT x.part, entry, x.pos, x.v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k) o ON o.vec_id = x.vec_id WHERE entry < 256),
+        {ROUNDS},
+        r AS (SELECT vec_id, string_agg(printf('%02x', entry::INT), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a4 GROUP BY 1)
+        SELECT k.vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+            (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) FROM c4) AS codebooks_sha256
+        FROM k JOIN r ON r.vec_id = k.vec_id""",
 }
