@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Texts whose words are merged together: an index holds the pairs of this many bytes of a partition at most, or of one text.
-INDEX_BYTES = 8 << 20
+INDEX_BYTES = 2 << 20
 _CODECS: dict[str, Codec] = {}
 
 
@@ -107,7 +107,7 @@ class Codec:
     Words are remembered once merged, up to a number of short ones.
     """
 
-    MOST, LONGEST = 1_000_000, 64
+    MOST, LONGEST = 300_000, 64
     PLAIN = re.compile("[\\t-\\r -~\\u00a1-\\u024f\\u2010-\\u2027\\u20ac]*")
     SPACE = re.compile("[\\t-\\r ]+")
     #: The steps of a file whose normalisation leaves plain characters as they are.
@@ -138,8 +138,6 @@ class Codec:
         self.special = {t.content: i for i, t in added.items()}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.known: dict[str | int, bytes] = {}
-        names = {i: s for s, i in ids.items()} | {i: t.content for i, t in added.items()}
-        self.spelling = pa.array([names.get(i, "") for i in range(max(names) + 1)])
 
     def _words(self, text: str) -> list[str]:
         """The words of a text without added tokens, normalised."""
@@ -187,12 +185,21 @@ class Codec:
                 del self.known[unit]
         return out
 
+
+class Spelling:
+    """How a vocabulary file spells its tokens, for decoding."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            read = json.load(file)
+        names = {i: s for s, i in read["model"]["vocab"].items()} | {t["id"]: t["content"] for t in read["added_tokens"]}
+        self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)])
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Texts of lists of ids: their tokens' spellings with a space between; a null list has none."""
         lists = pc.fill_null(ids, pa.scalar([], ids.type))
-        spelt = self.spelling.take(lists.flatten())
         ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spelt), " ")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.names.take(lists.flatten())), " ")
 
 
 def codec(path: str) -> Codec:
@@ -241,7 +248,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
     path = path or public_file()
 
     def make():
-        held = codec(path)
+        held = Spelling(path)
         return lambda part: {"id": part.column("id"), "ids": part.column("ids"), "text": held.decode(part.column("ids"))}
 
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
