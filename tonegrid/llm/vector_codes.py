@@ -208,7 +208,7 @@ def compress_vectors(
 
 
 def with_label_error(rows: DataFrame, label_col: str = "label") -> DataFrame:
-    """Adds ``label_error``: the errors of all rows with an equal label, nulls together; null where it passes 64 bits.
+    """Adds ``label_error``: the errors of all rows with an equal label, nulls together; null where all of them are, or their sum passes 64 bits.
 
     Labels are summed with map-side combination. The sums are broadcast up to a bound of rows;
     beyond it a label's rows are dealt to ``SALTS`` tasks, each with its own copy of the sums.
