@@ -1,4 +1,4 @@
-"""Every query against its SQL in DuckDB, on the small tables."""
+"""Every query against its SQL in DuckDB, to the six decimals that queries give."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pytest
 
 from tonegrid.plans.queries import ORACLES, QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def plain(v):
     if isinstance(v, (list, tuple)):
         return repr([plain(x) for x in v])
     if isinstance(v, (int, float)) and not math.isnan(v):
-        return f"{float(v) + 0.0:.5f}".replace("-0.00000", "0.00000")
+        return f"{float(v) + 0.0:.6f}".replace("-0.000000", "0.000000")
     return repr(v) if not isinstance(v, float) else "None"
 
 

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
+
 KEYS = ("signal_id",)
 #: Samples of a block; a task holds a block and its overlap at a time.
 BLOCK = 65_536
@@ -100,11 +102,34 @@ def hopping_sums(samples: DataFrame, size: int, hop: int, sums: dict[str, Column
     return out.select(*keys, (F.col("cell") * g / hop).cast("long").alias("window"), (F.col("cell") * g).alias("start"), "n", *sums)
 
 
-def index_percentiles(values: DataFrame, value: str, percents: dict[str, int], keys: tuple[str, ...] = KEYS) -> DataFrame:
+def running_count(rows: DataFrame, counted: Column, name: str, keys: tuple[str, ...] = KEYS, pos: str = "pos", block: int = BLOCK) -> DataFrame:
+    """Adds ``name``: how many rows up to this one, in the order of ``pos``, have ``counted``.
+
+    A scan in two levels: rows are counted inside blocks, the blocks' totals before each block are
+    summed, so that a task orders a block's rows or a key's blocks, never a key's rows. Groups by
+    the count of marked beginnings are runs, which cross blocks as they please.
+    """
+    marked = rows.withColumns({"block": F.floor(F.col(pos) / block), name: F.when(counted, 1).otherwise(0).cast("long")})
+    totals = marked.groupBy(*keys, "block").agg(F.sum(name).alias("total"))
+    before = F.sum("total").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("block").alias("block_"), F.coalesce(before, F.lit(0)).alias("before_"))
+    inside = F.sum(name).over(Window.partitionBy(*keys, "block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("block") == F.col("block_")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    out = marked.withColumn(name, inside).join(starts, same)
+    return out.withColumn(name, F.col(name) + F.col("before_")).drop("block", "block_", "before_", *[f"{k}_" for k in keys])
+
+
+def index_percentiles(values: DataFrame, value: str, percents: dict[str, int], keys: tuple[str, ...] = KEYS, bounded: bool = False) -> DataFrame:
     """(keys, n, percentiles...): the value at index floor(n * percent / 100) of the sorted values.
 
-    This is an index into the sorted list and neither ``percentile`` nor ``percentile_approx``.
+    This is an index into the sorted list and neither ``percentile`` nor ``percentile_approx``. Keys
+    of any number of values are selected from by counting (``selection``); ``bounded`` says that a
+    key has few, such as the levels inside a segment, which are ranked in one go.
     """
+    if not bounded:
+        return selection.index_percentiles(values, value, percents, keys)
     order = Window.partitionBy(*keys).orderBy(value)
     ranked = values.select(*keys, value).withColumn("at", F.row_number().over(order) - 1)
     ranked = ranked.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))

@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..sources import stage
 from . import fingerprint, layout
 
 TIME, HZ, START = 0.1, 50.0, 1.0
 PAIR = ("id_a", "id_b")
+#: Candidates of a pair that one task decides; a pair with more is decided in rounds first.
+AT_ONCE, ROUNDS = 20_000, 6
+#: Prints on a feature's list from which the list is dealt to several tasks.
+LONG_LIST = 100_000
+#: Rows up to which a table of features or ids (some 40 bytes a row) is broadcast.
+BROADCAST_ROWS = 500_000
 # What each score weighs, and the similarity from which a pair has a class.
 WEIGHTS = {"spectral": 0.3, "landmark": 0.25, "perceptual": 0.2, "energy": 0.15, "temporal": 0.1}
 CLASSES = ((0.95, "Identical"), (0.85, "VerySimilar"), (0.7, "Similar"), (0.5, "PartiallySimilar"))
@@ -21,18 +30,29 @@ CLASSES = ((0.95, "Identical"), (0.85, "VerySimilar"), (0.7, "Similar"), (0.5, "
 
 @dataclass
 class Fingerprints:
-    """The tables of a collection's fingerprints, each keyed by signal_id."""
+    """The tables of a collection's fingerprints, each keyed by signal_id.
+
+    ``postings`` are (feature, signal_id) rows, as ``postings_of`` makes them or an index has them stored.
+    """
 
     hashes: DataFrame
     landmarks: DataFrame
     meta: DataFrame
     subs: DataFrame
+    postings: DataFrame | None = None
 
     @classmethod
     def of(cls, crossed: DataFrame, spectra: DataFrame, rate: float, size: int, hop: int, bands: int = 32, seconds: float = 5.0, chunk: int = 1024) -> Fingerprints:
         meta = fingerprint.metadata(crossed, spectra, rate, size).join(fingerprint.perceptual_hash(crossed, spectra), "signal_id")
         return cls(fingerprint.spectral_hashes(spectra, rate, hop, bands), fingerprint.landmarks(spectra, rate, size, hop), meta, fingerprint.sub_fingerprints(crossed, rate, seconds, chunk))
 
+    def tables(self) -> dict[str, DataFrame]:
+        return {"hashes": self.hashes, "landmarks": self.landmarks, "meta": self.meta, "subs": self.subs}
+
+    def map(self, f: Callable[[DataFrame], DataFrame]) -> Fingerprints:
+        """The same change made to every table; postings are made anew when asked for."""
+        return Fingerprints(**{name: f(t) for name, t in self.tables().items()})
+
 
 def _side(rows: DataFrame, side: str, *columns: str) -> DataFrame:
     return rows.select(F.col("signal_id").alias(f"id_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
@@ -113,24 +133,71 @@ def segment_candidates(pairs: DataFrame, subs: DataFrame) -> DataFrame:
     return both.select(*PAIR, F.col("start_time_a").alias("time_a"), F.col("start_time_b").alias("time_b"), F.least("duration_a", "duration_b").alias("duration"), ((F.col("h") + F.col("e")) / 2.0).alias("quality"))
 
 
-def matched_segments(candidates: DataFrame) -> DataFrame:
-    """The candidates that stay when each, best first, goes if it starts inside one that stays, in A or in B.
+def _priority() -> Column:
+    """Better candidates have greater ones: by quality, then the earlier in A, then in B."""
+    return F.struct("quality", (-F.col("time_a")).alias("a"), (-F.col("time_b")).alias("b"), (-F.col("duration")).alias("d"))
 
-    The choice depends on all better ones, so a pair's candidates are taken together; there are at
-    most as many as pairs of its sub-fingerprints. Of equal quality the earlier one is better.
-    """
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        rows = group.sort_values(["quality", "time_a", "time_b"], ascending=[False, True, True]).reset_index(drop=True)
-        inside = lambda s, t, d: (s <= t) & (t < s + d)
-        for i, r in enumerate(rows.itertuples()):
-            k = rows.loc[kept]
-            if not (inside(k["time_a"], r.time_a, k["duration"]) | inside(k["time_b"], r.time_b, k["duration"])).any():
-                kept.append(i)
-        return rows.loc[kept]
+def _covered(candidates: DataFrame, by: DataFrame, side: str, width: float = START) -> DataFrame:
+    """(pair, time, p): of each start of the candidates on a side, the greatest priority of those of ``by`` whose interval holds it.
 
-    return candidates.groupBy(*PAIR).applyInPandas(choose, candidates.schema)
+    Intervals are joined to starts by slots of time; of intervals that begin and end together only the best is.
+    """
+    time = f"time_{side}"
+    slot = lambda c: F.floor(c / F.lit(width))
+    best = by.groupBy(*PAIR, F.col(time).alias("begin"), "duration").agg(F.max(_priority()).alias("p"))
+    best = best.withColumn("slot", F.explode(F.sequence(slot(F.col("begin")), slot(F.col("begin") + F.col("duration")))))
+    starts = candidates.select(*PAIR, time).distinct().withColumn("slot", slot(F.col(time)))
+    inside = (F.col(time) >= F.col("begin")) & (F.col(time) < F.col("begin") + F.col("duration"))
+    return starts.join(best, [*PAIR, "slot"]).where(inside).groupBy(*PAIR, time).agg(F.max("p").alias(f"p_{side}"))
+
+
+def _with_covers(candidates: DataFrame, by: DataFrame, how: str) -> DataFrame:
+    for side in ("a", "b"):
+        candidates = candidates.join(_covered(candidates, by, side), [*PAIR, f"time_{side}"], how)
+    return candidates
+
+
+def _choose(group: pd.DataFrame) -> pd.DataFrame:
+    """One pair's candidates, best first; each that stays rules out the later ones that start inside it."""
+    rows = group.sort_values(["quality", "time_a", "time_b", "duration"], ascending=[False, True, True, True])
+    a, b, d = (rows[c].to_numpy() for c in ("time_a", "time_b", "duration"))
+    left, kept = np.ones(len(rows), dtype=bool), []
+    while left.any():
+        i = int(left.argmax())
+        kept.append(i)
+        left &= ~(((a >= a[i]) & (a < a[i] + d[i])) | ((b >= b[i]) & (b < b[i] + d[i])))
+        left[: i + 1] = False
+    return rows.iloc[kept]
+
+
+def matched_segments(candidates: DataFrame, at_once: int = AT_ONCE, rounds: int = ROUNDS) -> DataFrame:
+    """The candidates that stay when each, best first, goes if it starts inside one that stays, in A or in B.
+
+    Of equal quality the earlier one is better; equal rows are one. A pair with more than ``at_once``
+    candidates is decided in rounds of joins: what no better undecided candidate holds stays, and
+    what a better staying one holds goes, so a pair is spread over its starts and slots of time.
+    Candidates in chains (each held by the one before, as ties make them) might take a round each;
+    after some ``rounds`` the best ``at_once`` of a pair are therefore decided by themselves in each
+    further round, which is exact as a choice depends on better ones alone. Pairs with no more than
+    that left are decided in one go.
+    """
+    schema = candidates.schema
+    left, kept = stage.keep(candidates.dropDuplicates()), None
+    for turn in itertools.count():
+        most = left.groupBy(*PAIR).count().agg(F.max("count")).first()[0] or 0
+        if most <= at_once:
+            last = left.groupBy(*PAIR).applyInPandas(_choose, schema)
+            return last if kept is None else kept.unionByName(last)
+        if turn < rounds:
+            best = _with_covers(left, left, "inner").where((_priority() == F.col("p_a")) & (_priority() == F.col("p_b")))
+        else:
+            order = Window.partitionBy(*PAIR).orderBy(_priority().desc())
+            best = left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= at_once).drop("r").groupBy(*PAIR).applyInPandas(_choose, schema)
+        best = stage.keep(best.select(*schema.names))
+        held = lambda side: F.coalesce(F.col(f"p_{side}") >= _priority(), F.lit(False))
+        left = stage.keep(_with_covers(left, best, "left").where(~held("a") & ~held("b")).select(*schema.names))
+        kept = best if kept is None else kept.unionByName(best)
 
 
 def compare(pairs: DataFrame, prints: Fingerprints) -> DataFrame:
@@ -170,15 +237,94 @@ def near_hashes(queries: DataFrame, meta: DataFrame, bits: int = 2, pieces: int
     return a.join(b, ["i", "v"]).where(F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= bits).select(*PAIR).distinct()
 
 
-def candidates(queries: DataFrame, prints: Fingerprints) -> DataFrame:
-    """(id_a, id_b): what shares a band hash with a query, or nearly its perceptual hash."""
-    q = queries.select("signal_id")
-    own = prints.hashes.join(q, "signal_id", "left_semi").select(F.col("signal_id").alias("id_a"), "hash").distinct()
-    shared = own.join(prints.hashes.select(F.col("signal_id").alias("id_b"), "hash").distinct(), "hash").select(*PAIR)
-    near = near_hashes(prints.meta.join(q, "signal_id", "left_semi"), prints.meta)
-    return shared.unionByName(near).distinct()
+def _cell(kind: Column, time: Column, hz: Column) -> Column:
+    return F.xxhash64(F.lit(1), kind, time, hz)
 
 
-def search(queries: DataFrame, prints: Fingerprints, threshold: float = 0.5) -> DataFrame:
+def _slot(c: str, width: float) -> Column:
+    return F.floor(F.col(c) / F.lit(width))
+
+
+def postings_of(prints: Fingerprints) -> DataFrame:
+    """(feature, signal_id): the band hashes of a print, the cells of time and frequency of its landmarks by type, or that it has none.
+
+    Features are 64-bit digests: two that fall together can only add candidates.
+    """
+    hashes = prints.hashes.select(F.xxhash64(F.lit(0), "hash").alias("feature"), "signal_id")
+    cells = prints.landmarks.select(_cell(F.col("landmark_type"), _slot("time", TIME), _slot("frequency", HZ)).alias("feature"), "signal_id")
+    bare = prints.meta.join(prints.landmarks.select("signal_id").distinct(), "signal_id", "left_anti").select(F.xxhash64(F.lit(2)).alias("feature"), "signal_id")
+    return hashes.unionByName(cells).unionByName(bare).distinct()
+
+
+def _query_features(queries: DataFrame, prints: Fingerprints) -> DataFrame:
+    """(id_a, unit, weight, feature): what each hash and landmark of a query can add to a score, and the features that show it.
+
+    A hash counts with its share of the query's rows, a landmark with one of the query's landmarks;
+    the other side's rows can only lower that. A landmark is seen in its own and the neighbouring cells.
+    """
+    own = lambda t: t.join(queries.select("signal_id"), "signal_id", "left_semi")
+    every = Window.partitionBy("signal_id")
+    hashes = own(prints.hashes).groupBy("signal_id", "hash").agg(F.count("*").alias("c")).withColumn("n", F.sum("c").over(every))
+    feature = F.xxhash64(F.lit(0), "hash")
+    hashes = hashes.select(F.col("signal_id").alias("id_a"), feature.alias("unit"), (F.col("c") / F.col("n") * F.lit(WEIGHTS["spectral"])).alias("weight"), feature.alias("feature"))
+    marks = own(prints.landmarks).withColumn("n", F.count("*").over(every))
+    near = F.array(*[_cell(F.col("landmark_type"), _slot("time", TIME) + i, _slot("frequency", HZ) + j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    marks = marks.select(F.col("signal_id").alias("id_a"), F.col("landmark").cast("long").alias("unit"), (F.lit(WEIGHTS["landmark"]) / F.col("n")).alias("weight"), F.explode(F.array_distinct(near)).alias("feature"))
+    bare = own(prints.meta).join(own(prints.landmarks).select("signal_id").distinct(), "signal_id", "left_anti")
+    bare = bare.select(F.col("signal_id").alias("id_a"), F.lit(-1).cast("long").alias("unit"), F.lit(WEIGHTS["landmark"]).alias("weight"), F.xxhash64(F.lit(2)).alias("feature"))
+    return hashes.unionByName(marks).unionByName(bare)
+
+
+def _meet(asked: DataFrame, postings: DataFrame, counts: DataFrame, longest: int) -> DataFrame:
+    """The query features with every print on their lists. Lists beyond ``longest`` are dealt to several tasks, queries copied to each."""
+    postings = postings.select("feature", "signal_id")
+    long_lists = counts.where(F.col("n") > longest).select("feature", F.ceil(F.col("n") / longest).cast("int").alias("deals"))
+    n = long_lists.count()
+    if not n:
+        return asked.join(postings, "feature")
+    long_lists = F.broadcast(long_lists) if n <= BROADCAST_ROWS else long_lists
+    deals = F.coalesce("deals", F.lit(1))
+    dealt = postings.join(long_lists, "feature", "left").withColumn("deal", F.pmod(F.xxhash64("signal_id"), deals).cast("int")).drop("deals")
+    copied = asked.join(long_lists, "feature", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
+    return copied.join(dealt, ["feature", "deal"]).drop("deal")
+
+
+def candidates(queries: DataFrame, prints: Fingerprints, threshold: float = 0.0, bits: int = 2, longest: int = LONG_LIST) -> DataFrame:
+    """(id_a, id_b): what shares a band hash with a query, or nearly its perceptual hash, and may reach the threshold.
+
+    The four scores beside those of hashes and landmarks add a known amount at most, and a pair that
+    isn't near in its perceptual hash less. What is missing to the threshold, hashes and landmarks
+    must bring. So a query's features on the longest lists are left out while together they bring
+    less than that: a pair that shares no other feature can't reach the threshold, and is never
+    formed. Pairs that are formed stay if the features they share, all those left out, and their own
+    perceptual and energy scores reach it. No pair with a score of ``threshold`` is lost.
+    """
+    q = queries.select("signal_id")
+    own = prints.hashes.join(q, "signal_id", "left_semi").select(F.col("signal_id").alias("id_a"), "hash").distinct()
+    others = prints.hashes.select(F.col("signal_id").alias("id_b"), "hash")
+    near = near_hashes(prints.meta.join(q, "signal_id", "left_semi"), prints.meta, bits)
+    slack = threshold - WEIGHTS["energy"] - WEIGHTS["temporal"] - WEIGHTS["perceptual"] * (1 - (bits + 1) / 64) - 1e-9
+    if slack <= 0:
+        return own.join(others.distinct(), "hash").select(*PAIR).unionByName(near).distinct()
+    postings = postings_of(prints) if prints.postings is None else prints.postings
+    counts = stage.keep(postings.groupBy("feature").agg(F.count("*").alias("n")))
+    asked = _query_features(q, prints)
+    length = asked.join(counts, "feature", "left").groupBy("id_a", "unit", "weight").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    order = Window.partitionBy("id_a").orderBy(F.col("n").desc(), "unit", "weight")
+    upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    units = stage.keep(length.withColumn("upto", upto).withColumn("out", F.col("upto") < slack))
+    left_out = units.where("out").groupBy("id_a").agg(F.sum("weight").alias("rest"))
+    asked = asked.join(units.where("not out").select("id_a", "unit", "weight"), ["id_a", "unit", "weight"], "left_semi")
+    met = _meet(asked, postings, counts, longest).withColumnRenamed("signal_id", "id_b")
+    shared = met.groupBy(*PAIR, "unit").agg(F.max("weight").alias("weight")).groupBy(*PAIR).agg(F.sum("weight").alias("weight"))
+    scored = shared.join(meta_scores(shared.select(*PAIR), prints.meta), list(PAIR)).join(left_out, "id_a", "left")
+    most = F.col("weight") + F.coalesce("rest", F.lit(0.0)) + F.col("perceptual") * F.lit(WEIGHTS["perceptual"]) + F.col("energy") * F.lit(WEIGHTS["energy"]) + F.lit(WEIGHTS["temporal"])
+    able = scored.where(most >= F.lit(threshold - 1e-9)).select(*PAIR)
+    sharing = able.join(own, "id_a").join(others, ["id_b", "hash"], "left_semi").select(*PAIR)
+    return sharing.unionByName(near).distinct()
+
+
+def search(queries: DataFrame, prints: Fingerprints, threshold: float = 0.5, longest: int = LONG_LIST) -> DataFrame:
     """Candidates of the queries that reach the threshold, scored as pairs; order by similarity, then id."""
-    return compare(candidates(queries, prints), prints).where(F.col("similarity") >= threshold)
+    pairs = stage.keep(candidates(queries, prints, threshold, longest=longest))
+    return compare(pairs, prints).where(F.col("similarity") >= threshold)

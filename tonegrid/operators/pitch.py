@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..sources import stage
 from . import layout
 
 KEYS = layout.KEYS
@@ -137,66 +138,135 @@ def summary(frames: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return stats.join(top, list(keys)).select(*keys, "mean_pitch", "min_pitch", "max_pitch", steady.alias("pitch_stability"), "dominant_pitch")
 
 
-def vibrato_of(pitches: np.ndarray, step: float, slow: float = 3.0, fast: float = 12.0) -> tuple | None:
-    """(rate, depth_cents, regularity, presence, onset_time) of voiced pitches ``step`` seconds apart."""
-    p = pitches[pitches > 0]
-    n = len(p)
-    if n < 20:
-        return None
-    cents = 1200.0 * np.log2(p / p.mean())
-    i = np.arange(n)
-    flat = cents - np.polyval(np.polyfit(i, cents, 1), i)
-    unit = 1.0 / (step * n)
-    bins = np.arange(max(int(slow / unit), 1), min(int(fast / unit), n // 2) + 1)
-    if not len(bins):
-        return None
-    strengths = np.abs(np.exp(-2j * np.pi * np.outer(bins, i) / n) @ flat) / n
-    top = len(bins) - 1 - int(np.argmax(strengths[::-1]))
-    if strengths[top] <= 0.01:
-        return None
-    rate, depth = float(bins[top] * unit), float(flat.max() - flat.min()) / 2
-    period = 1.0 / (step * rate)
-    regular = _regularity(flat, int(np.floor(period + 0.5)))
-    present = min(min(depth / 100, 1) * 0.4 + min(float(strengths[top]) * 10, 1) * 0.3 + min(max(regular, 0), 1) * 0.3, 1.0)
-    return rate, depth, regular, present, _vibrato_onset(cents, int(np.floor(2 * period + 0.5)), step)
-
-
-def _regularity(flat: np.ndarray, period: int) -> float:
-    """Mean correlation of the first period with each later one."""
-    if not 0 < period < len(flat):
-        return 0.0
-    rows = flat[: len(flat) // period * period].reshape(-1, period)
-    rows = rows - rows.mean(1, keepdims=True)
-    size = np.sqrt((rows**2).sum(1))
-    if len(rows) < 2:
-        return 0.0
-    scale = size[0] * size[1:]
-    return float(np.where(scale > 0, rows[1:] @ rows[0] / np.where(scale > 0, scale, 1.0), 0.0).mean())
-
-
-def _vibrato_onset(cents: np.ndarray, window: int, step: float) -> float | None:
-    """Where the variance of the window ahead exceeds that of the window behind by most, and twofold."""
-    if window >= len(cents) or len(cents) - window <= window or window < 1:
-        return None
-    var = np.lib.stride_tricks.sliding_window_view(cents, window).var(axis=1)
-    at = np.arange(window, len(cents) - window)
-    behind, ahead = var[at - window], var[at]
-    change = np.where(ahead > 2 * behind, np.abs(ahead - behind), 0.0)
-    return float(at[int(np.argmax(change))] * step) if len(at) and change.max() > 10.0 else None
+#: Voiced frames that a task takes of a track at a time.
+TRACK_BLOCK = 16_384
+#: Frames and slowest, fastest modulation (Hz) that count as vibrato. Fixed values.
+FEWEST, SLOW, FAST = 20, 3.0, 12.0
 
 
-def vibrato(frames: DataFrame, rate: float, hop: int = 512, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """(keys, vibrato): struct<rate, depth_cents, regularity, presence, onset_time>, null if there is none.
+def _partial_transform(flat: np.ndarray, start: int, n: int, first: int, last: int) -> np.ndarray:
+    """Bins ``first`` to ``last`` of a block's part of a transform of ``n`` values, in the phase of its place.
+
+    A block shorter than the bins are many goes through convolution with a chirp; phases are taken
+    from whole numbers modulo ``2 n``, so that they stay exact in long tracks.
+    """
+    k, j = np.arange(first, last + 1), np.arange(len(flat))
+    if len(k) * len(j) <= 1 << 20:
+        return np.exp(-2j * np.pi * (np.outer(k, start + j) % n) / n) @ flat
+    phase = lambda m: np.exp(-1j * np.pi * (m % (2 * n)) / n)
+    # k j = (k^2 + j^2 - (k - j)^2) / 2
+    span = np.arange(-len(j) + 1, len(k))
+    size = 1 << int(len(span) + len(j) - 1).bit_length()
+    left = np.fft.fft(flat * phase(j * j + 2 * first * j), size)
+    found = np.fft.ifft(left * np.fft.fft(np.conj(phase(span * span)), size))[len(j) - 1 : len(j) - 1 + len(k)]
+    turned = np.arange(len(k))
+    return found * phase(turned * turned) * np.exp(-2j * np.pi * ((k * (start % n)) % n) / n)
+
+
+def _track(frames: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, i, n, cents, flat) of the voiced frames: their place among them, cents from the mean, less the line through them."""
+    voiced = frames.where("frequency > 0").select(*keys, "frame_idx", "frequency")
+    placed = layout.running_count(voiced, F.lit(True), "i", keys, "frame_idx").withColumn("i", F.col("i") - 1)
+    means = voiced.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("frequency").alias("mean")).where(F.col("n") >= FEWEST)
+    cents = placed.join(means, list(keys)).withColumn("cents", F.lit(1200.0) * F.log2(F.col("frequency") / F.col("mean")))
+    line = cents.groupBy(*keys).agg(F.regr_slope("cents", "i").alias("slope"), F.regr_intercept("cents", "i").alias("base"))
+    return cents.join(line, list(keys)).select(*keys, "i", "n", "cents", (F.col("cents") - F.col("slope") * F.col("i") - F.col("base")).alias("flat"))
+
+
+def _modulation(track: DataFrame, step: float, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, cycles, strength): the strongest bin of the transform between the slowest and the fastest modulation, of equal ones the last.
+
+    Blocks of a track give their part of each bin, in the phase of their place; parts are added up.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.sort_values("i")
+        n, unit = int(rows["n"].iloc[0]), 1.0 / (step * int(rows["n"].iloc[0]))
+        first, last = max(int(SLOW / unit), 1), min(int(FAST / unit), n // 2)
+        if last < first:
+            return pd.DataFrame({**{k: [] for k in keys}, "cycles": [], "re": [], "im": []})
+        part = _partial_transform(rows["flat"].to_numpy(), int(rows["i"].iloc[0]), n, first, last)
+        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "cycles": np.arange(first, last + 1), "re": part.real, "im": part.imag})
+
+    fields = ", ".join(f"{k} {track.schema[k].dataType.simpleString()}" for k in keys)
+    parts = track.withColumn("block", F.floor(F.col("i") / TRACK_BLOCK)).groupBy(*keys, "block").applyInPandas(run, f"{fields}, cycles long, re double, im double")
+    bins = parts.groupBy(*keys, "cycles").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    n = track.groupBy(*keys).agg(F.max("n").alias("n"), ((F.max("flat") - F.min("flat")) / 2).alias("depth_cents"))
+    strength = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")
+    top = bins.join(n, list(keys)).groupBy(*keys, "n", "depth_cents").agg(F.max(F.struct(strength.alias("strength"), "cycles")).alias("top"))
+    return top.select(*keys, "n", "depth_cents", "top.*").where("strength > 0.01D")
+
 
-    A signal's voiced pitches (some hundred a second) are one array.
+def _rounded(numerator: Column, denominator: Column) -> Column:
+    """The nearest whole number to a ratio of whole numbers, halves upwards, without leaving them."""
+    return F.call_function("div", 2 * numerator + denominator, 2 * denominator)
+
+
+def _regularity(track: DataFrame, found: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, regularity): mean correlation of the first period with each later whole one.
+
+    A period has a few frames whatever the track has, so the first one is sent to all rows; a later
+    one's correlation comes from five sums.
+    """
+    periods = found.select(*keys, "n", _rounded(F.col("n"), F.col("cycles")).alias("period")).where("period < n")
+    first = track.drop("n").join(periods, list(keys)).where("i < period")
+    first = first.groupBy(*keys, "n", "period").agg(layout.ordered("first", "i", F.col("flat")))
+    rows = track.drop("n").join(first, list(keys)).where(F.col("i") < F.floor(F.col("n") / F.col("period")) * F.col("period"))
+    x, x0 = F.col("flat"), F.get("first", (F.col("i") % F.col("period")).cast("int"))
+    m, m0 = F.avg("flat"), F.avg(x0)
+    turns = rows.groupBy(*keys, "period", F.floor(F.col("i") / F.col("period")).alias("turn")).agg(
+        m.alias("m"), m0.alias("m0"), F.sum(x * x0).alias("xy"), F.sum(x * x).alias("xx"), F.sum(x0 * x0).alias("yy")
+    )
+    p, c = F.col("period"), F.col
+    dot, size = c("xy") - p * c("m") * c("m0"), F.sqrt(F.greatest(c("xx") - p * c("m") * c("m"), F.lit(0.0))) * F.sqrt(F.greatest(c("yy") - p * c("m0") * c("m0"), F.lit(0.0)))
+    alike = F.when(size > 0, dot / size).otherwise(F.lit(0.0))
+    return turns.where("turn > 0").groupBy(*keys).agg(F.avg(alike).alias("regularity"))
+
+
+def _onset(track: DataFrame, found: DataFrame, step: float, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, onset_time): where the variance of the two periods ahead exceeds that of the two behind by most (over 10), and twofold.
+
+    Blocks see two of the slowest periods beyond their edges.
     """
-    voiced = frames.where("frequency is not null").groupBy(*keys).agg(layout.ordered("pitches", "frame_idx", F.col("frequency")))
-    names = ["rate", "depth_cents", "regularity", "presence", "onset_time"]
+    reach = int(np.ceil(2.0 / (SLOW * step))) + 2
+    rows = track.drop("n").join(found.select(*keys, "n", _rounded(2 * F.col("n"), F.col("cycles")).alias("window")), list(keys))
+    rows = layout.with_halo(rows, reach, reach, "i", TRACK_BLOCK).select(*keys, "block", "i", "n", "window", "cents")
+    names = [*keys, "change", "at"]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group.sort_values("i")
+        n, window, block = (int(rows[c].iloc[0]) for c in ("n", "window", "block"))
+        start, cents = int(rows["i"].iloc[0]), rows["cents"].to_numpy()
+        at = np.arange(max(window, block * TRACK_BLOCK), min(n - window, (block + 1) * TRACK_BLOCK))
+        if window < 1 or not len(at):
+            return pd.DataFrame(columns=names)
+        var = np.lib.stride_tricks.sliding_window_view(cents, window).var(axis=1)
+        behind, ahead = var[at - window - start], var[at - start]
+        change = np.where(ahead > 2 * behind, np.abs(ahead - behind), 0.0)
+        best = int(np.argmax(change))
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "change": [change[best]], "at": [at[best]]})
+
+    fields = ", ".join(f"{k} {track.schema[k].dataType.simpleString()}" for k in keys)
+    best = rows.groupBy(*keys, "block").applyInPandas(run, f"{fields}, change double, at long")
+    best = best.groupBy(*keys).agg(F.max(F.struct("change", (-F.col("at")).alias("before"))).alias("b")).where("b.change > 10.0D")
+    return best.select(*keys, (-F.col("b.before") * F.lit(step)).alias("onset_time"))
 
-    @F.pandas_udf(", ".join(f"{n} double" for n in names))
-    def run(pitches: pd.Series) -> pd.DataFrame:
-        found = [vibrato_of(np.asarray(p, dtype=float), hop / rate) or (None,) * 5 for p in pitches]
-        return pd.DataFrame(found, columns=names, dtype="float64")
 
-    out = voiced.select(*keys, run("pitches").alias("v"))
-    return out.select(*keys, F.when(F.col("v.rate").isNotNull() & ~F.isnan("v.rate"), F.struct(*[F.nanvl(f"v.{n}", F.lit(None)).alias(n) for n in names])).alias("vibrato"))
+def vibrato(frames: DataFrame, rate: float, hop: int = 512, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, vibrato): struct<rate, depth_cents, regularity, presence, onset_time>, null if there is none.
+
+    A track is never in one task: voiced frames are numbered by a scan in two levels, the line
+    through them comes from moments, the transform from blocks' parts, correlations from sums by
+    period, and the onset from blocks that overlap. Fewer than 20 voiced frames have no vibrato.
+    """
+    step = hop / rate
+    track = stage.keep(_track(frames, keys))
+    found = stage.keep(_modulation(track, step, keys))
+    out = found.join(_regularity(track, found, keys), list(keys), "left").join(_onset(track, found, step, keys), list(keys), "left")
+    regular = F.coalesce("regularity", F.lit(0.0))
+    present = F.least(F.col("depth_cents") / 100.0, F.lit(1.0)) * 0.4 + F.least(F.col("strength") * 10.0, F.lit(1.0)) * 0.3 + scalar.clamp(regular) * 0.3
+    parts = F.struct(
+        (F.col("cycles") / (F.lit(step) * F.col("n"))).alias("rate"), "depth_cents", regular.alias("regularity"), F.least(present, F.lit(1.0)).alias("presence"), "onset_time"
+    )
+    voiced = frames.where("frequency is not null").select(*keys).distinct()
+    return voiced.join(out.select(*keys, parts.alias("vibrato")), list(keys), "left")

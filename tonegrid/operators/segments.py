@@ -9,6 +9,8 @@ from ..functions import arrays, scalar
 from . import classify, layout, quality, spectral
 
 SEG = ("signal_id", "segment")
+#: Segments of a block: what looks at neighbours orders a block at a time.
+BLOCK = 4_096
 
 
 def by_segment() -> WindowSpec:
@@ -25,7 +27,8 @@ def segment_samples(crossed: DataFrame, rate: float, seconds: float = 1.0, overl
     hop = max(1, int((1.0 - min(max(overlap, 0.0), 0.9)) * size))
     dealt = layout.assign(crossed, size, hop, "segment")
     sizes = dealt.groupBy(*SEG).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.lag("n").over(by_segment()), F.lit(size))
+    sizes = layout.neighbours(sizes, {"n_before": (F.col("n"), -1)}, pos="segment", block=BLOCK)
+    before = F.coalesce("n_before", F.lit(size))
     tail = (F.col("n") < size) & (before == size) & ((F.col("segment") == 0) | (F.col("n") > int(shortest * rate)))
     kept = sizes.withColumn("keep", (F.col("n") == size) | tail).where("keep").select(*SEG)
     return dealt.join(kept, list(SEG))
@@ -42,7 +45,7 @@ def segment_features(dealt: DataFrame, rate: float, size: int = 2048, hop: int =
         F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("energy"),
         F.sum(F.when(F.col("off") > 0, F.col("crossed")).otherwise(0)).alias("crossings"),
     )
-    ends = layout.index_percentiles(quality.chunk_rms(dealt, 0.05, rate, SEG, "off"), "rms", {"low": 5, "high": 95}, SEG)
+    ends = layout.index_percentiles(quality.chunk_rms(dealt, 0.05, rate, SEG, "off"), "rms", {"low": 5, "high": 95}, SEG, bounded=True)
     ends = ends.select(*SEG, F.when(F.col("n") > 1, F.lit(20.0) * F.log10(F.col("high") / F.col("low"))).otherwise(F.lit(0.0)).alias("dynamic_range"))
     spectra = spectral.stft(layout.frames_of(dealt, size, hop, SEG, "off"), keys=SEG)
     bright = spectra.select(*SEG, arrays.weighted_index("mag").alias("w"), arrays.total("mag").alias("m"))
@@ -85,17 +88,21 @@ def segments(crossed: DataFrame, rate: float, size: int = 2048, hop: int = 512)
 
 
 def _previous(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.withColumns({f"{c}_before": F.lag(c).over(by_segment()) for c in columns})
+    return layout.neighbours(rows, {f"{c}_before": (F.col(c), -1) for c in columns}, pos="segment", block=BLOCK)
 
 
 def sections(rows: DataFrame) -> DataFrame:
     """(signal_id, section, section_type, start_time, end_time, n_segments, avg_energy, ...): runs of two
-    or more segments with one label and without a marked change."""
+    or more segments with one label and without a marked change.
+
+    Runs are numbered by a scan in two levels and put together with combination on the map side, so
+    a signal that is one long run is not one task's. Sections alone are ranked by signal.
+    """
     pairs = _previous(rows, "energy", "spectral_centroid", "content_type", "label")
     c = F.col
     marked = (c("label") != c("label_before")) | (F.abs(c("energy") - c("energy_before")) > 0.3)
     marked = marked | (F.abs(c("spectral_centroid") - c("spectral_centroid_before")) > 1000) | (c("content_type") != c("content_type_before"))
-    runs = pairs.withColumn("run", F.sum(F.when(marked, 1).otherwise(0)).over(by_segment()))
+    runs = layout.running_count(pairs, marked, "run", pos="segment", block=BLOCK)
     out = runs.groupBy("signal_id", "run").agg(
         F.min("label").alias("label"), F.min("start_time").alias("start_time"), F.max(F.struct("segment", (c("start_time") + c("duration")).alias("t")))["t"].alias("end_time"),
         F.min("segment").alias("first_segment"), F.count("*").alias("n_segments"), F.avg("energy").alias("avg_energy"),
@@ -131,7 +138,7 @@ def tension(rows: DataFrame) -> DataFrame:
 def energy_extremes(rows: DataFrame) -> DataFrame:
     """(signal_id, segment, time, energy, kind): strict inner peaks and valleys of the energy."""
     e = F.col("energy")
-    around = rows.withColumns({"a": F.lag("energy").over(by_segment()), "b": F.lead("energy").over(by_segment())})
+    around = layout.neighbours(rows, {"a": (e, -1), "b": (e, 1)}, pos="segment", block=BLOCK)
     kind = F.when((e > F.col("a")) & (e > F.col("b")), "peak").when((e < F.col("a")) & (e < F.col("b")), "valley")
     return around.select("signal_id", "segment", F.col("start_time").alias("time"), "energy", kind.alias("kind")).where("kind is not null")
 
@@ -204,6 +211,6 @@ def complexity(rows: DataFrame, profile: DataFrame, repeats: DataFrame) -> DataF
 
 def run_length(rows: DataFrame, value: Column) -> DataFrame:
     """(signal_id, run, first_segment, n, value): runs of equal values, the general form of ``sections``."""
-    marked = rows.withColumn("v", value).withColumn("new", F.coalesce((F.col("v") != F.lag("v").over(by_segment())).cast("int"), F.lit(0)))
-    runs = marked.withColumn("run", F.sum("new").over(by_segment()))
+    marked = layout.neighbours(rows.withColumn("v", value), {"v_before": (F.col("v"), -1)}, pos="segment", block=BLOCK)
+    runs = layout.running_count(marked, F.col("v") != F.col("v_before"), "run", pos="segment", block=BLOCK)
     return runs.groupBy("signal_id", "run").agg(F.min("segment").alias("first_segment"), F.count("*").alias("n"), F.min("v").alias("value"))

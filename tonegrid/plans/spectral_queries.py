@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, scalar
 from ..operators import fingerprint, layout, matching, musical, pitch, quality, render, spectral
-from ..sources import tables
+from ..sources import print_index, stage, tables
 from . import oracle as o
 from .registry import query, rounded
 
@@ -233,6 +233,12 @@ def prints(spark: SparkSession, sf_dir: str) -> matching.Fingerprints:
     return matching.Fingerprints.of(samples(spark, sf_dir), spectra(spark, sf_dir), RATE, SIZE, HOP, BANDS, SUB, CHUNK)
 
 
+def stored_prints(spark: SparkSession, sf_dir: str) -> matching.Fingerprints:
+    """The same, each table made once."""
+    found = matching.Fingerprints.of(stage.keep(samples(spark, sf_dir)), stage.keep(spectra(spark, sf_dir)), RATE, SIZE, HOP, BANDS, SUB, CHUNK)
+    return found.map(stage.keep)
+
+
 LM_TAIL = LANDMARKS[len(ST) + 2 :]
 SCORES = f"""{HASHES}, {LM_TAIL}, {META}, {SUBS}, {PAIRS},
     nh AS (SELECT signal_id, count(*) AS c FROM hs GROUP BY 1), nl AS (SELECT signal_id, count(*) AS c FROM lm WHERE landmark <= 1000 GROUP BY 1),
@@ -276,15 +282,50 @@ def hamming_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.near_hashes(meta.where("signal_id % 100 = 0"), meta, 10)
 
 
-@query(f"""WITH {SCORES.replace(PAIRS, "cand AS (SELECT DISTINCT x.signal_id AS a, y.signal_id AS b FROM hs x JOIN hs y USING (hash) WHERE x.signal_id % 100 = 0 UNION SELECT x.signal_id, y.signal_id FROM ph x JOIN ph y ON bit_count(xor(x.phash, y.phash)) <= 2 WHERE x.signal_id % 100 = 0), prs AS (SELECT * FROM cand)")}
-    SELECT a AS id_a, b AS id_b, round(similarity, 6) AS similarity, {KIND} AS match_type FROM sim WHERE similarity >= 0.6""")
+SEARCH = f"""WITH {SCORES.replace(PAIRS, "cand AS (SELECT DISTINCT x.signal_id AS a, y.signal_id AS b FROM hs x JOIN hs y USING (hash) WHERE x.signal_id % 100 = 0 UNION SELECT x.signal_id, y.signal_id FROM ph x JOIN ph y ON bit_count(xor(x.phash, y.phash)) <= 2 WHERE x.signal_id % 100 = 0), prs AS (SELECT * FROM cand)")}
+    SELECT a AS id_a, b AS id_b, round(similarity, 6) AS similarity, {KIND} AS match_type FROM sim WHERE similarity >= 0.6"""
+
+
+@query(SEARCH)
 def fp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries (every hundredth vector) against the whole collection."""
-    found = prints(spark, sf_dir)
+    found = stored_prints(spark, sf_dir)
     queries = vectors(spark, sf_dir).where("signal_id % 100 = 0")
     return rounded(matching.search(queries, found, 0.6).select("id_a", "id_b", "similarity", "match_type"))
 
 
+def changed_index(spark: SparkSession, sf_dir: str) -> print_index.PrintIndex:
+    """An index of all vectors that first had every third one's prints from its neighbour, then its own."""
+    found = stored_prints(spark, sf_dir)
+    index = print_index.PrintIndex(spark, stage.new_path(spark, "prints"), 8)
+    neighbour = F.when(F.col("signal_id") % 3 == 1, F.col("signal_id") - 1).otherwise(F.col("signal_id"))
+    index.insert(found.map(lambda t: t.where("signal_id % 3 > 0").unionByName(t.where("signal_id % 3 = 1").withColumn("signal_id", neighbour))))
+    index.insert(found.map(lambda t: t.where("signal_id % 3 = 0")))
+    return index
+
+
+@query(SEARCH)
+def fp_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries against a stored index, after prints were inserted, replaced and merged."""
+    index = changed_index(spark, sf_dir)
+    index.merge()
+    out = index.search(vectors(spark, sf_dir).where("signal_id % 100 = 0"), 0.6)
+    out = stage.keep(rounded(out.select("id_a", "id_b", "similarity", "match_type")))
+    index.drop()
+    return out
+
+
+@query(f"WITH {HASHES} SELECT signal_id, count(*) AS n, count(DISTINCT hash) AS n_hashes, round(sum(hash % 1000), 6)::BIGINT AS residues FROM hs WHERE signal_id % 7 > 0 GROUP BY 1")
+def fp_index_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index holds after replacements and the removal of every seventh vector."""
+    index = changed_index(spark, sf_dir)
+    index.remove(vectors(spark, sf_dir).where("signal_id % 7 = 0"))
+    hashes = index.prints().hashes.groupBy("signal_id")
+    out = stage.keep(hashes.agg(F.count("*").alias("n"), F.count_distinct("hash").alias("n_hashes"), F.sum(F.col("hash") % 1000).cast("long").alias("residues")))
+    index.drop()
+    return out
+
+
 SIDES = "list_zip(x.profile, y.profile)"
 
 
@@ -342,26 +383,30 @@ def note_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hz.select("event_id", note.alias("midi_note"), scalar.note_name(note).alias("note_name"), F.round(scalar.cents_offset("hz"), 4).alias("cents_offset"), F.round(scalar.hz_to_mel("hz"), 6).alias("mel"))
 
 
-STEP = 512 / 44100
+STEP_SQL = "(512 / 44100::DOUBLE)"
 
 
 @query(f"""WITH {o.EV}, c AS (SELECT signal_id, pos AS i, count(*) OVER w AS n, 1200 * log2((x * 10 + 440) / avg(x * 10 + 440) OVER w) AS cents FROM ev WINDOW w AS (PARTITION BY signal_id)),
     g AS (SELECT signal_id, regr_slope(cents, i) AS slope, regr_intercept(cents, i) AS base FROM c GROUP BY 1),
     f AS (SELECT signal_id, i, n, cents - slope * i - base AS flat FROM c JOIN g USING (signal_id) WHERE n >= 20),
     s AS (SELECT signal_id, n, k, sqrt(power(sum(flat * cos(2 * pi() * k * i / n)), 2) + power(sum(flat * sin(2 * pi() * k * i / n)), 2)) / n AS strength FROM f, range(1, 400) AS r(k)
-        WHERE k >= greatest(CAST(floor(3.0 * {STEP!r} * n) AS BIGINT), 1) AND k <= least(CAST(floor(12.0 * {STEP!r} * n) AS BIGINT), n // 2) GROUP BY 1, 2, 3),
+        WHERE k >= greatest(CAST(floor(3.0 * {STEP_SQL} * n) AS BIGINT), 1) AND k <= least(CAST(floor(12.0 * {STEP_SQL} * n) AS BIGINT), n // 2) GROUP BY 1, 2, 3),
     v AS (SELECT signal_id, n, k, strength, CAST(floor(n / k + 0.5) AS BIGINT) AS period FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY strength DESC, k DESC) AS o FROM s) WHERE o = 1 AND strength > 0.01),
     d AS (SELECT signal_id, (max(flat) - min(flat)) / 2 AS depth FROM f GROUP BY 1),
     rw AS (SELECT f.signal_id, i // period AS r, i % period AS q, flat - avg(flat) OVER (PARTITION BY f.signal_id, i // period) AS z FROM f JOIN v ON v.signal_id = f.signal_id WHERE i < v.n // period * period AND period < v.n),
     co AS (SELECT a.signal_id, b.r, sum(a.z * b.z) AS dot, sqrt(sum(a.z * a.z)) * sqrt(sum(b.z * b.z)) AS size FROM rw a JOIN rw b ON b.signal_id = a.signal_id AND b.q = a.q AND a.r = 0 AND b.r > 0 GROUP BY 1, 2),
-    rg AS (SELECT signal_id, avg(CASE WHEN size > 0 THEN dot / size ELSE 0 END) AS regular FROM co GROUP BY 1)
-    SELECT e.signal_id, round(k / ({STEP!r} * n), 6) AS rate, CASE WHEN k IS NOT NULL THEN round(depth, 6) END AS depth_cents,
+    rg AS (SELECT signal_id, avg(CASE WHEN size > 0 THEN dot / size ELSE 0 END) AS regular FROM co GROUP BY 1),
+    wn AS (SELECT signal_id, n, (4 * n + k) // (2 * k) AS w FROM v),
+    va AS (SELECT c.signal_id, c.i, any_value(wn.n) AS n, any_value(w) AS w, var_pop(d.cents) AS var FROM wn JOIN c ON c.signal_id = wn.signal_id AND c.i + w <= wn.n JOIN c d ON d.signal_id = c.signal_id AND d.i BETWEEN c.i AND c.i + w - 1 GROUP BY 1, 2),
+    ch AS (SELECT p.signal_id, q.i AS place, CASE WHEN q.var > 2 * p.var THEN abs(q.var - p.var) ELSE 0 END AS change FROM va p JOIN va q ON q.signal_id = p.signal_id AND q.i = p.i + p.w WHERE q.i < q.n - q.w),
+    so AS (SELECT signal_id, place FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY change DESC, place) AS o FROM ch) WHERE o = 1 AND change > 10)
+    SELECT e.signal_id, round(k / ({STEP_SQL} * n), 6) AS rate, CASE WHEN k IS NOT NULL THEN round(depth, 6) END AS depth_cents, CASE WHEN k IS NOT NULL THEN round(coalesce(regular, 0), 6) END AS regularity, round(place * {STEP_SQL}, 6) AS onset_time,
         CASE WHEN k IS NOT NULL THEN round(least(least(depth / 100, 1) * 0.4 + least(strength * 10, 1) * 0.3 + least(greatest(coalesce(regular, 0), 0), 1) * 0.3, 1), 6) END AS presence
-    FROM (SELECT DISTINCT signal_id FROM ev) e LEFT JOIN v ON v.signal_id = e.signal_id LEFT JOIN d ON d.signal_id = e.signal_id LEFT JOIN rg ON rg.signal_id = e.signal_id""")
+    FROM (SELECT DISTINCT signal_id FROM ev) e LEFT JOIN v ON v.signal_id = e.signal_id LEFT JOIN d ON d.signal_id = e.signal_id LEFT JOIN rg ON rg.signal_id = e.signal_id LEFT JOIN so ON so.signal_id = e.signal_id""")
 def vibrato(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The users' event values taken as pitches: vibrato of each sequence."""
     rows = tables.event_samples(spark, sf_dir).select("signal_id", F.col("pos").alias("frame_idx"), (F.col("x") * 10 + 440).alias("frequency"))
-    return pitch.vibrato(rows, 44100, 512).select("signal_id", F.round("vibrato.rate", 6).alias("rate"), F.round("vibrato.depth_cents", 6).alias("depth_cents"), F.round("vibrato.presence", 6).alias("presence"))
+    return rounded(pitch.vibrato(rows, 44100, 512).select("signal_id", "vibrato.*"))
 
 
 # -- long signals -------------------------------------------------------------------------------

@@ -173,13 +173,13 @@ def segment_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 METRICS = {
     "n": "count(*)",
     "dc_offset": "avg(value) / 100 - 0.5",
-    "clipping_ratio": "avg(CASE WHEN value > 99 THEN 1.0 ELSE 0.0 END) / 2",
+    "clipping_ratio": "avg(CASE WHEN value > 99 THEN 1 ELSE 0 END) / 2",
     "snr_db": "avg(value) * 1.2 - 20",
     "thd_percent": "avg(value) / 15 - 1.5",
     "dropout_count": "sum(CASE WHEN value < 20 THEN 4 ELSE 0 END)",
-    "aliasing_score": "avg(CASE WHEN value > 90 THEN 1.0 ELSE 0.0 END)",
+    "aliasing_score": "avg(CASE WHEN value > 90 THEN 1 ELSE 0 END)",
     "dynamic_range_db": "max(value) / 5",
-    "frequency_response_score": "avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END)",
+    "frequency_response_score": "avg(CASE WHEN value > 50 THEN 1 ELSE 0 END)",
 }
 
 
