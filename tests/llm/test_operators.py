@@ -922,3 +922,34 @@ def test_empty_tables(spark):
 def test_lower_az(spark):
     row = spark.createDataFrame([("ABCz ÄÉİ",), ("ABC",), (None,)], "t string").select(common.lower_az(F.col("t")).alias("x")).collect()
     assert [r["x"] for r in row] == ["abcz ÄÉİ", "abc", ""]
+
+
+def test_rounds_of_ranks_grow_in_line(spark):
+    """A round adds the same number of exchanges to a plan, however many came before; ranks pass along thirty hosts."""
+    names = [f"h{i:02d}.test" for i in range(31)]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in zip(names, names[1:], strict=False)], "src string, dst string, n int")
+    hosts = spark.createDataFrame([(h, int(i == 0), int(i == 30)) for i, h in enumerate(names)], "host string, seed_trust int, seed_block int")
+    sizes = {}
+
+    class Watched(common.Scratch):
+        def write(self, df, name):
+            if name == "score":
+                sizes.setdefault(every, []).append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+            return super().write(df, name)
+
+    for every in (4, 8, 16):
+        with Watched(spark, "test") as scratch:
+            got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(hosts, edges, scratch, every=every).collect()}
+    per_round = [max(sizes[n]) / (n - 1) for n in (4, 8, 16)]
+    assert max(per_round) <= 1.3 * min(per_round) and max(per_round) < 8
+    shares = np.array([0.85**i for i in range(31)])
+    shares /= shares.sum()
+    for i, h in enumerate(names):
+        assert got[h][0] == pytest.approx(shares[i], abs=1e-4) and got[h][1] == pytest.approx(shares[30 - i], abs=1e-4)
+
+
+def test_links_of_every_kind(spark):
+    html = "<a href='//b.test/x'>x</a><area shape=rect href=https://C.test><A\nHREF = \"ftp://d.test/\"><a href='/local'><a href='mailto:x@e.test'><link href='//f.test/'><abbr href='//g.test/'>"
+    pages = spark.createDataFrame([("http://a.test/", html)], "url string, html string")
+    got = url_filter.host_edges(pages, url_filter.host_of(F.col("url")), "html").collect()
+    assert sorted((r["dst"], r["n"]) for r in got) == [("b.test", 1), ("c.test", 1), ("d.test", 1)]

@@ -97,7 +97,7 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 WORDS = r"[^\x20\x09-\x0D]+"
 
 HOST = r"translate(regexp_extract(coalesce({0}, ''), '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^\s"''>]+)"""
+LINK = r"""(?i)<(?:a|area)\s[^>]*?href\s*=\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"''>]+)"""
 
 # vector codes: floor(1024 x) by part, then rounds of "nearest entry" and "floor of the mean"
 NEAREST = """
@@ -118,7 +118,7 @@ ORACLES = {
             ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) AS t(rule, domain, rule_path, v)),
         m AS MATERIALIZED (SELECT host, path, arg_max(rule, len(rule)) AS rule, arg_max(v, len(rule)) AS v FROM (SELECT DISTINCT host, path FROM u)
             JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, rule_path) GROUP BY 1, 2),
-        l AS (SELECT host AS src, {HOST.format("t")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{LINK}', 1)) AS t FROM u)),
+        l AS (SELECT host AS src, {HOST.format("CASE WHEN starts_with(t, '//') THEN 'any:' ELSE '' END || t")} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, '{LINK}', 1)) AS t FROM u)),
         e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
         k AS (SELECT 't' AS kind, src AS host, dst AS goal, n FROM e UNION ALL SELECT 'd', dst, src, n FROM e),
         flow AS MATERIALIZED (SELECT kind, host, goal, n / sum(n) OVER (PARTITION BY kind, host) AS share FROM k),

@@ -9,7 +9,8 @@ from . import common
 
 #: (verdict, rule); a rule is a domain and a path that starts at its first slash.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^\s"'>]+)"""
+#: What a link names: an address with a scheme, or one that takes the page's (``//host/...``).
+LINK = r"""(?i)<(?:a|area)\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^\s"'>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,7 +47,7 @@ def match_rules(urls: DataFrame, rules: DataFrame, most_labels: int) -> DataFram
 def host_edges(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
     """(src, dst, n): how many absolute links each host's pages have to each other host."""
     links = pages.select(host.alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK), F.lit(1))).alias("to"))
-    links = links.select("src", host_of(F.col("to")).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
+    links = links.select("src", host_of(F.concat(F.when(F.startswith("to", F.lit("//")), F.lit("any:")).otherwise(F.lit("")), F.col("to"))).alias("dst")).where("src <> '' and dst <> '' and src <> dst")
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -55,8 +56,10 @@ def propagate(hosts: DataFrame, edges: DataFrame, scratch: common.Scratch, dampi
 
     Trust starts at hosts with ``seed_trust`` > 0 and follows links; distrust starts at hosts with
     ``seed_block`` > 0 and goes against them, since a host that links to a blocked one is suspect.
-    What a host without links holds goes back to the seeds, so each rank's sum stays 1. Each round
-    is one join on the host; every few rounds the ranks are written, and the work ends when a round
+    What a host without links holds goes back to the seeds. That only adds to what seeds give, in
+    their proportion, so ranks are summed without it, ``x = seed + damping * (what links bring)``,
+    and divided by their sum at the end. A round is one join and one aggregation on the host of the
+    ranks before, used once; every few rounds the ranks are written, and the work ends when a round
     moves less than ``tolerance`` of either rank. More than ``most`` rounds raise an error.
     """
     flow = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n")
@@ -75,12 +78,8 @@ def propagate(hosts: DataFrame, edges: DataFrame, scratch: common.Scratch, dampi
     seeds = scratch.write(seeds, "seeds")
 
     def step(score: DataFrame) -> DataFrame:
-        moved = score.join(flow, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
-        # one row a kind: what is left for the seeds
-        held = moved.groupBy("kind").agg(F.sum("score").alias("moved"))
-        back = seeds.join(F.broadcast(held), "kind", "left")
-        back = back.select("kind", "host", (F.col("seed") * (F.lit(1.0) - F.coalesce("moved", F.lit(0.0)))).alias("score"))
-        return moved.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        moved = score.join(flow, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+        return moved.unionByName(seeds.withColumnRenamed("seed", "score")).groupBy("kind", "host").agg(F.sum("score").alias("score"))
 
     score, change, rounds = seeds.withColumnRenamed("seed", "score"), 1.0, 0
     if flow.isEmpty():
@@ -94,8 +93,10 @@ def propagate(hosts: DataFrame, edges: DataFrame, scratch: common.Scratch, dampi
         score = scratch.write(step(before), "score")
         rounds += every
         both = before.withColumnRenamed("score", "old").join(score, ["kind", "host"], "full")
-        moved = both.groupBy("kind").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d"))
+        moved = both.groupBy("kind").agg((F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))) / F.sum("score")).alias("d"))
         change = moved.agg(F.max("d")).first()[0] or 0.0
+    total = score.groupBy("kind").agg(F.sum("score").alias("total"))  # a row a kind
+    score = score.join(F.broadcast(total), "kind").withColumn("score", F.col("score") / F.col("total"))
     by_host = score.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias("distrust"),
