@@ -81,7 +81,8 @@ def main(args: list[str] | None = None) -> None:
             output = o.output and f"{o.output}/rate={rate}"
             if o.command in ("analyze", "batch"):
                 record = report.analyze(rows, rate, o.profile, settings)
-                _show(report.with_insights(record) if o.profile == "detailed" else record, output)
+                record = report.with_insights(record) if o.profile == "detailed" else record
+                sinks.write_each(record, output) if o.command == "batch" and output else _show(record, output)
                 continue
             flux = spectral.flux(spectral.stft(layout.frames_of(rows, o.fft_size, o.hop_size)))
             onsets = temporal.onsets(flux, "flux_l2", o.hop_size, rate, first=1)

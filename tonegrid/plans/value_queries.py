@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filters, scalar
 from ..operators import classify, loudness, quality, report, spectral
-from ..sources import results, synthetic, tables, wav
+from ..sources import file_rows, results, stage, synthetic, tables, wav
 from . import oracle as o
 from .event_queries import RATE, crossed
 from .registry import query, rounded
@@ -46,6 +46,19 @@ def wav_mono(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select(F.col("signal_id").cast("long").alias("signal_id"), "sample_rate", "channels", F.col("pos").cast("long").alias("pos"), "x"))
 
 
+@query(f"WITH {V} SELECT signal_id, 8000 AS sample_rate, i // 2 AS pos, round(sum(CAST(x AS DOUBLE)) / 2, 6) AS x FROM v GROUP BY signal_id, i // 2")
+def wav_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors written as stereo files, each read back in eight ranges of bytes and mixed down."""
+    path = stage.new_path(spark, "wav")
+    files = wav.to_wav(vectors(spark, sf_dir), 8000, 2)
+    file_rows.write_files(files.select(F.concat(F.col("signal_id").cast("string"), F.lit(".wav")).alias("name"), "content"), path)
+    one = wav.mono_blocks(file_rows.read_blocks(spark, path, 32, 8192))
+    signal = F.regexp_extract("signal_id", r"([^/]*)\.wav$", 1).cast("long")
+    out = stage.keep(rounded(one.select(signal.alias("signal_id"), "sample_rate", "pos", "x")))
+    stage.drop(spark, path)
+    return out
+
+
 @query(f"WITH {V} SELECT signal_id, i // 4 AS pos, round(CAST(x AS DOUBLE), 6) AS x FROM v WHERE i % 4 = 2")
 def wav_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third of four channels."""
@@ -78,6 +91,42 @@ def cache_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.stats(user_cache(spark, sf_dir)[1])
 
 
+LIVES = 6 * 24 * 3600
+#: Entries of the users' first ten days, as large as they had events, hits of the next ten, and further entries of the last.
+REPLAY = f"""e AS (SELECT user_id, ts, date_diff('day', TIMESTAMP '2024-01-01', ts) AS day FROM events),
+    p AS (SELECT user_id, max(ts) AS created_at, count(*) AS size FROM e WHERE day < 10 GROUP BY 1),
+    g AS (SELECT e.user_id, max(ts) AS hit_at FROM e JOIN p ON p.user_id = e.user_id AND created_at + INTERVAL {LIVES} SECOND > ts WHERE day >= 10 AND day < 20 GROUP BY 1),
+    h AS (SELECT p.user_id, created_at, greatest(created_at, coalesce(hit_at, created_at)) AS accessed_at, size, sha256(CAST(p.user_id AS VARCHAR)) AS cache_key FROM p LEFT JOIN g ON g.user_id = p.user_id),
+    n AS (SELECT user_id, max(ts) AS created_at, count(*) AS size FROM e WHERE day >= 20 GROUP BY 1),
+    b AS (SELECT (SELECT CAST(sum(size) * 3 // 4 AS BIGINT) FROM p) AS most, (SELECT CAST(sum(size) AS BIGINT) FROM n WHERE user_id % 5 = 0) AS coming, (SELECT CAST(sum(size) AS BIGINT) FROM p) AS held),
+    r AS (SELECT *, coalesce(sum(size) OVER (ORDER BY accessed_at, cache_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM h),
+    s AS (SELECT user_id, created_at, accessed_at, size FROM r, b WHERE upto >= held + coming - most)"""
+
+
+@query(f"""WITH {REPLAY}, m AS (SELECT * FROM s WHERE user_id NOT IN (SELECT user_id FROM n WHERE user_id % 5 = 0)
+        UNION ALL SELECT n.user_id, n.created_at, greatest(n.created_at, coalesce(g.hit_at, n.created_at)), n.size FROM n LEFT JOIN g ON g.user_id = n.user_id WHERE n.user_id % 5 = 0)
+    SELECT user_id, sha256(CAST(user_id AS VARCHAR)) AS cache_key, epoch_us(created_at) AS created_us, epoch_us(accessed_at) AS accessed_us, CAST(size AS BIGINT) AS size_bytes FROM m""")
+def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events replayed as puts, gets and further puts: what the cache holds then, and when it was last used."""
+    events = tables.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    events = events.withColumns({"day": F.datediff("ts", F.lit("2024-01-01")), "cache_key": results.simple_key(F.col("user_id").cast("string"))})
+
+    def entries(rows: DataFrame) -> DataFrame:
+        made = rows.groupBy("cache_key").agg(F.max("ts").alias("created_at"), F.count("*").alias("size_bytes"), F.min("user_id").cast("string").alias("result"))
+        return made.withColumn("accessed_at", F.col("created_at"))
+
+    first = entries(events.where("day < 10"))
+    most = first.agg(F.floor(F.sum("size_bytes") * 3 / 4)).first()[0] or 0
+    cache = results.ResultCache(spark, stage.new_path(spark, "cache"), most, LIVES)
+    cache.put(first.limit(0), F.current_timestamp())
+    results.put(spark, f"{cache.path}/entries", first)
+    cache.get(events.where("day >= 10 and day < 20").select("cache_key", F.col("ts").alias("at")))
+    cache.put(entries(events.where("day >= 20 and user_id % 5 = 0")), F.lit("2024-01-21 00:00:00").cast("timestamp"))
+    out = stage.keep(cache.entries().select(F.col("result").cast("long").alias("user_id"), "cache_key", F.unix_micros("created_at").alias("created_us"), F.unix_micros("accessed_at").alias("accessed_us"), "size_bytes"))
+    stage.drop(spark, cache.path)
+    return out
+
+
 def _knots(*knots: tuple[float, float, float]) -> str:
     out = ""
     for i, (at, low, high) in enumerate(knots):

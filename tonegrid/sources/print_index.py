@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matching
+from . import stage
 
 
 class PrintIndex:
@@ -91,8 +92,7 @@ class PrintIndex:
                 files.delete(path, True)
 
     def drop(self) -> None:
-        path, files = self._fs(self.path)
-        files.delete(path, True)
+        stage.drop(self.spark, self.path)
 
     # reading
 

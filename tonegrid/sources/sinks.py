@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import file_rows
+
 
 def write_json(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
 
 
+def write_each(results: DataFrame, path: str, key: str = "signal_id") -> None:
+    """A JSON file for each row in a folder, which is replaced: named by the stem of its key, as a path.
+
+    Rows with one stem are told apart by eight digits of their whole key's digest. Files appear
+    together when all are written, and then ``_SUCCESS``.
+    """
+    last = F.element_at(F.split(F.col(key).cast("string"), "/"), -1)
+    stem = F.regexp_replace(last, r"(?s)(.)\.[^.]*$", "$1")
+    rows = json_row(results, key).select(F.col(key).cast("string").alias("key"), stem.alias("stem"), "json")
+    shared = rows.groupBy("stem").agg(F.count("*").alias("n"))
+    mark = F.when(F.col("n") > 1, F.concat(F.lit("-"), F.substring(F.sha2("key", 256), 1, 8))).otherwise(F.lit(""))
+    named = rows.join(shared, "stem").select(F.concat("stem", mark, F.lit(".json")).alias("name"), F.col("json").cast("binary").alias("content"))
+    file_rows.write_files(named, path)
+
+
 def json_row(results: DataFrame, key: str = "signal_id") -> DataFrame:
     """(key, json): a row's other columns as one JSON document; nulls are kept."""
     body = F.to_json(F.struct(*[c for c in results.columns if c != key]), {"ignoreNullFields": "false"})

@@ -27,6 +27,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark._jsc.hadoopConfiguration()).delete(made, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """The same rows, cut from what they were made of, where all executors reach them.
 

@@ -18,29 +18,39 @@ SCHEMA = "path string, sample_rate int, channels int, samples array<float>, erro
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 
 
-def decode(content: bytes) -> tuple[int, int, np.ndarray]:
-    """(rate, channels, interleaved samples) of a WAV file with 16-bit or float samples; a cut file gives what it has."""
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+def data_chunk(head: bytes) -> tuple[int, int, tuple[int, int, int, int]]:
+    """(place, size) of a file's samples from its first bytes, and (format, channels, rate, bits) where they are 16-bit or float."""
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
-    at, layout, data = 12, None, None
-    while at + 8 <= len(content) and data is None:
-        name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
+    at, layout = 12, None
+    while at + 8 <= len(head):
+        name, size = head[at : at + 4], struct.unpack_from("<I", head, at + 4)[0]
         if name == b"fmt ":
-            layout = struct.unpack_from("<HHIIHH", content, at + 8)
+            layout = struct.unpack_from("<HHIIHH", head, at + 8)
             if layout[0] == EXTENSIBLE and size >= 40:
-                layout = (struct.unpack_from("<H", content, at + 32)[0], *layout[1:])
+                layout = (struct.unpack_from("<H", head, at + 32)[0], *layout[1:])
         elif name == b"data":
-            data = content[at + 8 : at + 8 + size]
+            break
         at += 8 + size + size % 2
-    if layout is None or data is None:
+    if layout is None or at + 8 > len(head):
         raise ValueError("no fmt or data chunk")
     kind, channels, rate, _, _, bits = layout
-    width = {(PCM, 16): 2, (FLOAT, 32): 4}.get((kind, bits))
-    if width is None:
+    if (kind, bits) not in ((PCM, 16), (FLOAT, 32)):
         raise ValueError(f"Unsupported sample format: {bits} bits, format {kind}")
+    return at + 8, size, (kind, channels or DEFAULT_CHANNELS, rate or DEFAULT_RATE, bits)
+
+
+def samples_of(data: bytes, kind: int) -> np.ndarray:
+    """The samples of a part of a data chunk; a part of a sample at its end is left out."""
+    width = 2 if kind == PCM else 4
     data = data[: len(data) // width * width]
-    samples = np.frombuffer(data, dtype="<i2").astype(np.float32) / np.float32(32767) if width == 2 else np.frombuffer(data, dtype="<f4")
-    return rate or DEFAULT_RATE, channels or DEFAULT_CHANNELS, samples
+    return np.frombuffer(data, dtype="<i2").astype(np.float32) / np.float32(32767) if width == 2 else np.frombuffer(data, dtype="<f4")
+
+
+def decode(content: bytes) -> tuple[int, int, np.ndarray]:
+    """(rate, channels, interleaved samples) of a WAV file with 16-bit or float samples; a cut file gives what it has."""
+    at, size, (kind, channels, rate, _) = data_chunk(content)
+    return rate, channels, samples_of(content[at : at + size], kind)
 
 
 def encode(samples: np.ndarray, rate: int, channels: int = 1) -> bytes:
@@ -89,6 +99,15 @@ def mono(audio: DataFrame) -> DataFrame:
     return one.unionByName(many.agg((F.sum(F.col("v").cast("double")) / F.first("channels")).alias("x")))
 
 
+def mono_blocks(blocks: DataFrame) -> DataFrame:
+    """The same from blocks of whole frames (``file_rows.read_blocks``): inside each block, without a shuffle."""
+    c = F.col("channels")
+    frames = F.sequence(F.lit(0), F.ceil(F.size("samples") / c).cast("int") - 1)
+    mean = F.transform(frames, lambda i: F.aggregate(F.slice("samples", i * c + 1, c), F.lit(0.0), lambda s, v: s + v) / c)
+    at = blocks.where("error is null and size(samples) > 0").select(F.col("path").alias("signal_id"), "sample_rate", (F.col("first") / c).cast("long").alias("begin"), F.posexplode(mean).alias("i", "x"))
+    return at.select("signal_id", "sample_rate", (F.col("begin") + F.col("i")).alias("pos"), "x")
+
+
 def channel(audio: DataFrame, index: int) -> DataFrame:
     """(signal_id, sample_rate, samples) of one channel, of files that have it."""
     picked = F.filter("samples", lambda _, i: i % F.col("channels") == index)
