@@ -118,7 +118,7 @@ def track(samples: DataFrame, rate: float, detector: Detector | None = None, win
     f = F.when(F.col("p.confidence") > 0.5, F.col("p.frequency"))
     level = F.aggregate("frame", F.lit(0.0), lambda s, x: s + F.abs(x)) / F.size("frame")
     out = found.select(*keys, "frame_idx", (F.col("frame_idx") * F.lit(hop / float(rate))).alias("time"), f.alias("frequency"), F.col("p.confidence").alias("confidence"), F.col("p.clarity").alias("clarity"), level.alias("amplitude"))
-    note = scalar.midi_note("frequency")
+    note = F.when(F.col("frequency").isNotNull(), scalar.midi_note("frequency"))
     return out.withColumns({"midi_note": note, "note_name": scalar.note_name(note), "cents_offset": scalar.cents_offset("frequency")})
 
 

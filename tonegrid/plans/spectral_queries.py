@@ -101,9 +101,12 @@ BANK = f"""top AS (SELECT 2595 * log10(1 + {RATE / 2} / 700) AS m), pts AS (SELE
     bank AS (SELECT filter, k AS bin, CASE WHEN k < mid THEN (k - lo) / (mid - lo) ELSE 1 - (k - mid) / (hi - mid) END AS weight FROM tri, range(0, {SIZE // 2 + 1}) AS r(k) WHERE k >= lo AND k < hi)"""
 
 
-@query(f"WITH {BANK} SELECT CAST(filter AS INTEGER) AS filter, CAST(bin AS INTEGER) AS bin, round(weight, 6) AS weight FROM bank WHERE weight > 0")
+@query(f"WITH {ST}, {BANK}, e AS (SELECT k, sum(mag) AS energy FROM st GROUP BY 1) SELECT CAST(filter AS INTEGER) AS filter, CAST(bin AS INTEGER) AS bin, round(weight, 6) AS weight, round(weight * energy, 4) AS energy FROM bank JOIN e ON k = bin WHERE weight > 0")
 def mel_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(spectral.mel_bank(spark, MELS, RATE, SIZE))
+    """The filters' weights, and what each lets through of all vectors' spectra."""
+    sums = spectral.cells(spectra(spark, sf_dir)).groupBy("bin").agg(F.sum("mag").alias("energy"))
+    bank = spectral.mel_bank(spark, MELS, RATE, SIZE).join(sums, "bin")
+    return bank.select("filter", "bin", F.round("weight", 6).alias("weight"), F.round(F.col("weight") * F.col("energy"), 4).alias("energy"))
 
 
 MEL = f"{ST}, {BANK}, ml AS (SELECT signal_id, f, filter, coalesce(sum(mag * weight), 0) AS mel FROM (SELECT * FROM st, range(0, {MELS}) AS r(filter)) x LEFT JOIN bank USING (filter) WHERE bank.bin = k OR bank.bin IS NULL GROUP BY 1, 2, 3)"

@@ -161,11 +161,14 @@ def _cosines(terms: tuple[float, ...], n: int) -> str:
     return " + ".join(f"{(-1) ** k * a} * cos({k} * 2 * pi() * i / {n - 1})" for k, a in enumerate(terms))
 
 
-@query(" UNION ALL ".join(f"SELECT '{name}' AS window_name, CAST(i AS INTEGER) AS i, round({_cosines(terms, 33)}, 6) + 0.0 AS w FROM range(0, 33) AS r(i)" for name, terms in WINDOWS.items()))
+@query(f"WITH {o.EM} " + " UNION ALL ".join(f"SELECT signal_id, '{name}' AS window_name, round(sum(x * w), 6) + 0.0 AS total, round(sum(x * w * x * w), 6) AS power FROM (SELECT signal_id, x, {_cosines(terms, 64).replace('i /', 'pos /')} AS w FROM ev) GROUP BY 1" for name, terms in WINDOWS.items()))
 def window_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """33 points of every window."""
-    rows = F.inline(F.array(*[F.struct(F.lit(name).alias("window_name"), F.array(*[F.lit(w) for w in scalar.window_values(name, 33)]).alias("ws")) for name in WINDOWS]))
-    return rounded(spark.range(1).select(rows).select("window_name", F.posexplode("ws").alias("i", "w")))
+    """The vectors under every window: their sums and powers."""
+    shapes = F.array(*[F.struct(F.lit(name).alias("window_name"), F.array(*[F.lit(w) for w in scalar.window_values(name, 64)]).alias("ws")) for name in WINDOWS])
+    rows = vectors(spark, sf_dir).select("signal_id", "samples", F.inline(shapes))
+    rows = rows.withColumn("xs", F.zip_with("samples", "ws", lambda x, w: x * w))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return rounded(rows.select("signal_id", "window_name", total("xs").alias("total"), total(F.transform("xs", lambda x: x * x)).alias("power")))
 
 
 @query(f"""WITH {o.EM},
@@ -232,8 +235,8 @@ METRICS = {
 }
 
 
-@query(f"""WITH m AS (SELECT user_id AS signal_id, {", ".join(f"CAST({x} AS {'BIGINT' if c in ('n', 'dropout_count') else 'DOUBLE'}) AS {c}" for c, x in METRICS.items())} FROM events GROUP BY 1),
-    i AS (SELECT *, [CASE WHEN clipping_ratio > 0.01 THEN 'Clipping:Critical' WHEN clipping_ratio > 0.005 THEN 'Clipping:High' WHEN clipping_ratio > 0.001 THEN 'Clipping:Medium' END,
+#: i to t: issues and scores of metrics m at a low sample rate.
+VERDICT = """i AS (SELECT *, [CASE WHEN clipping_ratio > 0.01 THEN 'Clipping:Critical' WHEN clipping_ratio > 0.005 THEN 'Clipping:High' WHEN clipping_ratio > 0.001 THEN 'Clipping:Medium' END,
         CASE WHEN snr_db < 20 THEN 'HighNoiseFloor:High' WHEN snr_db < 30 THEN 'HighNoiseFloor:Medium' WHEN snr_db < 40 THEN 'HighNoiseFloor:Low' END,
         CASE WHEN thd_percent > 5 THEN 'Distortion:High' WHEN thd_percent > 2 THEN 'Distortion:Medium' WHEN thd_percent > 1 THEN 'Distortion:Low' END,
         CASE WHEN abs(dc_offset) > 0.01 THEN 'DCOffset:Low' END,
@@ -243,9 +246,14 @@ METRICS = {
     s AS (SELECT *, 1 - coalesce(list_sum(list_transform(issues, lambda x: CASE split_part(x, ':', 2) WHEN 'Critical' THEN 0.3 WHEN 'High' THEN 0.15 WHEN 'Medium' THEN 0.08 ELSE 0.03 END)), 0) AS base FROM k),
     t AS (SELECT *, base * CASE WHEN snr_db >= 40 THEN 1.0 WHEN snr_db >= 20 THEN 0.8 + (snr_db - 20) * 0.01 ELSE snr_db / 25 END
         * CASE WHEN thd_percent <= 0.5 THEN 1.0 WHEN thd_percent <= 3 THEN 1 - (thd_percent - 0.5) * 0.1 ELSE 0.75 / (1 + (thd_percent - 3) / 10) END
-        * (0.8 + frequency_response_score * 0.2) * 0.8 * CASE WHEN clipping_ratio > 0.001 THEN greatest(1 - clipping_ratio * 10, 0.3) ELSE 1 END AS score FROM s)
-    SELECT signal_id, array_to_string(issues, ',') AS issues, CAST(len(issues) + CASE WHEN dynamic_range_db < 20 THEN 1 ELSE 0 END + CASE WHEN frequency_response_score < 0.5 THEN 1 ELSE 0 END AS INTEGER) AS n_recommendations,
-        round(least(greatest(score, 0), 1), 6) AS overall_score, round(least(n / 16.0, 1) * CASE WHEN snr_db < 10 OR snr_db > 100 THEN 0.8 ELSE 1 END, 6) AS quality_confidence FROM t""")
+        * (0.8 + frequency_response_score * 0.2) * 0.8 * CASE WHEN clipping_ratio > 0.001 THEN greatest(1 - clipping_ratio * 10, 0.3) ELSE 1 END AS score FROM s)"""
+VERDICT_COLUMNS = """array_to_string(issues, ',') AS issues, CAST(len(issues) + CASE WHEN dynamic_range_db < 20 THEN 1 ELSE 0 END + CASE WHEN frequency_response_score < 0.5 THEN 1 ELSE 0 END AS INTEGER) AS n_recommendations,
+        round(least(greatest(score, 0), 1), 6) AS overall_score, round(least(n / {rate}, 1) * CASE WHEN snr_db < 10 OR snr_db > 100 THEN 0.8 ELSE 1 END, 6) AS quality_confidence"""
+
+
+@query(f"""WITH m AS (SELECT user_id AS signal_id, {", ".join(f"CAST({x} AS {'BIGINT' if c in ('n', 'dropout_count') else 'DOUBLE'}) AS {c}" for c, x in METRICS.items())} FROM events GROUP BY 1),
+    {VERDICT}
+    SELECT signal_id, {VERDICT_COLUMNS.format(rate=16.0)} FROM t""")
 def quality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues, advice, score and confidence from metrics."""
     metrics = tables.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("signal_id"))
@@ -255,20 +263,28 @@ def quality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(judged.select("signal_id", issues.alias("issues"), F.size("recommendations").alias("n_recommendations"), "overall_score", "quality_confidence"))
 
 
-@query("SELECT name, CAST(i AS INTEGER) AS pitch_class FROM (VALUES ('C', 0), ('C#', 1), ('Db', 1), ('D', 2), ('Eb', 3), ('E', 4), ('F', 5), ('Gb', 6), ('G', 7), ('G#', 8), ('Ab', 8), ('A', 9), ('Bb', 10), ('B', 11), ('H', 0)) AS t(name, i)")
+#: Names of notes, spelt with sharps and flats, and one that isn't a note's.
+SPELT = ("C", "C#", "Db", "D", "Eb", "E", "F", "Gb", "G", "G#", "Ab", "A", "Bb", "B", "H")
+
+
+@query(f"""WITH n AS (SELECT event_id, {list(SPELT)!r}[event_id % {len(SPELT)} + 1] AS name FROM events)
+    SELECT event_id, name, CAST(coalesce(map {{'C': 0, 'C#': 1, 'Db': 1, 'D': 2, 'Eb': 3, 'E': 4, 'F': 5, 'Gb': 6, 'G': 7, 'G#': 8, 'Ab': 8, 'A': 9, 'Bb': 10, 'B': 11}}[name], 0) AS INTEGER) AS pitch_class FROM n""")
 def note_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("C", "C#", "Db", "D", "Eb", "E", "F", "Gb", "G", "G#", "Ab", "A", "Bb", "B", "H")
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
-    return rows.select("name", scalar.note_index("name").cast("int").alias("pitch_class"))
+    """A note's name of each event, and its place in the octave."""
+    name = F.element_at(F.array(*[F.lit(n) for n in SPELT]), (F.col("event_id") % len(SPELT) + 1).cast("int"))
+    return tables.table(spark, sf_dir, "events").select("event_id", name.alias("name")).select("event_id", "name", scalar.note_index("name").cast("int").alias("pitch_class"))
 
 
-@query("""
-    SELECT 'sine' AS signal_id, i AS pos, round(sin(i / 800.0 * 2 * pi() * 44) * 0.8, 6) + 0.0 AS x FROM range(0, 400) AS r(i)
-    UNION ALL SELECT 'partials', i, round((sin(i / 800.0 * 2 * pi() * 20) + 0.5 * sin(i / 800.0 * 2 * pi() * 40) + 0.25 * sin(i / 800.0 * 2 * pi() * 60)) / 3, 6) + 0.0 FROM range(0, 400) AS r(i)""")
+@query(f"""WITH {o.EM}, t AS (SELECT 'sine' AS tone, i AS pos, sin(i / 800.0 * 2 * pi() * 44) * 0.8 AS y FROM range(0, 64) AS r(i)
+    UNION ALL SELECT 'partials', i, (sin(i / 800.0 * 2 * pi() * 20) + 0.5 * sin(i / 800.0 * 2 * pi() * 40) + 0.25 * sin(i / 800.0 * 2 * pi() * 60)) / 3 FROM range(0, 64) AS r(i))
+    SELECT signal_id, tone, round(sum(x * y), 6) + 0.0 AS likeness FROM ev JOIN t ON t.pos = ev.pos GROUP BY 1, 2""")
 def tones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half seconds of the synthetic signals at 800 Hz."""
-    tone = synthetic.series(spark, "sine", 0.5, 800, synthetic.sine(44, 0.8))
-    return rounded(tone.unionByName(synthetic.series(spark, "partials", 0.5, 800, synthetic.harmonics(20, {2: 0.5, 3: 0.25}))))
+    """How much of two synthetic signals at 800 Hz the vectors hold."""
+    tone = synthetic.series(spark, "sine", 0.08, 800, synthetic.sine(44, 0.8))
+    tone = tone.unionByName(synthetic.series(spark, "partials", 0.08, 800, synthetic.harmonics(20, {2: 0.5, 3: 0.25})))
+    tone = tone.select(F.col("signal_id").alias("tone"), "pos", F.col("x").alias("y"))
+    both = samples(spark, sf_dir).select("signal_id", "pos", "x").join(F.broadcast(tone), "pos")
+    return rounded(both.groupBy("signal_id", "tone").agg(F.sum(F.col("x") * F.col("y")).alias("likeness")))
 
 
 @query(f"""WITH {o.EV}, b AS (SELECT signal_id, count(*) AS n, max(abs(x)) AS peak, sqrt(avg(x * x)) AS rms FROM ev GROUP BY 1)
