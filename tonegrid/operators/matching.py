@@ -200,14 +200,19 @@ def matched_segments(candidates: DataFrame, at_once: int = AT_ONCE, rounds: int
         kept = best if kept is None else kept.unionByName(best)
 
 
+def time_offset(matched: DataFrame) -> DataFrame:
+    """(pair, n_segments, time_offset): the upper median of how much later matched segments lie in B."""
+    offset = matched.select(*PAIR, (F.col("time_b") - F.col("time_a")).alias("time_offset"))
+    return layout.index_percentiles(offset, "time_offset", {"time_offset": 50}, PAIR).withColumnRenamed("n", "n_segments")
+
+
 def compare(pairs: DataFrame, prints: Fingerprints) -> DataFrame:
     """One row a pair: similarity, match_type, the five scores, confidence, time_offset, n_segments."""
     scores = meta_scores(pairs, prints.meta)
     for part in (spectral_score(pairs, prints.hashes), landmark_score(pairs, prints.landmarks), temporal_score(pairs, prints.subs)):
         scores = scores.join(part, list(PAIR))
     matched = matched_segments(segment_candidates(pairs, prints.subs))
-    offset = matched.select(*PAIR, (F.col("time_b") - F.col("time_a")).alias("time_offset"))
-    middle = layout.index_percentiles(offset, "time_offset", {"time_offset": 50}, PAIR).withColumnRenamed("n", "n_segments")
+    middle = time_offset(matched)
     length = matched.groupBy(*PAIR).agg(F.sum("duration").alias("covered"))
     out = scores.join(middle, list(PAIR), "left").join(length, list(PAIR), "left")
     total = scalar.clamp(sum((F.col(k) * F.lit(w) for k, w in WEIGHTS.items()), F.lit(0.0)))

@@ -7,11 +7,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import loudness, musical, pitch, quality
-from ..sources import tables
+from ..operators import loudness, matching, musical, pitch, quality, report
+from ..sources import results, sinks, tables
 from . import oracle as o
 from .registry import query, rounded
-from .spectral_queries import _NOTES, Q, _head, samples
+from .spectral_queries import _NOTES, FLUX, HOP, RATE, SIZE, MATCHED, Q, _head, pairs, prints, samples, vectors
 from .value_queries import VERDICT, VERDICT_COLUMNS, _weighting_sql
 
 #: The daily sums at a nominal rate: chunks of 4 samples for the noise floor and of 16 for the range.
@@ -100,3 +100,48 @@ def chord_progression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chords of half seconds at half overlap."""
     out = musical.chord_progression(tables.daily_samples(spark, sf_dir), CHORD_RATE, CHORD_SIZE, CHORD_HOP)
     return rounded(out.select("signal_id", F.col("window").cast("long").alias("window"), "start_time", "duration", "chord", "confidence"))
+
+
+@query(f"""WITH {FLUX}, s AS (SELECT signal_id, f AS pos, l2 AS x FROM fx WHERE f > 0), w AS (SELECT *, max(x) OVER (PARTITION BY signal_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS most,
+        count(*) OVER (PARTITION BY signal_id) AS n, sum(x) OVER (PARTITION BY signal_id) AS total, row_number() OVER (PARTITION BY signal_id ORDER BY pos) AS i FROM s),
+    mn AS (SELECT *, (total - x + CASE WHEN i = 1 THEN x ELSE 0 END + CASE WHEN i = n THEN x ELSE 0 END) / (n - 1 + CASE WHEN i = 1 THEN 1 ELSE 0 END + CASE WHEN i = n THEN 1 ELSE 0 END) AS mean FROM w),
+    tm AS (SELECT signal_id, (pos - 1) * {HOP} / {RATE}.0 AS t FROM mn WHERE x >= most AND x > mean + 0.3),
+    h AS (SELECT signal_id, CAST(round(gap / 0.01) AS BIGINT) AS b, count(*) AS votes FROM (SELECT *, t - lag(t) OVER (PARTITION BY signal_id ORDER BY t) AS gap FROM tm) WHERE gap IS NOT NULL GROUP BY 1, 2),
+    tp AS (SELECT signal_id, 60 / (b * 0.01) AS tempo FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY votes DESC, b) AS r FROM h WHERE b BETWEEN 31 AND 100) WHERE r = 1),
+    l AS (SELECT signal_id, count(*) AS n, max(abs(x)) AS peak, sqrt(avg(x * x)) AS rms FROM ev GROUP BY 1), c AS (SELECT signal_id, count(*) AS onsets, max(t) AS last FROM tm GROUP BY 1)
+    SELECT l.signal_id, round(n / {RATE}.0, 6) AS duration, {RATE} AS sample_rate, round(peak, 6) AS peak_amplitude, round(rms, 6) AS rms_level,
+        round(CASE WHEN rms > 0 THEN 20 * log10(peak) - 20 * log10(rms) ELSE 0 END, 6) + 0.0 AS dynamic_range, CAST(coalesce(onsets, 0) AS INTEGER) AS onsets, round(last, 6) AS last_onset, round(tempo, 6) AS tempo,
+        round(coalesce(onsets, 0) / (n / {RATE}.0), 6) AS rhythmic_complexity FROM l LEFT JOIN c ON c.signal_id = l.signal_id LEFT JOIN tp ON tp.signal_id = l.signal_id""")
+def analysis_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's quick profile over the vectors: levels, onsets, tempo."""
+    found = report.analyze(samples(spark, sf_dir).select("signal_id", "pos", "x"), RATE, "quick", report.Settings(SIZE, HOP))
+    onsets = F.col("temporal.onsets")
+    return rounded(found.select("signal_id", "summary.*", F.size(onsets).alias("onsets"), F.array_max(onsets).alias("last_onset"), "temporal.tempo", "temporal.rhythmic_complexity"))
+
+
+@query(f"""WITH a AS (SELECT vec_id AS signal_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS xs, vec_id % 80 AS start FROM embeddings), p AS (SELECT *, CASE WHEN len(xs) > start THEN xs[start + 1:start + 20] ELSE xs END AS page FROM a)
+    SELECT signal_id, CAST(len(page) AS INTEGER) AS n, round(list_sum(page), 5) AS total, CASE WHEN len(xs) > start + 20 THEN CAST(start + 20 AS VARCHAR) END AS next FROM p""")
+def array_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of twenty of the vectors' samples, each from a place of its own, and where the next one begins."""
+    start = (F.col("signal_id") % 80).cast("int")
+    parts = vectors(spark, sf_dir).select("signal_id", sinks.page(F.col("samples"), start, 20).alias("page"), sinks.next_cursor(F.col("samples"), start, 20).alias("next"))
+    total = F.aggregate("page", F.lit(0.0), lambda s, x: s + x)
+    return parts.select("signal_id", F.size("page").alias("n"), F.round(total, 5).alias("total"), "next")
+
+
+@query("""SELECT user_id, event_id, sha256(concat_ws(chr(31), 'events/' || user_id || '.wav', strftime(ts, '%Y-%m-%d %H:%M:%S'), CAST(event_id AS VARCHAR), '[(''profile'', ''quick''), (''size'', 16)]')) AS cache_key,
+        sha256(concat_ws(chr(31), 'events/' || user_id || '.wav', CAST(event_id AS VARCHAR), '[]')) AS bare_key FROM events""")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of files with a time and parameters, and of files whose time isn't known."""
+    rows = tables.table(spark, sf_dir, "events")
+    path = F.concat(F.lit("events/"), F.col("user_id").cast("string"), F.lit(".wav"))
+    when, none = F.date_trunc("second", "ts").cast("timestamp"), F.lit(None).cast("timestamp")
+    return rows.select("user_id", "event_id", results.cache_key(path, when, F.col("event_id"), size=16, profile="quick").alias("cache_key"), results.cache_key(path, none, F.col("event_id")).alias("bare_key"))
+
+
+@query(f"""WITH RECURSIVE {MATCHED}, o AS (SELECT a, b, tb - ta AS offs FROM rk JOIN ls USING (a, b) WHERE list_contains(rs, r))
+    SELECT a AS id_a, b AS id_b, count(*) AS n_segments, round({o.percentile("offs", 50)}, 6) + 0.0 AS time_offset FROM o GROUP BY 1, 2""")
+def fp_time_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a vector's matched segments lie in the next of its label: the upper median of their distances."""
+    found = matching.matched_segments(matching.segment_candidates(pairs(spark, sf_dir), prints(spark, sf_dir).subs))
+    return rounded(matching.time_offset(found))

@@ -332,7 +332,7 @@ def fp_index_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIDES = "list_zip(x.profile, y.profile)"
 
 
-@query(f"""WITH RECURSIVE {o.EM}, {o.CR}, {o.N}, {SUBS}, {PAIRS},
+MATCHED = f"""{o.EM}, {o.CR}, {o.N}, {SUBS}, {PAIRS},
     cd AS (SELECT a, b, x.t AS ta, y.t AS tb, 1 - bit_count(xor(x.hash, y.hash)) / 64 AS h,
             1 - least(list_sum(list_transform({SIDES}, lambda z: abs(z[1] - z[2]))) / list_sum(list_transform({SIDES}, lambda z: z[1] + z[2])), 1) AS e FROM prs JOIN sb x ON x.signal_id = a JOIN sb y ON y.signal_id = b),
     rk AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY q DESC, ta, tb) AS r FROM (SELECT a, b, ta, tb, (h + e) / 2 AS q FROM cd WHERE h > 0.7 AND e > 0.6)),
@@ -340,7 +340,10 @@ SIDES = "list_zip(x.profile, y.profile)"
         UNION ALL SELECT k.a, k.b, n.r, CASE WHEN ok THEN list_append(rs, n.r) ELSE rs END, CASE WHEN ok THEN list_append(tas, n.ta) ELSE tas END, CASE WHEN ok THEN list_append(tbs, n.tb) ELSE tbs END
         FROM (SELECT kp.*, rk.r AS nr, rk.ta, rk.tb, len(list_filter(tas, lambda z: z <= rk.ta AND rk.ta < z + {SUB})) = 0 AND len(list_filter(tbs, lambda z: z <= rk.tb AND rk.tb < z + {SUB})) = 0 AS ok
             FROM kp JOIN rk ON rk.a = kp.a AND rk.b = kp.b AND rk.r = kp.r + 1) k JOIN rk n ON n.a = k.a AND n.b = k.b AND n.r = k.nr),
-    ls AS (SELECT a, b, arg_max(rs, r) AS rs FROM kp GROUP BY 1, 2)
+    ls AS (SELECT a, b, arg_max(rs, r) AS rs FROM kp GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE {MATCHED}
     SELECT rk.a AS id_a, rk.b AS id_b, round(ta, 6) AS time_a, round(tb, 6) AS time_b, {SUB}::DOUBLE AS duration, round(q, 6) AS quality FROM rk JOIN ls ON ls.a = rk.a AND ls.b = rk.b AND list_contains(rs, rk.r)""")
 def match_segments_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sub-fingerprints that match, best first without overlap."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalar
 from . import file_rows
 
 
@@ -39,14 +40,14 @@ def write_onsets(onsets: DataFrame, path: str) -> None:
     rows.sort("signal_id", "onset_time").write.mode("overwrite").option("header", True).csv(path)
 
 
-def page(array: Column, offset: int, most: int) -> Column:
+def page(array: Column, offset: Column | int, most: int) -> Column:
     """``most`` elements from ``offset``; an offset beyond the end leaves the array as it is."""
-    return F.when(F.size(array) > offset, F.slice(array, offset + 1, most)).otherwise(array)
+    return F.when(F.size(array) > offset, F.slice(array, scalar.col(offset) + 1, most)).otherwise(array)
 
 
-def next_cursor(array: Column, offset: int, most: int) -> Column:
+def next_cursor(array: Column, offset: Column | int, most: int) -> Column:
     """Where the next page of an array begins, null if this is the last."""
-    return F.when(F.size(array) > offset + most, F.lit(str(offset + most)))
+    return F.when(F.size(array) > offset + most, (scalar.col(offset) + most).cast("string"))
 
 
 def summary_lines(summary: DataFrame) -> DataFrame:
