@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonegrid import __main__ as cli
-from tonegrid.sources import file_rows, sinks, wav
+from tonegrid.sources import file_rows, results, sinks, wav
 
 
 def test_a_file_cut_in_blocks_equals_the_whole(spark, tmp_path):
@@ -87,3 +87,50 @@ def test_batch_writes_a_file_for_each_signal(spark, tmp_path):
     names = sorted(os.listdir(tmp_path / "out" / "rate=8000"))
     assert "b.json" in names and "_SUCCESS" in names and sum(n.startswith("a-") for n in names) == 2
     assert json.loads((tmp_path / "out" / "rate=8000" / "b.json").read_text())["summary"]["sample_rate"] == 8000
+
+
+# the cache
+
+
+def test_cache_keeps_what_was_used(spark, tmp_path):
+    """Puts and gets in turn against a plain model: last access, expiry, replacement, eviction, merging."""
+    import datetime as dt
+    import random
+
+    rng, day = random.Random(3), dt.datetime(2024, 1, 1)
+    cache, model = results.ResultCache(spark, str(tmp_path / "cache"), most=60, seconds=5 * 86400), {}
+    at = lambda d: day + dt.timedelta(days=d)
+    for d in range(6):
+        new = [(f"k{rng.randrange(14)}", rng.randint(1, 9)) for _ in range(5)]
+        new = list(dict(new).items())
+        rows = spark.createDataFrame([(k, at(d), at(d), n, f"{k}:{d}") for k, n in new], results.SCHEMA)
+        needed = sum(e[2] for e in model.values()) + sum(n for _, n in new) - 60
+        gone, freed = set(), 0
+        for k in sorted(model, key=lambda k: (model[k][1], k)):
+            if freed >= needed:
+                break
+            gone.add(k)
+            freed += model[k][2]
+        assert {r["cache_key"] for r in cache.put(rows, F.lit(at(d - 0.25))).collect()} == gone
+        model = {k: e for k, e in model.items() if k not in gone} | {k: (at(d), at(d), n, f"{k}:{d}") for k, n in new}
+        asked = [(f"k{rng.randrange(16)}", at(d + 0.5 + i / 50)) for i in range(6)]
+        want = [(k, t, model[k][3]) for k, t in asked if k in model and model[k][0] + dt.timedelta(days=5) > t]
+        hits = cache.get(spark.createDataFrame(asked, "cache_key string, at timestamp"))
+        assert sorted((r["cache_key"], r["at"], r["result"]) for r in hits.collect()) == sorted(want)
+        for k, t, _ in want:
+            model[k] = (model[k][0], max(model[k][1], t), *model[k][2:])
+        if d == 3:
+            cache.merge()
+        held = {r["cache_key"]: (r["created_at"], r["accessed_at"], r["size_bytes"], r["result"]) for r in cache.entries().collect()}
+        assert held == model
+
+
+def test_frames_as_a_table_function(spark):
+    from tonegrid.functions import table
+    from tonegrid.operators import layout
+
+    table.register_frames(spark)
+    rows = spark.createDataFrame([("a", [float(i) for i in range(11)]), ("b", [1.0]), ("c", None), ("d", [])], "signal_id string, samples array<double>")
+    got = spark.sql("SELECT signal_id, f.* FROM {rows}, LATERAL frames(samples, 4, 3) AS f", rows=rows)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, layout.frames_of_arrays(rows, 4, 3).collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays, scalar
+from ..functions import arrays, scalar, table
 from ..operators import fingerprint, layout, matching, musical, pitch, quality, render, spectral
 from ..sources import print_index, stage, tables
 from . import oracle as o
@@ -39,6 +39,14 @@ def stft_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spectral.cells(spectra(spark, sf_dir)))
 
 
+@query(f"WITH {ST} SELECT signal_id, {FRAME}, CAST(k AS INTEGER) AS bin, round(mag, 6) AS mag FROM st")
+def frames_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cells, of frames that a query takes from a table function."""
+    table.register_frames(spark)
+    framed = spark.sql(f"SELECT signal_id, f.* FROM {{signals}}, LATERAL frames(samples, {SIZE}, {HOP}) AS f", signals=vectors(spark, sf_dir))
+    return rounded(spectral.cells(spectral.stft(framed)))
+
+
 @query(f"WITH {ST} SELECT signal_id, {FRAME}, CAST(k AS INTEGER) AS bin, round(20 * log10(mag + 1e-10), 4) AS db, round(k * {RATE} / {SIZE}.0, 6) AS hz FROM st WHERE mag > 1e-6")
 def to_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = spectral.cells(spectra(spark, sf_dir)).where("mag > 1e-6")
