@@ -32,7 +32,8 @@ CLASSES = ((0.95, "Identical"), (0.85, "VerySimilar"), (0.7, "Similar"), (0.5, "
 class Fingerprints:
     """The tables of a collection's fingerprints, each keyed by signal_id.
 
-    ``postings`` are (feature, signal_id) rows, as ``postings_of`` makes them or an index has them stored.
+    ``postings`` are (feature, signal_id) rows, as ``postings_of`` makes them or an index has them
+    stored: then with ``bucket``, the feature modulo ``buckets``, by which its files lie in folders.
     """
 
     hashes: DataFrame
@@ -40,6 +41,7 @@ class Fingerprints:
     meta: DataFrame
     subs: DataFrame
     postings: DataFrame | None = None
+    buckets: int | None = None
 
     @classmethod
     def of(cls, crossed: DataFrame, spectra: DataFrame, rate: float, size: int, hop: int, bands: int = 32, seconds: float = 5.0, chunk: int = 1024) -> Fingerprints:
@@ -282,7 +284,6 @@ def _query_features(queries: DataFrame, prints: Fingerprints) -> DataFrame:
 
 def _meet(asked: DataFrame, postings: DataFrame, counts: DataFrame, longest: int) -> DataFrame:
     """The query features with every print on their lists. Lists beyond ``longest`` are dealt to several tasks, queries copied to each."""
-    postings = postings.select("feature", "signal_id")
     long_lists = counts.where(F.col("n") > longest).select("feature", F.ceil(F.col("n") / longest).cast("int").alias("deals"))
     n = long_lists.count()
     if not n:
@@ -297,8 +298,8 @@ def _meet(asked: DataFrame, postings: DataFrame, counts: DataFrame, longest: int
 def candidates(queries: DataFrame, prints: Fingerprints, threshold: float = 0.0, bits: int = 2, longest: int = LONG_LIST) -> DataFrame:
     """(id_a, id_b): what shares a band hash with a query, or nearly its perceptual hash, and may reach the threshold.
 
-    The four scores beside those of hashes and landmarks add a known amount at most, and a pair that
-    isn't near in its perceptual hash less. What is missing to the threshold, hashes and landmarks
+    The three scores beside those of hashes and landmarks add a known amount at most, and less where
+    a pair isn't near in its perceptual hash. What is missing to the threshold, hashes and landmarks
     must bring. So a query's features on the longest lists are left out while together they bring
     less than that: a pair that shares no other feature can't reach the threshold, and is never
     formed. Pairs that are formed stay if the features they share, all those left out, and their own
@@ -311,15 +312,19 @@ def candidates(queries: DataFrame, prints: Fingerprints, threshold: float = 0.0,
     slack = threshold - WEIGHTS["energy"] - WEIGHTS["temporal"] - WEIGHTS["perceptual"] * (1 - (bits + 1) / 64) - 1e-9
     if slack <= 0:
         return own.join(others.distinct(), "hash").select(*PAIR).unionByName(near).distinct()
+    asked = stage.keep(_query_features(q, prints))
     postings = postings_of(prints) if prints.postings is None else prints.postings
+    if prints.buckets:  # only the folders that are asked for are opened: as many numbers as there are buckets at most
+        opened = asked.select(F.pmod("feature", F.lit(prints.buckets)).cast("int").alias("b")).distinct().collect()
+        postings = postings.where(F.col("bucket").isin([r["b"] for r in opened]))
+    postings = postings.select("feature", "signal_id").join(asked.select("feature").distinct(), "feature", "left_semi")
     counts = stage.keep(postings.groupBy("feature").agg(F.count("*").alias("n")))
-    asked = _query_features(q, prints)
     length = asked.join(counts, "feature", "left").groupBy("id_a", "unit", "weight").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     order = Window.partitionBy("id_a").orderBy(F.col("n").desc(), "unit", "weight")
     upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
     units = stage.keep(length.withColumn("upto", upto).withColumn("out", F.col("upto") < slack))
     left_out = units.where("out").groupBy("id_a").agg(F.sum("weight").alias("rest"))
-    asked = asked.join(units.where("not out").select("id_a", "unit", "weight"), ["id_a", "unit", "weight"], "left_semi")
+    asked = asked.join(units.where("not out").select("id_a", "unit"), ["id_a", "unit"], "left_semi")
     met = _meet(asked, postings, counts, longest).withColumnRenamed("signal_id", "id_b")
     shared = met.groupBy(*PAIR, "unit").agg(F.max("weight").alias("weight")).groupBy(*PAIR).agg(F.sum("weight").alias("weight"))
     scored = shared.join(meta_scores(shared.select(*PAIR), prints.meta), list(PAIR)).join(left_out, "id_a", "left")

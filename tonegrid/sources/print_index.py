@@ -107,7 +107,7 @@ class PrintIndex:
         n = gone.count() if len(runs) > 1 else 0
         gone = F.broadcast(gone) if n <= matching.BROADCAST_ROWS else gone
         live = lambda t: self._read(t, runs).join(gone, ["signal_id", "run"], "left_anti") if n else self._read(t, runs)
-        return matching.Fingerprints(*[live(t).drop("run") for t in ("hashes", "landmarks", "meta", "subs")], postings=live("postings").drop("run"))
+        return matching.Fingerprints(*[live(t).drop("run") for t in ("hashes", "landmarks", "meta", "subs")], postings=live("postings").drop("run"), buckets=self.buckets)
 
     def size(self) -> int:
         return self.prints().meta.count() if self.runs() else 0
