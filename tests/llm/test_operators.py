@@ -682,6 +682,70 @@ def test_pairwise_ranking_is_the_optimum():
         assert abs(loss(weights + step) - loss(weights - step)) / 2e-4 < 1e-5
 
 
+def test_quality_ranking_takes_all_pairs(labelled):
+    """Weights, cut and gain against all pairs of the training rows in memory: 40,000 drawn ones give other weights."""
+    from tonegrid.llm import logistic
+
+    docs, labels = labelled
+    model = quality_classifier.fit(docs, labels)
+    label = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [(label[i], quality_classifier.features(t)) for i, t in rows_of(docs) if i in label and zlib.crc32(str(i).encode()) % 5]
+    good, bad = (np.array([x for y, x in rows if y == one]) for one in (1, 0))
+    both = np.concatenate([good, bad])
+    assert len(good) * len(bad) > 80_000
+    assert model.mean == pytest.approx(both.mean(0)) and model.scale == pytest.approx(both.std(0) + 1e-6)
+    diff = ((good[:, None] - bad[None]) / model.scale).reshape(-1, both.shape[1])
+    want = logistic.fit(diff, np.ones(len(diff)), l2=1e-3)
+    assert model.weights == pytest.approx(want, abs=1e-3)
+    strength = np.sort(model.strength(both))
+    assert model.cut == pytest.approx(strength[len(bad) - 1 : len(bad) + 1].mean(), abs=1e-12)
+    assert model.gain == pytest.approx(8 / (np.median(model.strength(good)) - np.median(model.strength(bad))))
+
+
+def test_quality_ranking_reads_all_labelled_rows(spark):
+    """More than 4,000 training rows a label, equal texts under both labels, equal strengths at the cut."""
+    rows = [(i, "word " * (5 + i % 7) + "$" * (i % 3), int((i % 7 + i % 5) > 4)) for i in range(15_000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels)
+    x = {t: quality_classifier.features(t) for t in {t for _, t, _ in rows}}
+    train = [(x[t], y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    z, y = np.array([a for a, _ in train]), np.array([b for _, b in train])
+    assert min(y.sum(), len(y) - y.sum()) > 4000
+    assert model.mean == pytest.approx(z.mean(0)) and model.scale == pytest.approx(z.std(0) + 1e-6)
+    strength, low = np.sort(model.strength(z)), int(len(y) - y.sum())
+    assert model.cut == (strength[low - 1] + strength[low]) / 2
+    found = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels).collect()}
+    for i, t, _ in rows[:200]:
+        assert found[i]["score"] == pytest.approx(float(model.score(np.array([x[t]]))[0]), abs=1e-9)
+
+
+def test_pairs_on_a_coarser_grid(spark, monkeypatch):
+    """Where more grid points than the driver takes have rows, the step doubles and all pairs still count."""
+    monkeypatch.setattr(quality_classifier, "MOST_POINTS", 100)
+    rng, n = np.random.default_rng(6), quality_classifier.N_FEATURES
+    good, bad = rng.normal(0.3, 1, (70, n)), rng.normal(0, 1, (60, n))
+    rows = [(1, x.tolist()) for x in good] + [(0, x.tolist()) for x in bad]
+    model = quality_classifier.Ranking(np.zeros(n), np.ones(n), np.full(n, 0.2), 0.0, 1.0, 0.5)
+    few, many, step = quality_classifier.sides(spark.createDataFrame(rows, "label int, x array<double>"), model, 1 / 64)
+    assert step > 1 / 64 and len(few.points) + len(many.points) <= 100
+    assert few.rows.sum() == pytest.approx(60) and many.rows.sum() == pytest.approx(70)
+    lead = model.strength(good)[:, None] - model.strength(bad)[None]
+    assert quality_classifier.sum_pairs(few, many, step)[0] / 4200 == pytest.approx(np.logaddexp(0, -lead).mean(), abs=step**2 / 10)
+    assert many.wrong @ many.rows / 4200 == pytest.approx((1 / (1 + np.exp(lead))).mean(), abs=step**2 / 40)
+
+
+def test_values_at_ranks(spark):
+    """Ties, zeros of both signs and neighbouring doubles; a few cells, so that ranges narrow many times."""
+    rng = np.random.default_rng(8)
+    values = [0.0, -0.0, 1.0, np.nextafter(1.0, 2), -1e300, 1e300, *rng.normal(size=60).tolist(), *([0.25] * 40)]
+    rows = spark.createDataFrame([(int(i % 3 == 0), float(v)) for i, v in enumerate(values)], "label int, s double")
+    for cells in (2, 4096):
+        asked = [(F.lit(True), r) for r in range(0, len(values), 9)] + [(F.col("label") == 1, r) for r in (0, 5, 20)]
+        some = sorted(v for i, v in enumerate(values) if i % 3 == 0)
+        assert quality_classifier.values_at(rows, asked, cells) == [sorted(values)[r] for r in range(0, len(values), 9)] + [some[r] for r in (0, 5, 20)]
+
+
 def test_models_without_labels(labelled):
     docs, labels = labelled
     none = labels.limit(0)
