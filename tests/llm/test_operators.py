@@ -720,6 +720,20 @@ def test_quality_ranking_reads_all_labelled_rows(spark):
         assert found[i]["score"] == pytest.approx(float(model.score(np.array([x[t]]))[0]), abs=1e-9)
 
 
+def test_quality_classes_of_odd_rows(spark, docs, labelled):
+    """The query's way, each text read once, against fit and score: nulls, repeated rows, no labels, one label, no rows."""
+    sample, labels = labelled
+    both = docs.select("doc_id", "text").unionByName(sample)
+    rows = lambda df: collections.Counter((r["doc_id"], r["held_out"], round(r["score"], 6), r["predicted"]) for r in df.collect())
+    odd = spark.createDataFrame([(None, 1), (3, None), (4, 2)], "doc_id long, quality int")
+    for known in (labels.select("doc_id", "quality").unionByName(odd), labels.limit(0), labels.where("quality = 1")):
+        got = quality_classifier.classify(both, known)
+        assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+        assert rows(got) == rows(quality_classifier.score_documents(both, quality_classifier.fit(both, known)))
+        assert got.count() == both.count()
+    assert quality_classifier.classify(both.limit(0), labels).collect() == []
+
+
 def test_pairs_on_a_coarser_grid(spark, monkeypatch):
     """Where more grid points than the driver takes have rows, the step doubles and all pairs still count."""
     monkeypatch.setattr(quality_classifier, "MOST_POINTS", 100)
