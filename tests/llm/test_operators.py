@@ -22,6 +22,7 @@ from tonegrid.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    queries,
     source_mixing,
     substring_dedup,
     text_stats,
@@ -343,6 +344,20 @@ def test_substring_dedup(plain, options):
     assert sorted(map(tuple, got.collect())) == brute_substrings(rows_of(short), 200)
 
 
+def test_op8_passages_around_400_bytes(spark, tmp_path):
+    """A repeated passage of over 50 words goes if it has 400 bytes and stays if it has 399; n_bytes is the input's length."""
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for size in (399, 400):
+        passage = ("".join(rng.choice("abcdefgh") + rng.choice("ijkl") + " " for _ in range(200)))[:size]
+        assert len(passage.split()) > 50
+        rows += [(len(rows) + i, f"{prose(50)}{left}{passage}{right}{prose(70)}") for i, (left, right) in enumerate(("12", "34"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r)[:4] for r in queries.op8_substring_dedup(spark, str(tmp_path)).collect())
+    assert got == [(0, 521, 0, 0), (1, 521, 0, 0), (2, 522, 400, 1), (3, 522, 400, 1)]
+
+
 def test_substring_dedup_repeated_rows(docs):
     got = substring_dedup.dedup_substrings(docs)
     assert got.count() == docs.count()
