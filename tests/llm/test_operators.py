@@ -344,6 +344,34 @@ def test_substring_dedup(plain, options):
     assert sorted(map(tuple, got.collect())) == brute_substrings(rows_of(short), 200)
 
 
+@pytest.mark.parametrize("most,ways,length", [(1, 14, 200), (3, 2, 201), (20, 3, 64)])
+def test_substring_dedup_crowds(plain, monkeypatch, most, ways, length):
+    """Segments that agree on a side are cut into pieces, down to single windows; results stay exact."""
+    monkeypatch.setattr(substring_dedup, "WAYS", ways)
+    short = plain.where("length(text) < 20000 or text is null")
+    got = substring_dedup.dedup_substrings(short, length=length, most=most)
+    assert sorted(map(tuple, got.collect())) == brute_substrings(rows_of(short), length)
+
+
+def test_substring_dedup_common_passage(spark, monkeypatch):
+    """A passage of very many different texts doesn't bring them all to one shard."""
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choices("abcdefghijkl ", k=n))
+    passage = prose(250)
+    docs = spark.createDataFrame([(i, prose(30) + passage + prose(30)) for i in range(3000)], "doc_id long, text string").repartition(3)
+    met, sort_shards = [0], substring_dedup.sort_shards
+
+    def watched(dealt, *rest):
+        met.append(dealt.groupBy("shard", "gram").count().agg(F.max("count")).first()[0] or 0)
+        return sort_shards(dealt, *rest)
+
+    monkeypatch.setattr(substring_dedup, "sort_shards", watched)
+    got = substring_dedup.dedup_substrings(docs, length=100).collect()
+    assert all(r["n_removed"] >= 250 and r["n_spans"] == 1 for r in got)
+    assert sorted(map(tuple, got)) == brute_substrings(rows_of(docs), 100)
+    assert max(met) <= 2000
+
+
 def test_op8_passages_around_400_bytes(spark, tmp_path):
     """A repeated passage of over 50 words goes if it has 400 bytes and stays if it has 399; n_bytes is the input's length."""
     rng = random.Random(8)
