@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonegrid.operators import layout, matching, pitch, quality, segments, selection
+from tonegrid.operators import layout, matching, pairwise, pitch, quality, segments, selection
 from tonegrid.sources import print_index, stage
 
 
@@ -180,6 +180,27 @@ def test_search_forms_few_pairs_and_loses_none(spark, common):
         assert matching.candidates(queries, prints, 0.8).count() < every.count() / 2
 
 
+def test_search_of_all_pairs_equals_joins(spark, monkeypatch):
+    """Where features are common, all pairs are scored in blocks of any size: same pairs, same doubles, no join of pairs."""
+    prints = made_prints(spark, 24, common=7).map(stage.keep)
+    bare = prints.map(lambda t: t.where("signal_id != 8"))  # a print without features
+    odd = F.expr("case signal_id when 6 then null when 7 then 0.0 when 9 then double('NaN') else avg_energy end")
+    prints = matching.Fingerprints(bare.hashes, bare.landmarks, prints.meta.withColumn("avg_energy", odd), bare.subs)
+    queries = prints.meta.where("signal_id % 4 = 0 or signal_id in (6, 7, 9)").select("signal_id").repartition(2)
+    exact = lambda df: sorted(tuple(r) for r in df.select(*matching.PAIR, "similarity", "match_type", *matching.WEIGHTS, "shorter").collect())
+    for threshold, sizes in ((0.0, (8192,)), (0.6, (1, 7, 8192))):
+        joins = matching.similar(queries, prints, threshold, joined=1e9)
+        assert "MapInArrow" not in plan_of(joins)
+        want = exact(joins)
+        assert want
+        for rows in sizes:
+            monkeypatch.setattr(pairwise, "BLOCK_ROWS", rows)
+            monkeypatch.setattr(pairwise, "QUERY_BYTES", 3000 if rows == 7 else 1 << 20)
+            pairs = matching.similar(queries, prints, threshold)
+            assert "MapInArrow" in plan_of(pairs) and "Join" not in plan_of(pairs)
+            assert exact(pairs) == want
+
+
 def test_index_equals_a_rebuild(spark):
     """Inserted, replaced, removed and inserted again, before and after a merge."""
     old, new = made_prints(spark, seed=4).map(stage.keep), made_prints(spark, seed=5).map(stage.keep)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..sources import stage
-from . import fingerprint, layout
+from . import fingerprint, layout, pairwise
 
 TIME, HZ, START = 0.1, 50.0, 1.0
 PAIR = ("id_a", "id_b")
@@ -23,6 +23,12 @@ AT_ONCE, ROUNDS = 20_000, 6
 LONG_LIST = 100_000
 #: Rows up to which a table of features or ids (some 40 bytes a row) is broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows that joins of features form, as a share of all pairs of queries and prints, from which all pairs are scored directly.
+JOINED = 0.01
+#: Pairs that a task scores where all are scored, about.
+TASK_PAIRS = 2_000_000
+#: Rows of a kind of feature that a print has at most where all pairs are scored directly.
+SHORT = 512
 # What each score weighs, and the similarity from which a pair has a class.
 WEIGHTS = {"spectral": 0.3, "landmark": 0.25, "perceptual": 0.2, "energy": 0.15, "temporal": 0.1}
 CLASSES = ((0.95, "Identical"), (0.85, "VerySimilar"), (0.7, "Similar"), (0.5, "PartiallySimilar"))
@@ -208,22 +214,36 @@ def time_offset(matched: DataFrame) -> DataFrame:
     return layout.index_percentiles(offset, "time_offset", {"time_offset": 50}, PAIR).withColumnRenamed("n", "n_segments")
 
 
-def compare(pairs: DataFrame, prints: Fingerprints) -> DataFrame:
-    """One row a pair: similarity, match_type, the five scores, confidence, time_offset, n_segments."""
+def _judged(scores: DataFrame) -> DataFrame:
+    """Adds similarity and match_type to the five scores of pairs."""
+    total = scalar.clamp(sum((F.col(k) * F.lit(w) for k, w in WEIGHTS.items()), F.lit(0.0)))
+    kind = F.lit("Different")
+    for least, name in reversed(CLASSES):
+        kind = F.when(F.col("similarity") > least, F.lit(name)).otherwise(kind)
+    return scores.withColumn("similarity", total).withColumn("match_type", kind)
+
+
+def score(pairs: DataFrame, prints: Fingerprints) -> DataFrame:
+    """One row a pair: the five scores, the shorter duration, similarity and match_type."""
     scores = meta_scores(pairs, prints.meta)
     for part in (spectral_score(pairs, prints.hashes), landmark_score(pairs, prints.landmarks), temporal_score(pairs, prints.subs)):
         scores = scores.join(part, list(PAIR))
+    return _judged(scores)
+
+
+def _with_segments(scored: DataFrame, pairs: DataFrame, prints: Fingerprints) -> DataFrame:
+    """Adds to scored pairs what their matched segments show: confidence, time_offset, n_segments."""
     matched = matched_segments(segment_candidates(pairs, prints.subs))
     middle = time_offset(matched)
     length = matched.groupBy(*PAIR).agg(F.sum("duration").alias("covered"))
-    out = scores.join(middle, list(PAIR), "left").join(length, list(PAIR), "left")
-    total = scalar.clamp(sum((F.col(k) * F.lit(w) for k, w in WEIGHTS.items()), F.lit(0.0)))
-    kind = F.lit("Different")
-    for least, name in reversed(CLASSES):
-        kind = F.when(F.col("similarity") > least, F.lit(name)).otherwise(kind)
+    out = scored.join(middle, list(PAIR), "left").join(length, list(PAIR), "left")
     sure = F.coalesce(F.least(scalar.ratio(F.col("covered"), F.col("shorter")), F.lit(1.0)), F.lit(0.0))
-    out = out.withColumn("similarity", total).withColumns({"match_type": kind, "confidence": sure})
-    return out.select(*PAIR, "similarity", "match_type", *WEIGHTS, "confidence", "time_offset", F.coalesce("n_segments", F.lit(0)).alias("n_segments"))
+    return out.select(*PAIR, "similarity", "match_type", *WEIGHTS, sure.alias("confidence"), "time_offset", F.coalesce("n_segments", F.lit(0)).alias("n_segments"))
+
+
+def compare(pairs: DataFrame, prints: Fingerprints) -> DataFrame:
+    """One row a pair: similarity, match_type, the five scores, confidence, time_offset, n_segments."""
+    return _with_segments(score(pairs, prints), pairs, prints)
 
 
 def near_hashes(queries: DataFrame, meta: DataFrame, bits: int = 2, pieces: int = 4) -> DataFrame:
@@ -295,7 +315,48 @@ def _meet(asked: DataFrame, postings: DataFrame, counts: DataFrame, longest: int
     return copied.join(dealt, ["feature", "deal"]).drop("deal")
 
 
-def candidates(queries: DataFrame, prints: Fingerprints, threshold: float = 0.0, bits: int = 2, longest: int = LONG_LIST) -> DataFrame:
+def _hash_slack(threshold: float, bits: int) -> float:
+    """What hashes and landmarks must bring to the threshold where perceptual hashes aren't near."""
+    return threshold - WEIGHTS["energy"] - WEIGHTS["temporal"] - WEIGHTS["perceptual"] * (1 - (bits + 1) / 64) - 1e-9
+
+
+@dataclass
+class _Asked:
+    """Features that queries ask for, the posting lists and their lengths, and which units of a query are left out."""
+
+    features: DataFrame
+    postings: DataFrame
+    counts: DataFrame
+    units: DataFrame
+
+    @classmethod
+    def of(cls, q: DataFrame, prints: Fingerprints, slack: float) -> _Asked:
+        asked = stage.keep(_query_features(q, prints))
+        postings = postings_of(prints) if prints.postings is None else prints.postings
+        if prints.buckets:  # only the folders that are asked for are opened: as many numbers as there are buckets at most
+            opened = asked.select(F.pmod("feature", F.lit(prints.buckets)).cast("int").alias("b")).distinct().collect()
+            postings = postings.where(F.col("bucket").isin([r["b"] for r in opened]))
+        postings = postings.select("feature", "signal_id").join(asked.select("feature").distinct(), "feature", "left_semi")
+        counts = stage.keep(postings.groupBy("feature").agg(F.count("*").alias("n")))
+        length = asked.join(counts, "feature", "left").groupBy("id_a", "unit", "weight").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        order = Window.partitionBy("id_a").orderBy(F.col("n").desc(), "unit", "weight")
+        upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        return cls(asked, postings, counts, stage.keep(length.withColumn("upto", upto).withColumn("out", F.col("upto") < slack)))
+
+    def rows(self) -> int:
+        """Rows that the join of features and lists would form."""
+        return self.units.where("not out").agg(F.sum("n")).first()[0] or 0
+
+
+def _sharing_rows(q: DataFrame, hashes: DataFrame) -> int:
+    """Rows that the join of the queries' hashes with all prints' would form."""
+    pairs = hashes.select("signal_id", "hash").distinct()
+    lists = pairs.groupBy("hash").agg(F.count("*").alias("n"))
+    asked = pairs.join(q, "signal_id", "left_semi").groupBy("hash").agg(F.count("*").alias("m"))
+    return asked.join(lists, "hash").agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+
+
+def candidates(queries: DataFrame, prints: Fingerprints, threshold: float = 0.0, bits: int = 2, longest: int = LONG_LIST, asked: _Asked | None = None) -> DataFrame:
     """(id_a, id_b): what shares a band hash with a query, or nearly its perceptual hash, and may reach the threshold.
 
     The three scores beside those of hashes and landmarks add a known amount at most, and less where
@@ -309,23 +370,13 @@ def candidates(queries: DataFrame, prints: Fingerprints, threshold: float = 0.0,
     own = prints.hashes.join(q, "signal_id", "left_semi").select(F.col("signal_id").alias("id_a"), "hash").distinct()
     others = prints.hashes.select(F.col("signal_id").alias("id_b"), "hash")
     near = near_hashes(prints.meta.join(q, "signal_id", "left_semi"), prints.meta, bits)
-    slack = threshold - WEIGHTS["energy"] - WEIGHTS["temporal"] - WEIGHTS["perceptual"] * (1 - (bits + 1) / 64) - 1e-9
+    slack = _hash_slack(threshold, bits)
     if slack <= 0:
         return own.join(others.distinct(), "hash").select(*PAIR).unionByName(near).distinct()
-    asked = stage.keep(_query_features(q, prints))
-    postings = postings_of(prints) if prints.postings is None else prints.postings
-    if prints.buckets:  # only the folders that are asked for are opened: as many numbers as there are buckets at most
-        opened = asked.select(F.pmod("feature", F.lit(prints.buckets)).cast("int").alias("b")).distinct().collect()
-        postings = postings.where(F.col("bucket").isin([r["b"] for r in opened]))
-    postings = postings.select("feature", "signal_id").join(asked.select("feature").distinct(), "feature", "left_semi")
-    counts = stage.keep(postings.groupBy("feature").agg(F.count("*").alias("n")))
-    length = asked.join(counts, "feature", "left").groupBy("id_a", "unit", "weight").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    order = Window.partitionBy("id_a").orderBy(F.col("n").desc(), "unit", "weight")
-    upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    units = stage.keep(length.withColumn("upto", upto).withColumn("out", F.col("upto") < slack))
-    left_out = units.where("out").groupBy("id_a").agg(F.sum("weight").alias("rest"))
-    asked = asked.join(units.where("not out").select("id_a", "unit"), ["id_a", "unit"], "left_semi")
-    met = _meet(asked, postings, counts, longest).withColumnRenamed("signal_id", "id_b")
+    asked = asked or _Asked.of(q, prints, slack)
+    left_out = asked.units.where("out").groupBy("id_a").agg(F.sum("weight").alias("rest"))
+    features = asked.features.join(asked.units.where("not out").select("id_a", "unit"), ["id_a", "unit"], "left_semi")
+    met = _meet(features, asked.postings, asked.counts, longest).withColumnRenamed("signal_id", "id_b")
     shared = met.groupBy(*PAIR, "unit").agg(F.max("weight").alias("weight")).groupBy(*PAIR).agg(F.sum("weight").alias("weight"))
     scored = shared.join(meta_scores(shared.select(*PAIR), prints.meta), list(PAIR)).join(left_out, "id_a", "left")
     most = F.col("weight") + F.coalesce("rest", F.lit(0.0)) + F.col("perceptual") * F.lit(WEIGHTS["perceptual"]) + F.col("energy") * F.lit(WEIGHTS["energy"]) + F.lit(WEIGHTS["temporal"])
@@ -334,7 +385,27 @@ def candidates(queries: DataFrame, prints: Fingerprints, threshold: float = 0.0,
     return sharing.unionByName(near).distinct()
 
 
+def similar(queries: DataFrame, prints: Fingerprints, threshold: float = 0.5, longest: int = LONG_LIST, bits: int = 2, joined: float = JOINED) -> DataFrame:
+    """(pair, five scores, shorter, similarity, match_type): candidates of the queries that reach the threshold.
+
+    Where joins of features would form more rows than ``joined`` times all pairs, and no print is
+    long, every pair is scored in blocks (``pairwise``) and only those that reach the threshold
+    become rows: the same pairs with the same scores.
+    """
+    q = queries.select("signal_id").distinct()
+    slack = _hash_slack(threshold, bits)
+    asked = _Asked.of(q, prints, slack) if slack > 0 else None
+    rows = asked.rows() if asked else _sharing_rows(q, prints.hashes)
+    pairs = q.count() * prints.meta.count()
+    if rows > joined * pairs:
+        packed = stage.keep(pairwise.packed(prints.tables()).repartition(-(-pairs // TASK_PAIRS), "signal_id"))
+        if (packed.agg(F.max(F.greatest(*[F.size(c) for c in pairwise.FEATURES]))).first()[0] or 0) <= SHORT:
+            own = packed.join(q, "signal_id", "left_semi")
+            return _judged(pairwise.scored(own, packed, WEIGHTS, threshold, pairwise.Limits(TIME, HZ, START, bits)))
+    return score(stage.keep(candidates(q, prints, threshold, bits, longest, asked)), prints).where(F.col("similarity") >= threshold)
+
+
 def search(queries: DataFrame, prints: Fingerprints, threshold: float = 0.5, longest: int = LONG_LIST) -> DataFrame:
     """Candidates of the queries that reach the threshold, scored as pairs; order by similarity, then id."""
-    pairs = stage.keep(candidates(queries, prints, threshold, longest=longest))
-    return compare(pairs, prints).where(F.col("similarity") >= threshold)
+    found = stage.keep(similar(queries, prints, threshold, longest))
+    return _with_segments(found, found.select(*PAIR), prints)
