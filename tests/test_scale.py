@@ -228,6 +228,18 @@ def test_index_equals_a_rebuild(spark):
     assert index.runs() == []
 
 
+def test_index_scores_without_segments(spark, monkeypatch):
+    """Scores of a stored index after a replacement; no segments are matched for them."""
+    prints = made_prints(spark, 12, common=7).map(stage.keep)
+    index = print_index.PrintIndex(spark, stage.new_path(spark, "prints"), 2)
+    index.insert(made_prints(spark, 12, seed=5).map(lambda t: t.where("signal_id < 5")))
+    index.insert(prints)
+    monkeypatch.setattr(matching, "matched_segments", None)
+    queries = prints.meta.where("signal_id % 5 = 0").select("signal_id")
+    assert found_by(index.similar(queries, 0.5)) == found_by(matching.similar(queries, prints, 0.5, joined=1e9)) != []
+    index.drop()
+
+
 def test_index_commits(spark):
     """A run that no manifest lists doesn't count; of two writers that saw the same state one fails."""
     prints = made_prints(spark, 6).map(stage.keep)

@@ -115,3 +115,7 @@ class PrintIndex:
     def search(self, queries: DataFrame, threshold: float = 0.5) -> DataFrame:
         """``matching.search`` over the live prints, for queries (signal_id) that are in the index."""
         return matching.search(queries, self.prints(), threshold)
+
+    def similar(self, queries: DataFrame, threshold: float = 0.5) -> DataFrame:
+        """``matching.similar`` over the live prints: the scores alone, without matched segments."""
+        return matching.similar(queries, self.prints(), threshold)
