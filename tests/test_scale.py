@@ -201,6 +201,21 @@ def test_search_of_all_pairs_equals_joins(spark, monkeypatch):
             assert exact(pairs) == want
 
 
+def test_near_hashes_with_common_pieces(spark, monkeypatch):
+    """Where few pieces differ every pair is compared once, without rows a piece; where they differ joins are kept."""
+    values = [(i % 3) << 48 | (i * 37) % 256 << 3 for i in range(90)]
+    meta = stage.keep(spark.createDataFrame(list(enumerate(values)) + [(0, values[0])], "signal_id long, perceptual_hash long"))
+    want = sorted((i, j) for i, a in enumerate(values) for j, b in enumerate(values) if i % 4 == 0 and bin(a ^ b).count("1") <= 5)
+    queries = meta.where("signal_id % 4 = 0")
+    for rows in (matching.BROADCAST_ROWS, 7):
+        monkeypatch.setattr(matching, "BROADCAST_ROWS", rows)
+        got = matching.near_hashes(queries, meta, 5)
+        assert sorted(map(tuple, got.collect())) == want and "Join Cross" in plan_of(got)
+    assert sorted(map(tuple, matching.near_hashes(queries, meta, 5, joined=1e9).collect())) == want
+    rare = spark.range(2000).select(F.col("id").alias("signal_id"), F.xxhash64("id").alias("perceptual_hash"))
+    assert "Join Cross" not in plan_of(matching.near_hashes(rare, rare, 2))
+
+
 def test_index_equals_a_rebuild(spark):
     """Inserted, replaced, removed and inserted again, before and after a merge."""
     old, new = made_prints(spark, seed=4).map(stage.keep), made_prints(spark, seed=5).map(stage.keep)

@@ -246,22 +246,33 @@ def compare(pairs: DataFrame, prints: Fingerprints) -> DataFrame:
     return _with_segments(score(pairs, prints), pairs, prints)
 
 
-def near_hashes(queries: DataFrame, meta: DataFrame, bits: int = 2, pieces: int = 4) -> DataFrame:
+def near_hashes(queries: DataFrame, meta: DataFrame, bits: int = 2, pieces: int = 4, joined: float = JOINED) -> DataFrame:
     """(id_a, id_b): queries and rows whose perceptual hashes differ in at most ``bits`` bits.
 
     Of the hash's ``pieces`` one differs in at most ``bits // pieces`` bits. Pieces are joined by
     equality: a query has all values that near its own, a row has its own alone, so that rows
-    aren't multiplied and few of them meet a query whatever their number.
+    aren't multiplied and few of them meet a query whatever their number. Where pieces are so common
+    that these joins would form more rows than ``joined`` times all pairs, the pairs themselves are
+    compared, each once: queries go to all tasks, or both sides in parts where queries are many.
     """
     width = 64 // pieces
     masks = [sum(1 << i for i in c) for n in range(bits // pieces + 1) for c in itertools.combinations(range(width), n)]
     piece = lambda h, i: F.call_function("shiftrightunsigned", h, F.lit(i * width)).bitwiseAND(F.lit((1 << width) - 1))
     places = lambda h, values: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), values(piece(h, i)).alias("v")) for i in range(pieces)]))
     nearby = lambda v: F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: v.bitwiseXOR(m))
-    a = queries.select(F.col("signal_id").alias("id_a"), F.col("perceptual_hash").alias("ha"), places(F.col("perceptual_hash"), nearby).alias("p"))
-    a = a.select("id_a", "ha", "p.i", F.explode("p.v").alias("v"))
-    b = meta.select(F.col("signal_id").alias("id_b"), F.col("perceptual_hash").alias("hb"), places(F.col("perceptual_hash"), lambda v: v).alias("p")).select("id_b", "hb", "p.*")
-    return a.join(b, ["i", "v"]).where(F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= bits).select(*PAIR).distinct()
+    own = queries.select(F.col("signal_id").alias("id_a"), F.col("perceptual_hash").alias("ha")).distinct()
+    others = meta.select(F.col("signal_id").alias("id_b"), F.col("perceptual_hash").alias("hb")).distinct()
+    a = own.select("*", places(F.col("ha"), nearby).alias("p")).select("id_a", "ha", "p.i", F.explode("p.v").alias("v"))
+    b = others.select("*", places(F.col("hb"), lambda v: v).alias("p")).select("id_b", "hb", "p.*")
+    near = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= bits
+    lists = b.groupBy("i", "v").agg(F.count("*").alias("n")).join(a.groupBy("i", "v").agg(F.count("*").alias("m")), ["i", "v"])
+    rows, n = lists.agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0, own.count()
+    pairs = n * others.count()
+    if rows <= joined * pairs:
+        return a.join(b, ["i", "v"]).where(near).select(*PAIR).distinct()
+    dealt = others.repartition(-(-pairs // (4 * TASK_PAIRS)), "id_b")
+    own = F.broadcast(own) if n <= BROADCAST_ROWS else own.repartition(-(-n // BROADCAST_ROWS), "id_a")
+    return dealt.crossJoin(own).where(near).select(*PAIR)
 
 
 def _cell(kind: Column, time: Column, hz: Column) -> Column:
