@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonegrid.operators import layout, matching, pairwise, pitch, quality, segments, selection
+from tonegrid.functions import filters
+from tonegrid.operators import layout, loudness, matching, pairwise, pitch, quality, segments, selection
 from tonegrid.sources import print_index, stage
 
 
@@ -319,3 +320,22 @@ def test_partial_transforms_add_up():
     for size in (700, 5000):
         got = sum(pitch._partial_transform(x[s : s + size], s, n, 100, 899) for s in range(0, n, size))
         assert np.abs(got - want).max() < 1e-8
+
+
+# loudness weighting
+
+
+def test_many_short_signals_are_filtered_together(spark):
+    """Outputs and states of signals of all lengths equal those one by one, and no signal takes a Python call of its own."""
+    system, rng = filters.loudness_weighting(8000), np.random.default_rng(3)
+    parts = [rng.normal(size=n) for n in (0, 1, 24, 255, 256, 257, 700, 24, 512)]
+    starts = rng.normal(size=(len(parts), 4))
+    for width in (1, 7, 256):
+        out, ends = system.run_many(np.concatenate(parts), [len(p) for p in parts], starts, width)
+        alone = [system.run(p, s) for p, s in zip(parts, starts, strict=True)]
+        assert np.allclose(out, np.concatenate([a[0] for a in alone])) and np.allclose(ends, [a[1] for a in alone])
+    rows = spark.range(900).select((F.col("id") % 30).alias("signal_id"), F.floor(F.col("id") / 30).alias("pos"), F.rand(1).alias("x")).where("signal_id > 0 or pos < 5")
+    got = loudness.weighted(stage.keep(rows), 8000, 8)
+    plan = plan_of(got)
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "MapInPandas" not in plan
+    assert got.count() == 29 * 30 + 5

@@ -47,6 +47,37 @@ class StateSpace:
         last = states[k, r] + decay[k + 1] @ starts[r] if n else start
         return out.ravel()[:n], last
 
+    def run_many(self, x: np.ndarray, lengths: np.ndarray, starts: np.ndarray, width: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """(outputs, last states) of many signals that lie one after the other in ``x``, as ``run`` gives them one by one.
+
+        Rows of at most ``width`` samples of all signals run side by side.
+        """
+        lengths = np.asarray(lengths, dtype=np.int64)
+        width = max(1, min(width, int(lengths.max(initial=0))))
+        rows = -(-lengths // width)
+        first = np.cumsum(rows) - rows
+        at = np.arange(len(x)) + np.repeat(first * width - (np.cumsum(lengths) - lengths), lengths)
+        grid = np.zeros((int(rows.sum()), width))
+        grid.ravel()[at] = x
+        some = np.flatnonzero(lengths)
+        final, ends = (lengths - 1) % width, np.array(starts, dtype=float)
+        state, out, last, decay = np.zeros((len(grid), len(self.a))), np.empty_like(grid), np.zeros_like(ends), [np.eye(len(self.a))]
+        for k in range(width):
+            out[:, k] = state @ self.c + self.d * grid[:, k]
+            state = state @ self.a.T + np.outer(grid[:, k], self.b)
+            here = some[final[some] == k]
+            last[here] = state[first[here] + rows[here] - 1]
+            decay.append(self.a @ decay[-1])
+        begun, now = np.empty_like(state), ends.copy()
+        for r in range(int(rows.max(initial=0))):
+            here = np.flatnonzero(rows > r)
+            begun[first[here] + r] = now[here]
+            now[here] = now[here] @ decay[width].T + state[first[here] + r]
+        out += begun @ (self.c @ np.array(decay[:width])).T
+        powers = np.array(decay)[final[some] + 1]
+        ends[some] = last[some] + np.einsum("nij,nj->ni", powers, begun[first[some] + rows[some] - 1])
+        return out.ravel()[at], ends
+
     def power(self, n: int) -> np.ndarray:
         return np.linalg.matrix_power(self.a, n)
 

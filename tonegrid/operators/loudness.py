@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,30 +28,47 @@ def weighted(samples: DataFrame, rate: float, block: int = layout.BLOCK) -> Data
     schema = samples.schema["signal_id"].dataType.simpleString()
     gathered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"])
     blocks = layout.tumbling(samples, block, gathered.alias("part"), name="block")
-    rest = np.zeros(len(system.a))
+    n = len(system.a)
 
-    @F.pandas_udf("array<double>")
-    def ends(parts: pd.Series) -> pd.Series:
-        return pd.Series([system.run(np.asarray(p, dtype=float), rest)[1] for p in parts])
+    def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        return lists.flatten().to_numpy(zero_copy_only=False).astype(float), lengths
 
-    carry = system.power(block)
+    def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(np.append(0, np.cumsum(lengths)).astype(np.int32), values.ravel())
 
-    def scan(states: pd.DataFrame) -> pd.DataFrame:
-        states, now, starts = states.sort_values("block"), rest, []
-        for end in states["state"]:
-            starts.append(now)
-            now = carry @ now + np.asarray(end)
-        return pd.DataFrame({"signal_id": states["signal_id"], "block": states["block"], "start": starts})
+    @F.arrow_udf("array<double>")
+    def ends(parts: pa.Array) -> pa.Array:
+        x, lengths = flat(parts)
+        return lists(system.run_many(x, lengths, np.zeros((len(lengths), n)))[1], np.full(len(lengths), n))
 
-    starts = blocks.select("signal_id", "block", ends("part").alias("state")).groupBy("signal_id")
-    starts = starts.applyInPandas(scan, f"signal_id {schema}, block long, start array<double>")
+    carry = system.power(block)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("array<double>")
+    def scan(states: pa.Array) -> pa.Array:
+        """The states at the starts of each signal's blocks from those at the ends from rest, one after the other; signals side by side."""
+        x, lengths = flat(states)
+        end, count = x.reshape(-1, n), lengths // n
+        first, now, starts = np.cumsum(count) - count, np.zeros((len(count), n)), np.empty((len(x) // n, n))
+        for turn in range(int(count.max(initial=0))):
+            here = np.flatnonzero(count > turn)
+            starts[first[here] + turn] = now[here]
+            now[here] = now[here] @ carry.T + end[first[here] + turn]
+        return lists(starts, lengths)
+
+    states = blocks.select("signal_id", F.struct("block", ends("part").alias("state")).alias("b"))
+    states = states.groupBy("signal_id").agg(F.sort_array(F.collect_list("b")).alias("b"))
+    starts = states.select("signal_id", F.col("b.block").alias("blocks"), scan(F.flatten("b.state")).alias("starts"))
+    starts = starts.select("signal_id", "starts", F.posexplode("blocks").alias("turn", "block"))
+    starts = starts.select("signal_id", "block", F.slice("starts", F.col("turn") * n + 1, n).alias("start"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [system.run(np.asarray(p, dtype=float), np.asarray(s))[0] for p, s in zip(batch["part"], batch["start"], strict=True)]
-            yield pd.DataFrame({"signal_id": batch["signal_id"], "block": batch["block"], "part": out})
+            x, lengths = flat(batch.column("part"))
+            out = system.run_many(x, lengths, flat(batch.column("start"))[0].reshape(-1, n))[0]
+            yield pa.RecordBatch.from_arrays([batch.column("signal_id"), batch.column("block"), lists(out, lengths)], names=["signal_id", "block", "part"])
 
-    out = blocks.join(starts, ["signal_id", "block"]).mapInPandas(run, f"signal_id {schema}, block long, part array<double>")
+    out = blocks.join(starts, ["signal_id", "block"]).mapInArrow(run, f"signal_id {schema}, block long, part array<double>")
     at = out.select("signal_id", "block", F.posexplode("part").alias("i", "x"))
     return at.select("signal_id", (F.col("block") * block + F.col("i")).alias("pos"), "x")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import filters, scalar
-from ..operators import classify, loudness, quality, report, spectral
+from ..operators import classify, layout, loudness, quality, report, spectral
 from ..sources import file_rows, results, stage, synthetic, tables, wav
 from . import oracle as o
 from .event_queries import RATE, crossed
@@ -210,7 +210,7 @@ def _weighting_sql(rate: float) -> str:
     SELECT signal_id, round(-0.691 + 10 * log10(ms), 4) AS lufs FROM g""")
 def weighted_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighting filter and gated level, end to end, of the vectors at a nominal 8 kHz."""
-    loud = loudness.weighted(samples(spark, sf_dir).select("signal_id", "pos", "x"), 8000, 24)
+    loud = loudness.weighted(layout.explode_samples(vectors(spark, sf_dir)), 8000, 24)
     return rounded(loudness.integrated(loud), 4)
 
 
