@@ -47,6 +47,26 @@ def test_a_file_cut_in_blocks_equals_the_whole(spark, tmp_path):
     assert file_rows.read_blocks(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_many_files_are_planned_by_name(tmp_path):
+    """Planning opens no file and holds no block; small parts grow where tasks would be many, long files are cut."""
+    for i in range(700):
+        (tmp_path / f"{i:03d}.wav").write_bytes(b"" if i % 2 else wav.encode(np.arange(i % 5), 8000))
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "long.wav").write_bytes(wav.encode(np.arange(3000), 8000, 2))
+    reader = file_rows.WavReader(str(tmp_path), 16, 80)
+    for name in os.listdir(tmp_path):
+        os.chmod(tmp_path / name, 0o000) if name.endswith(".wav") else None
+    parts = reader.partitions()
+    for name in os.listdir(tmp_path):
+        os.chmod(tmp_path / name, 0o644) if name.endswith(".wav") else None
+    assert all(set(vars(p)) == {"folder", "parts"} for p in parts) and 100 < len(parts) <= 2 * file_rows.MOST_TASKS
+    assert len({n for p in parts for n, _, _ in p.parts}) == 701 and sum(n == "x/long.wav" for p in parts for n, _, _ in p.parts) > 10
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sum(r["error"] is not None for r in rows) == 350 and len({r["path"] for r in rows}) == 701
+    assert [x for r in rows if r["path"].endswith("long.wav") for x in r["samples"]] == list(range(3000))
+    assert all(len(r["samples"] or []) <= 4 for r in rows) and len(parts) > sum(len(list(reader.read(p))) for p in parts) / 2
+
+
 def test_files_appear_when_all_are_written(spark, tmp_path):
     out = str(tmp_path / "out")
     rows = spark.createDataFrame([(f"f{i}", f"body {i}".encode()) for i in range(20)] + [("none", None)], "name string, content binary").repartition(4)

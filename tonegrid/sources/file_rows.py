@@ -6,6 +6,7 @@ the tasks themselves.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -21,8 +22,12 @@ from . import wav
 
 #: Bytes of a WAV file's data that a task decodes at a time, as a default.
 BLOCK_BYTES = 8 << 20
-#: Bytes of blocks that are one task's, and what opening one counts besides.
+#: Bytes of files that are one task's, and what a block counts besides.
 PARTITION_BYTES, OPEN_BYTES = 64 << 20, 64
+#: Tasks beyond which a folder is dealt to only where each gets ``PARTITION_BYTES``.
+MOST_TASKS = 256
+#: Rows that a task gives at a time at most, and bytes from which it gives what it has.
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 20
 #: Where the header of a WAV file must end.
 HEAD_BYTES = 1 << 20
 
@@ -36,8 +41,9 @@ def reach(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """What a task has written: names of finished files in the run's folder."""
+    """What a task has written: its folder in the run's, and the names of finished files in it."""
 
+    task: str
     names: list[str]
 
 
@@ -53,7 +59,8 @@ class FileWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Written:
         store, path = reach(self.path)
-        folder = f"{path}/{self.run}/{uuid.uuid4().hex}"
+        task = uuid.uuid4().hex
+        folder = f"{path}/{self.run}/{task}"
         store.create_dir(folder, recursive=True)
         names = []
         for row in rows:
@@ -61,22 +68,22 @@ class FileWriter(DataSourceWriter):
                 raise ValueError(f"{row['name']!r} can't be a file's name")
             with store.open_output_stream(f"{folder}/{row['name']}") as out:
                 out.write(bytes(row["content"] or b""))
-            names.append(f"{folder.rsplit('/', 1)[1]}/{row['name']}")
-        return Written(names)
+            names.append(row["name"])
+        return Written(task, names)
 
     def commit(self, messages: list[Written]) -> None:
         store, path = reach(self.path)
-        names = [n for m in messages if m for n in m.names]
-        ends = [n.split("/")[1] for n in names]
-        if len(set(ends)) < len(ends):
+        written = [m for m in messages if m]
+        if len({n for m in written for n in m.names}) < sum(len(m.names) for m in written):
             self.abort(messages)
             raise ValueError("two rows have one name")
         if self.overwrite:
             old = [f.path for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if not f.path.endswith(self.run)]
             for f in old:
                 store.delete_dir(f) if store.get_file_info(f).type == fs.FileType.Directory else store.delete_file(f)
-        for name, end in zip(names, ends, strict=True):
-            store.move(f"{path}/{self.run}/{name}", f"{path}/{end}")
+        for m in written:
+            for name in m.names:
+                store.move(f"{path}/{self.run}/{m.task}/{name}", f"{path}/{name}")
         store.create_dir(path, recursive=True)
         if store.get_file_info(f"{path}/{self.run}").type != fs.FileType.NotFound:
             store.delete_dir(f"{path}/{self.run}")
@@ -109,76 +116,96 @@ def write_files(rows: DataFrame, path: str) -> None:
     rows.select("name", "content").write.format("file_rows").mode("overwrite").save(path)
 
 
-@dataclass
-class Range:
-    """A run of whole frames of a file's data: from byte ``begin`` up to ``end``; ``first`` is the first sample's number."""
-
-    path: str
-    begin: int = 0
-    end: int = 0
-    first: int = 0
-    kind: int = 0
-    rate: int = 0
-    channels: int = 0
-    error: str | None = None
+def listed(store: fs.FileSystem, path: str) -> Iterator[tuple[str, int]]:
+    """(path, bytes) of a file, or of all files below a folder. Local folders are read entry by entry, so that only what is kept is held."""
+    info = store.get_file_info(path)
+    if info.type == fs.FileType.File:
+        yield info.path, info.size
+    elif isinstance(store, fs.LocalFileSystem):
+        for entry in os.scandir(path):
+            if entry.is_dir():
+                yield from listed(store, entry.path)
+            elif entry.is_file():
+                yield entry.path, entry.stat().st_size
+    else:
+        yield from ((f.path, f.size) for f in store.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File)
 
 
 @dataclass
-class Ranges(InputPartition):
-    ranges: list[Range]
+class Files(InputPartition):
+    """What a task reads: files of a folder by name, and of each the blocks that begin from one byte up to another (None: to the end)."""
+
+    folder: str
+    parts: list[tuple[str, int, int | None]]
 
 
 class WavReader(DataSourceReader):
     def __init__(self, path: str, block_bytes: int, partition_bytes: int):
         self.path, self.block_bytes, self.partition_bytes = path, block_bytes, partition_bytes
 
-    def partitions(self) -> list[Ranges]:
-        """The ranges of all files in the order of their names, dealt to tasks by bytes: only headers are read here."""
+    def partitions(self) -> list[Files]:
+        """All files in the order of their names, dealt to tasks by bytes, long ones in parts. Only names and lengths are
+        known here; a task reads the headers of its files and finds their blocks."""
         store, path = reach(self.path)
-        info = store.get_file_info(path)
-        files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(path, recursive=True))
-        found = []
-        for file in sorted((f for f in files if f.type == fs.FileType.File), key=lambda f: f.path):
-            name = file.path.rsplit("/", 1)[-1]
-            if name.lower().endswith((".wav", ".wave")) and not name.startswith(("_", ".")):
-                found += self.ranges(store, file)
-        dealt, held = [Ranges([])], 0
-        for part in found:
-            if held and held + part.end - part.begin > self.partition_bytes:
-                dealt.append(Ranges([]))
-                held = 0
-            dealt[-1].ranges.append(part)
-            held += part.end - part.begin + OPEN_BYTES
+        found = [(name, size) for name, size in listed(store, path) if self.asked(name)]
+        found.sort(reverse=True)
+        base = path.rstrip("/") + "/"
+        base = base if all(name.startswith(base) for name, _ in found) else ""
+        found = [(name[len(base) :], size) for name, size in found] if base else found
+        weigh = lambda size: size + OPEN_BYTES * (1 + size // self.block_bytes)
+        total = sum(weigh(size) for _, size in found)
+        most = max(self.partition_bytes, min(PARTITION_BYTES, -(-total // MOST_TASKS)))
+        dealt, held = [Files(base, [])], 0
+        while found:  # what is dealt is held once
+            name, size = found.pop()
+            for begin in range(0, max(size, 1), most):
+                end = begin + most if begin + most < size else None
+                weight = weigh((size if end is None else end) - begin)
+                if held and held + weight > most:
+                    dealt.append(Files(base, []))
+                    held = 0
+                dealt[-1].parts.append((name, begin, end))
+                held += weight
         return dealt
 
-    def ranges(self, store: fs.FileSystem, file: fs.FileInfo) -> list[Range]:
-        try:
-            with store.open_input_file(file.path) as content:
-                at, size, (kind, channels, rate, bits) = wav.data_chunk(content.read(HEAD_BYTES))
-        except (ValueError, struct.error) as e:
-            return [Range(file.path, error=str(e))]
-        width = bits // 8
-        size = min(size, file.size - at) // width * width
-        step = max(1, self.block_bytes // (width * channels)) * width * channels
-        return [Range(file.path, at + i, at + min(i + step, size), i // width, kind, rate, channels) for i in range(0, max(size, 1), step)]
-
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+    def asked(self, path: str) -> bool:
+        name = path.rsplit("/", 1)[-1]
+        return name.lower().endswith((".wav", ".wave")) and not name.startswith(("_", "."))
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, _ = reach(self.path)
-        return (self.block(store, part) for part in partition.ranges)
-
-    def block(self, store: fs.FileSystem, part: Range) -> pa.RecordBatch:
-        samples = None
-        if not part.error:
-            with store.open_input_file(part.path) as content:
-                content.seek(part.begin)
-                samples = wav.samples_of(content.read(part.end - part.begin), part.kind)
-        whole = not part.error
-        return pa.RecordBatch.from_pydict(
-            {
-                "path": [part.path], "sample_rate": pa.array([part.rate if whole else None], pa.int32()), "channels": pa.array([part.channels if whole else None], pa.int32()),
-                "first": pa.array([part.first if whole else None], pa.int64()), "samples": pa.array([samples], pa.list_(pa.float32())), "error": pa.array([part.error], pa.string()),
-            }
-        )
+        rows, held = [], 0
+        for name, begin, end in partition.parts:
+            for row in self.blocks(store, partition.folder + name, begin, end):
+                rows.append(row)
+                held += 0 if row[4] is None else row[4].nbytes
+                if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                    yield self.batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield self.batch(rows)
+
+    def blocks(self, store: fs.FileSystem, path: str, begin: int, end: int | None) -> Iterator[tuple]:
+        """The rows of a file whose blocks begin in a part of it; what is wrong with a file is said in its first part."""
+        with store.open_input_file(path) as content:
+            try:
+                at, size, (kind, channels, rate, bits) = wav.data_chunk(content.read(HEAD_BYTES))
+            except (ValueError, struct.error) as e:
+                if begin == 0:
+                    yield path, None, None, None, None, str(e)
+                return
+            width = bits // 8
+            size = min(size, content.size() - at) // width * width
+            step = max(1, self.block_bytes // (width * channels)) * width * channels
+            last = max(size, 1) if end is None else min(max(size, 1), end - at)
+            for i in range(max(0, -((at - begin) // step) * step), last, step):
+                content.seek(at + i)
+                yield path, rate, channels, i // width, wav.samples_of(content.read(min(step, size - i)), kind), None
+
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.string())
+        names = ("path", "sample_rate", "channels", "first", "samples", "error")
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
 
 class WavBlocks(DataSource):
@@ -199,8 +226,8 @@ def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES,
     """(path, sample_rate, channels, first, samples, error): a row a block of a WAV file; ``first`` numbers its samples.
 
     A file is cut into ranges of ``block_bytes`` of its data chunk that hold whole frames; each is
-    read and decoded by itself, and tasks get ranges of ``partition_bytes``, so a file of any length
-    is spread and small ones share a task. A file that can't be
+    read and decoded by itself, and tasks get ``partition_bytes`` of files (more where there would be
+    over ``MOST_TASKS`` of less than the default), so a file of any length is spread and small ones share a task. A file that can't be
     decoded is one row with an error; a cut one gives what it has, one without samples an empty block.
     """
     spark.dataSource.register(WavBlocks)
